@@ -25,3 +25,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pack(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _url_sql() -> str:
+    from .url_filter import duckdb_sql
+
+    return duckdb_sql()
+
+
+ORACLES["op5_url_filter"] = _url_sql()
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
