@@ -48,3 +48,10 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
