@@ -72,3 +72,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import merged, repeated_passages
+
+    out = merged(repeated_passages(table(spark, sf_dir, "documents")))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", "other_ids", spans.alias("spans"), "removed")
