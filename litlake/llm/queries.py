@@ -81,3 +81,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merged(repeated_passages(table(spark, sf_dir, "documents")))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return out.select("doc_id", "other_ids", spans.alias("spans"), "removed")
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
