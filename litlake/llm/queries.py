@@ -95,3 +95,10 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest
+
+    return digest(spark, table(spark, sf_dir, "documents"))
