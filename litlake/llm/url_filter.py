@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._shared import cut
+
 #: (verdict, rule): a host, which covers its subdomains, and how a path begins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +51,7 @@ def template_tree(counts: DataFrame, levels: int = LEVELS) -> DataFrame:
     children whose share of blocked URLs can't be told from that of their siblings merge into ``+``, others keep their name.
     Nodes are summed by key before they meet, and no group is ever gathered.
     """
-    tree = counts.withColumn("template", F.lit(""))
+    tree = cut(counts.withColumn("template", F.lit("")), "tree")
     for level in range(levels):
         seg = F.get("shape", F.lit(level))
         child = tree.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
@@ -60,7 +62,8 @@ def template_tree(counts: DataFrame, levels: int = LEVELS) -> DataFrame:
         name = F.when((F.col("children") >= FAN_OUT) & (F.col("all_n") < 2 * F.col("children")), "*").when(like, "+").otherwise(F.col("seg"))
         named = child.join(node, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
         tree = tree.withColumn("seg", seg).join(named, ["host", "template", "seg"], "left")
-        tree = tree.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
+        named = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
+        tree = cut(tree.withColumn("template", named).drop("seg", "name"), "tree")  # the next level reads it twice
     return tree
 
 
