@@ -37,13 +37,12 @@ def journal_tier(journal: Column, tiers: Sequence[tuple[str, str, float]] = TIER
 
     The map is small and ordered, so it is an expression: no join, no shuffle."""
     key = normalize(journal)
-    tier, score = F.lit(default[0]), F.lit(default[1])
-    for name, t, s in reversed(tiers):
-        near = (key != "") & (F.contains(key, F.lit(name)) | F.contains(F.lit(name), key))
-        tier, score = F.when(near, t).otherwise(tier), F.when(near, s).otherwise(score)
-    for name, t, s in reversed(tiers):
-        tier, score = F.when(key == name, t).otherwise(tier), F.when(key == name, s).otherwise(score)
-    return tier, score
+    entry = lambda name, t, s: F.struct(F.lit(name).alias("name"), F.lit(t).alias("tier"), F.lit(float(s)).alias("score"))
+    entries = F.array(*[entry(*x) for x in tiers])  # folded to a constant
+    exact = F.filter(entries, lambda x: x["name"] == key)
+    near = F.filter(entries, lambda x: (key != "") & (F.contains(key, x["name"]) | F.contains(x["name"], key)))
+    hit = F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)), entry("", *default))
+    return hit["tier"], hit["score"]
 
 
 def citation_score(citations: Column, most: Column) -> Column:
