@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scoring import is_research, is_review
 from ..functions.text import extract_year, tokens
 
-ZERO = F.lit(0)
-
 
 def year_or_unknown() -> Column:
     y = extract_year(F.col("publish_date"))
@@ -34,7 +32,7 @@ def ranked(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
 
 def team_label() -> Column:
     a, i = F.col("authors"), F.col("institutions")
-    return F.when(F.size(i) > 0, F.get(i, ZERO)).when(F.size(a) >= 2, F.concat(F.get(a, ZERO), F.lit(" + "), F.get(a, F.lit(1)))).when(F.size(a) == 1, F.get(a, ZERO)).otherwise("Unknown")
+    return F.when(F.size(i) > 0, F.get(i, F.lit(0))).when(F.size(a) >= 2, F.concat(F.get(a, F.lit(0)), F.lit(" + "), F.get(a, F.lit(1)))).when(F.size(a) == 1, F.get(a, F.lit(0))).otherwise("Unknown")
 
 
 def citation_bucket() -> Column:
@@ -113,7 +111,7 @@ def corpus_summary(articles: DataFrame) -> DataFrame:
     year = F.nullif(extract_year(F.col("publish_date")), F.lit(""))
     base = articles.agg(
         F.count("*").alias("total_papers"), F.coalesce(F.min(year), F.lit("")).alias("year_min"), F.coalesce(F.max(year), F.lit("")).alias("year_max"),
-        F.coalesce(F.sum(cited()), ZERO).cast("long").alias("total_citations"), F.coalesce(F.round(F.avg(cited()), 2), F.lit(0.0)).alias("average_citations"), F.coalesce(F.round(F.median(cited()), 2), F.lit(0.0)).alias("median_citations"),
+        F.coalesce(F.sum(cited()), F.lit(0)).cast("long").alias("total_citations"), F.coalesce(F.round(F.avg(cited()), 2), F.lit(0.0)).alias("average_citations"), F.coalesce(F.round(F.median(cited()), 2), F.lit(0.0)).alias("median_citations"),
         F.coalesce(F.round(F.avg(((F.col("pdf_status") == "complete") & (F.col("local_pdf_path") != "")).cast("int")), 3), F.lit(0.0)).alias("open_fulltext_coverage"),
         F.count_if(is_review(F.col("article_type"), F.col("title"))).alias("review_papers"), F.count_if(is_research(F.col("article_type"), F.col("title"))).alias("research_papers"),
     )
@@ -125,7 +123,7 @@ def fold_tail(rows: DataFrame, name: str, top: int, measures: list[str]) -> Data
     """All rows beyond the first ``top`` (by citations, papers, name) as one that says how many they are."""
     w = Window.orderBy(F.desc("citation_count"), F.desc("paper_count"), F.lower(name), name)
     head = rows.withColumn("_rank", F.row_number().over(w))  # as many rows as there are groups
-    many = head.agg(F.greatest(F.count("*") - top, ZERO).alias("_tail"))
+    many = head.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("_tail"))
     head = head.crossJoin(F.broadcast(many)).withColumn(name, F.when((F.col("_rank") > top) & F.lit(top > 0), F.format_string("其他领域 (%d 类)", "_tail")).otherwise(F.col(name)))
     return head.groupBy(name).agg(*[F.sum(m).cast("long").alias(m) for m in measures])
 

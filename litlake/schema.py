@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-EVIDENCE = "array<struct<source:string,taxonomy:string,label:string,domain:string,confidence:double,raw:string>>"
-TOPICS = "array<struct<source:string,taxonomy:string,label:string,field:string,subfield:string,topic:string,level:int,score:double>>"
-
-REFERENCE = T.StructType.fromDDL(
-    "title string, doi string, journal string, publish_date string, authors array<string>, abstract string, citation_count int, citation_source string, "
-    "citation_counts map<string,int>, metadata_sources array<string>, relevance_score double, relevance_reason string, value_score double, value_reason string, "
-    "journal_tier string, journal_tier_score double, source_article_doi string, source_article_title string, source_article_count int, "
-    "source_article_titles array<string>, source_article_dois array<string>, pdf_url string, local_pdf_path string, download_status string, pdf_status string, error string"
-)
-ARTICLE = T.StructType(
-    T.StructType.fromDDL(
-        "title string, doi string, journal string, article_url string, pdf_url string, local_pdf_path string, article_type string, publish_date string, "
-        "authors array<string>, institutions array<string>, abstract string, subdomain string, classification_confidence double, classification_reason string, "
-        f"classification_source string, classification_source_label string, classification_taxonomy string, classification_evidence {EVIDENCE}, authoritative_topics {TOPICS}, "
-        "problem_statement string, solution_summary string, citation_count int, citation_source string, citation_counts map<string,int>, citation_policy string, "
-        "abstract_source string, metadata_sources array<string>, enrichment_status string, download_status string, pdf_status string, error string, pdf_resolution_status string"
-    ).fields
-    + [T.StructField("references", T.ArrayType(REFERENCE))]
-)
+TEXT, COUNT, SCORE = T.StringType(), T.IntegerType(), T.DoubleType()
+TEXTS, COUNTS = T.ArrayType(TEXT), T.MapType(TEXT, COUNT)
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+EVIDENCE = T.ArrayType(_struct(source=TEXT, taxonomy=TEXT, label=TEXT, domain=TEXT, confidence=SCORE, raw=TEXT))
+TOPICS = T.ArrayType(_struct(source=TEXT, taxonomy=TEXT, label=TEXT, field=TEXT, subfield=TEXT, topic=TEXT, level=COUNT, score=SCORE))
+REFERENCE = _struct(
+    title=TEXT, doi=TEXT, journal=TEXT, publish_date=TEXT, authors=TEXTS, abstract=TEXT, citation_count=COUNT, citation_source=TEXT, citation_counts=COUNTS, metadata_sources=TEXTS,
+    relevance_score=SCORE, relevance_reason=TEXT, value_score=SCORE, value_reason=TEXT, journal_tier=TEXT, journal_tier_score=SCORE, source_article_doi=TEXT, source_article_title=TEXT,
+    source_article_count=COUNT, source_article_titles=TEXTS, source_article_dois=TEXTS, pdf_url=TEXT, local_pdf_path=TEXT, download_status=TEXT, pdf_status=TEXT, error=TEXT,
+)
+ARTICLE = _struct(
+    title=TEXT, doi=TEXT, journal=TEXT, article_url=TEXT, pdf_url=TEXT, local_pdf_path=TEXT, article_type=TEXT, publish_date=TEXT, authors=TEXTS, institutions=TEXTS, abstract=TEXT, subdomain=TEXT,
+    classification_confidence=SCORE, classification_reason=TEXT, classification_source=TEXT, classification_source_label=TEXT, classification_taxonomy=TEXT, classification_evidence=EVIDENCE,
+    authoritative_topics=TOPICS, problem_statement=TEXT, solution_summary=TEXT, citation_count=COUNT, citation_source=TEXT, citation_counts=COUNTS, citation_policy=TEXT, abstract_source=TEXT,
+    metadata_sources=TEXTS, enrichment_status=TEXT, download_status=TEXT, pdf_status=TEXT, error=TEXT, pdf_resolution_status=TEXT, references=T.ArrayType(REFERENCE),
+)
 
 #: What an absent field becomes where that is not the empty string, array or map, or zero.
 DEFAULTS = {"subdomain": "Other", "download_status": "pending", "pdf_status": "unchecked", "source_article_count": 1}
