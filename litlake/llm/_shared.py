@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters that one numpy pass works on; bounds a Python worker's memory, not what is processed.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 1_000_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -35,18 +37,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` characters each; a longer text is a range of its own."""
+def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows with about ``most`` bytes of text each, and their texts; a longer text is a range of its own."""
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
     begin = size = 0
-    i = -1
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > most:
-            yield begin, i
+    for i, n in enumerate(sizes):
+        if i > begin and size + n > most:
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
             begin, size = i, 0
         size += n
-    if i >= begin:
-        yield begin, i + 1
+    if len(sizes) > begin:
+        yield begin, len(sizes), column.slice(begin).to_pylist()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

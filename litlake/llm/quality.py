@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import chunks
+from ._shared import text_chunks
 from ._words import words
 
 #: Labelled documents to learn from, and the length beyond which a document isn't drawn for learning; all are scored.
@@ -223,10 +223,9 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            score = np.zeros(len(texts))
-            for a, b in chunks(texts):
-                score[a:b] = model.documents(texts[a:b])
+            score = np.zeros(batch.num_rows)
+            for a, b, texts in text_chunks(batch.column(at)):
+                score[a:b] = model.documents(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
