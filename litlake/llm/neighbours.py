@@ -116,7 +116,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS) -> DataFra
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
     usual = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = usual[0]["dim"] if usual else 0
+    if not usual:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = usual[0]["dim"]
     rows = rows.where(F.col("dim") == dim)
     top = rows.select(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, dim)
