@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if place := conf.get("spark.checkpoint.dir", None):
         return place
-    if not conf.get("spark.master", "").startswith("local"):
+    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="litlake-"))
 
@@ -37,6 +37,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows, by a hash of a key that few rows share: a filter by the counted size, so no task and no driver ever
+    holds more than the sample."""
+    share = max(1, -(-df.count() // most))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+
+
 def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
     """Ranges of rows with about ``most`` bytes of text each, and their texts; a longer text is a range of its own."""
     sizes = pc.binary_length(column).fill_null(0).to_pylist()

@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, cut
+from ._shared import components, cut, sampled
 from ._vectors import blocks, usable
 
 COSINE = 0.93
 #: Vectors of a block, which has a cover tree of its own; points of a leaf.
 BLOCK, LEAF = 2048, 48
-#: Vectors from which the cells of the first level are chosen, and how many cells there are at most.
+#: Vectors (about) from which the cells of the first level are chosen, and how many cells there are at most.
 SAMPLE, CELLS = 4096, 64
 _SLACK = 1e-7
 
@@ -111,8 +111,10 @@ def first_level(rows: DataFrame) -> np.ndarray:
     picked = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not picked:
         return np.zeros((0, 0))
-    sample = rows.where(F.col("dim") == picked[0]["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
-    x = np.array([r["v"] for r in sample], np.float64)
+    sample = sampled(rows.where(F.col("dim") == picked[0]["dim"]), "rep", SAMPLE).select("rep", "v").collect()
+    x = np.array([r["v"] for r in sorted(sample)], np.float64).reshape(-1, picked[0]["dim"])
+    if not len(x):
+        return np.zeros((0, 0))
     x /= np.sqrt((x**2).sum(axis=1))[:, None]
     radius = 0.25
     while True:

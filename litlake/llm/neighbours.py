@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import cut
+from ._shared import cut, sampled
 from ._vectors import blocks, usable
 
 NEIGHBOURS = 20
 #: A code is made of PIECES substrings of 16 bits, each with an index.
 PIECES = 16
 BITS = 16 * PIECES
-#: Vectors that the rotations are learned from, at most; every row is indexed.
+#: Vectors that the rotations are learned from, about; every row is indexed.
 SAMPLE, ROUNDS, SEED = 8192, 12, 5
 #: Rows of a block, which holds an index, and queries of one pass.
 BLOCK, QUERIES = 8192, 1024
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS) -> DataFra
     dim = usual[0]["dim"]
     rows = rows.where(F.col("dim") == dim)
     top = rows.select(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, dim)
+    sample = np.array([r["v"] for r in sorted(sampled(rows, "vec_id", SAMPLE).select("vec_id", "v").collect())], np.float64).reshape(-1, dim)
     codes = learn(sample, top)
     base = blocks(rows, ["dim"], "vec_id", BLOCK)
     base = cut(base.select(F.col("block").alias("part"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("x")), "base")
