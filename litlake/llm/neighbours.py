@@ -67,40 +67,45 @@ class Index:
         self.begin = [np.append(b, len(x)) for b in self.begin]
 
     def probe(self, code: np.ndarray, errors: int) -> np.ndarray:
-        """Rows with at least one substring that differs from the code's in ``errors`` bits or fewer."""
+        """Rows with at least one substring that differs from the code's in ``errors`` bits (0 or 1) or fewer."""
         hit = np.zeros(len(self.x), bool)
         for piece, values, begin, order in zip(code, self.values, self.begin, self.order):
-            if errors < len(_FLIPS):  # few buckets: look each up
-                want = piece ^ _FLIPS[errors]
-                at = np.minimum(np.searchsorted(values, want), len(values) - 1)
-                at = at[values[at] == want]
-            else:  # more buckets than there are: go through the list of those that hold any row
-                at = np.flatnonzero(_ONES[values ^ piece] <= errors)
-            if len(at) < 64:
-                for b in at:
-                    hit[order[begin[b] : begin[b + 1]]] = True
-            else:
-                keep = np.zeros(len(values), bool)
-                keep[at] = True
-                hit[order[np.repeat(keep, np.diff(begin))]] = True
+            want = piece ^ _FLIPS[errors]
+            at = np.minimum(np.searchsorted(values, want), len(values) - 1)
+            at = at[values[at] == want]
+            for b in at:
+                hit[order[begin[b] : begin[b + 1]]] = True
         return np.flatnonzero(hit)
 
     def search(self, q: np.ndarray, own: int, code: np.ndarray, top: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k``. By the pigeonhole principle every code within PIECES * (errors + 1) - 1 bits has a
-        substring within ``errors``; the radius grows until it is MARGIN deviations past what the k-th angle leads to expect."""
-        length = float(np.sqrt((q**2).sum()))
-        for errors in range(17):
+        substring within ``errors``; the radius grows until it is MARGIN deviations past what the k-th angle leads to expect.
+        Up to one error the buckets in reach are looked up. Beyond that there are more of them than rows, so each row's
+        substrings are compared, once for all further radii."""
+        length, errors, near = float(np.sqrt((q**2).sum())), 0, None
+        while True:
             radius = PIECES * (errors + 1) - 1
-            rows = self.probe(code, errors)
-            rows = rows[_ONES[self.pieces[:, rows] ^ code[:, None]].sum(axis=0, dtype=np.int64) <= radius]
+            if errors < len(_FLIPS):
+                rows = self.probe(code, errors)
+                rows = rows[_ONES[self.pieces[:, rows] ^ code[:, None]].sum(axis=0, dtype=np.int64) <= radius]
+            else:
+                if near is None:
+                    apart = _ONES[self.pieces ^ code[:, None]]
+                    near, total = apart.min(axis=0), apart.sum(axis=0, dtype=np.int64)
+                rows = np.flatnonzero((near <= errors) & (total <= radius))
             rows = rows[self.ids[rows] != own]
             score = (self.x[rows] * q).sum(axis=1)
             best = np.lexsort((self.ids[rows], -score))[:k]
             rows, score = rows[best], score[best]
-            if len(rows) == k or radius >= BITS - 1:
-                share = np.arccos(np.clip(score[-1] / (length * top), -1, 1)) / np.pi if len(rows) else 1.0
-                if radius >= BITS - 1 or radius >= BITS * share + MARGIN * np.sqrt(BITS * share * (1 - share)):
+            if radius >= BITS - 1:
+                break
+            errors += 1
+            if len(rows) == k:
+                share = np.arccos(np.clip(score[-1] / (length * top), -1, 1)) / np.pi
+                due = BITS * share + MARGIN * np.sqrt(BITS * share * (1 - share))
+                if radius >= due:
                     break
+                errors = max(errors, int(np.ceil((due + 1) / PIECES)) - 1)
         return self.ids[rows], score
 
 
