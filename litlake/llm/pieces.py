@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ._shared import sampled
+
 #: Stands for a space.
 SPACE = "▁"
 #: Characters of the longest word that the lattice takes, the bits of one number; longer ones are merged from a heap.
 LONGEST = 62
-#: Documents, and their length at most, whose words are looked up instead of encoded anew; words of that table at most.
-SAMPLE, SAMPLE_CHARS, TABLE = 3000, 20_000, 120_000
+#: Documents (about), and their length at most, whose words are looked up instead of encoded anew; words of that table at most.
+SAMPLE, SAMPLE_CHARS, TABLE = 12_000, 20_000, 250_000
 #: Characters of a pass, in which each word is encoded once.
 CHUNK = 400_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
@@ -125,17 +127,18 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
 
     Substrings of bounded length are exploded and joined to the piece table, which is broadcast: its size is the model's. Its
     rows stay in the order of their words, so they are grouped by word as they stream, without a shuffle. A marker row comes
-    first for each input row, so that none is lost."""
+    first for each input row, so that none is lost. For BPE single characters are no edges."""
     spark = words.sparkSession
     table = spark.createDataFrame([(p, -float(model.scores[i]), i) for p, i in model.ids.items()], "piece string, rank double, id int")
-    at = F.sequence(F.lit(0), F.length("word") - 1)
-    subs = F.flatten(F.transform(at, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - s)), lambda n: F.struct(s.alias("s"), (s + n).alias("e"), F.substring("word", s + 1, n).alias("piece")))))
-    kind = "array<struct<s:int,e:int,piece:string>>"
-    marker = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(None).cast("string").alias("piece"))).cast(kind)
+    least = 2 if model.bpe else 1  # merges start from single characters, so these are no edges
+    sizes = model.longest - least + 1
     names = words.columns
-    rows = words.select("*", F.explode(F.concat(marker, F.coalesce(F.when(F.length("word") > 0, subs), F.array().cast(kind)))).alias("x"))
+    # one number for each start and size, and -1 for the marker: all that follows is compiled into one loop
+    rows = words.select("*", F.explode(F.sequence(F.lit(-1), F.coalesce(F.length("word"), F.lit(0)) * sizes - 1)).alias("i"))
+    rows = rows.withColumns({"s": F.when(F.col("i") < 0, -1).otherwise((F.col("i") / sizes).cast("int")), "n": F.col("i") % sizes + least})
+    rows = rows.where((F.col("i") < 0) | (F.col("s") + F.col("n") <= F.length("word")))
     # what repeats on every edge is sent with the marker alone
-    rows = rows.select(*[F.when(F.col("x.s") < 0, F.col(c)).alias(c) for c in names], "x.s", "x.e", "x.piece")
+    rows = rows.select(*[F.when(F.col("i") < 0, F.col(c)).alias(c) for c in names], "s", (F.col("s") + F.col("n")).alias("e"), F.when(F.col("i") >= 0, F.substring("word", F.col("s") + 1, F.col("n"))).alias("piece"))
     rows = rows.join(F.broadcast(table), "piece", "left").where((F.col("s") < 0) | F.col("id").isNotNull()).select(*names, "s", "e", "rank", "id")
     schema = T.StructType([*words.schema.fields, T.StructField("edges", T.ArrayType(T.StructType([T.StructField("rank", T.DoubleType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("id", T.IntegerType())])))])
 
@@ -168,25 +171,44 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(grouped, schema)
 
 
-def fold_merges(word: Column, edges: Column) -> Column:
-    """BPE: the boundaries left between a word's characters, as bits. Each step of the fold takes of the edges that span exactly
-    two neighbouring parts the first by rank, then start, and removes the boundary inside."""
-    one = F.lit(1).cast("long")
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
-    def bit(at: Column) -> Column:
-        return F.call_function("shiftleft", one, at)
 
-    masks = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((bit(x["s"]) + bit(x["e"])).alias("ends"), (bit(x["e"]) - bit(x["s"] + 1)).alias("inner")))
+def fold_merges(rows: DataFrame) -> DataFrame:
+    """BPE: ``cuts``, the boundaries left between a word's characters, as bits.
+
+    Merges are made by rank, then start, and each joins two neighbouring parts. One fold over the edges in that order takes
+    every edge that spans just two parts at its turn. That is the right order of merges unless an edge that spanned more at
+    its turn could be taken later, which needs that at most one boundary is left inside it at the end; words with such an
+    edge are folded step by step, each step searching all edges.
+    """
+    word, is_word = F.col("word"), F.length("word") > 0
+    masks = F.transform("edges", lambda x: F.struct((_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+    kind = "struct<cuts:bigint,wait:array<bigint>>"
+
+    def turn(state: Column, x: Column) -> Column:
+        inside = F.bit_count(x["inner"].bitwiseAND(state["cuts"]))
+        whole = x["ends"].bitwiseAND(state["cuts"]) == x["ends"]
+        return (
+            F.when(whole & (inside == 1), F.struct(state["cuts"].bitwiseAND(F.bitwise_not(x["inner"])).alias("cuts"), state["wait"].alias("wait")))
+            .when(whole & (inside > 1), F.struct(state["cuts"].alias("cuts"), F.array_append(state["wait"], x["inner"]).alias("wait")))
+            .otherwise(state)
+        )
+
+    every = _bit(F.length(word) + 1) - 1
+    # a column of its own for each step: what several expressions use is then made once
+    rows = rows.withColumn("_m", F.when(is_word, masks))
+    rows = rows.withColumn("_d", F.when(is_word, F.aggregate("_m", F.struct(every.alias("cuts"), F.array().cast("array<bigint>").alias("wait")).cast(kind), turn)))
+    late = F.exists("_d.wait", lambda inner: F.bit_count(inner.bitwiseAND(F.col("_d.cuts"))) <= 1)
 
     def step(state: Column, _: Column) -> Column:
         free = F.filter(state["edges"], lambda x: (x["ends"].bitwiseAND(state["cuts"]) == x["ends"]) & (F.bit_count(x["inner"].bitwiseAND(state["cuts"])) == 1))
         cuts = F.when(F.size(free) > 0, state["cuts"].bitwiseAND(F.bitwise_not(F.get(free, F.lit(0))["inner"]))).otherwise(state["cuts"])
-        # edges whose ends a merge has removed never come back
-        return F.struct(cuts.alias("cuts"), F.when(F.size(free) > 0, F.filter(state["edges"], lambda x: x["ends"].bitwiseAND(cuts) == x["ends"])).otherwise(F.slice(state["edges"], 1, 0)).alias("edges"))
+        return F.struct(cuts.alias("cuts"), state["edges"].alias("edges"))
 
-    start = F.struct((bit(F.length(word) + 1) - 1).alias("cuts"), masks.alias("edges"))
-    turns = F.when(F.size(masks) > 0, F.sequence(F.lit(1), F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, start, step, lambda state: state["cuts"])
+    slow = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.struct(every.alias("cuts"), F.col("_m").alias("edges")), step, lambda state: state["cuts"])
+    return rows.withColumn("_late", F.coalesce(late, F.lit(False))).withColumn("cuts", F.when(F.col("_late"), slow).otherwise(F.col("_d.cuts"))).drop("_m", "_d", "_late")
 
 
 def fold_viterbi(word: Column, edges: Column, unknown: float) -> Column:
@@ -209,15 +231,17 @@ def segmented(words: DataFrame, model: Model) -> DataFrame:
     """``words`` with edges and ``cuts``, the boundaries of each word's pieces as bits."""
     low = min((model.scores[i] for i in model.ids.values()), default=0.0) - 10
     word, edges = F.col("word"), F.col("edges")
-    cuts = fold_merges(word, edges) if model.bpe else fold_viterbi(word, edges, low)
-    return lattice(words, model).withColumn("cuts", F.when(F.length("word") > 0, cuts))
+    made = lattice(words, model)
+    if not model.bpe:
+        return made.withColumn("cuts", F.when(F.length("word") > 0, fold_viterbi(word, edges, low)))
+    return fold_merges(made)
 
 
 def ids_of(word: str, cuts: int, edges: dict[tuple[int, int], int], model: Model) -> list[int]:
     out: list[int] = []
     at = [i for i in range(len(word) + 1) if cuts >> i & 1]
     for s, e in zip(at, at[1:]):
-        i = edges.get((s, e))
+        i = edges.get((s, e)) if e - s > 1 else model.ids.get(word[s:e])
         out += [i] if i is not None else model.spell(word[s:e])
     return out
 
@@ -229,9 +253,9 @@ def _edges(column: pa.Array) -> Iterator[dict[tuple[int, int], int]]:
         yield {(s[k], e[k]): i[k] for k in range(a, b)}
 
 
-def frequent(docs: DataFrame, model: Model, table: int = TABLE) -> dict[str, list[int]]:
+def frequent(docs: DataFrame, model: Model, table: int = TABLE) -> dict[str, bytes]:
     """Ids of the ``table`` most frequent words of a bounded sample of documents, encoded like all others."""
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    sample = sampled(docs, "doc_id", SAMPLE).where(F.length("text").between(1, SAMPLE_CHARS))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,11 +263,15 @@ def frequent(docs: DataFrame, model: Model, table: int = TABLE) -> dict[str, lis
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
     counted = sample.select("text").mapInArrow(cut_up, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(table).select("word")
-    done = segmented(counted.repartition(12), model).select("word", "cuts", "edges").toArrow().combine_chunks()
-    if not done.num_rows:
-        return {}
-    word, cuts, edges = (done.column(i).combine_chunks() if isinstance(done.column(i), pa.ChunkedArray) else done.column(i) for i in range(3))
-    return {w: ids_of(w, c, e, model) for w, c, e in zip(word.to_pylist(), cuts.to_pylist(), _edges(edges))}
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            ids = [np.array(ids_of(w, c, e, model), np.int32).tobytes() for w, c, e in zip(words, batch.column(1).to_pylist(), _edges(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    done = segmented(counted.repartition(24), model).select("word", "cuts", "edges").mapInArrow(spelled, "word string, ids binary").toArrow()
+    return dict(zip(done.column("word").to_pylist(), done.column("ids").to_pylist()))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -262,7 +290,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pass a row for each word that isn't known, then one for each document: ids, or -1 - place among these words."""
-        table = known.value
+        table = known.value  # ids as bytes: a third of the memory of lists
         for batch in batches:
             texts = batch.column(1).to_pylist()
             begin = 0
@@ -271,19 +299,19 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHUNK):
                     size += len(texts[end] or "")
                     end += 1
-                new: dict[str, list[int]] = {}
+                new: dict[str, bytes] = {}
                 codes, sums = [], []
                 for t in texts[begin:end]:
-                    out: list[int] = []
+                    out: list[bytes] = []
                     for w in split_words(t or "", model):
                         ids = table.get(w)
                         if ids is None:
                             if len(w) > LONGEST:
-                                ids = merge_long(w, model) if model.bpe else best_path_long(w, model)
-                            else:
-                                ids = new.setdefault(w, [-1 - len(new)])
-                        out += ids
-                    codes.append(np.array(out, np.int32).tobytes())
+                                ids = np.array(merge_long(w, model) if model.bpe else best_path_long(w, model), np.int32).tobytes()
+                            elif (ids := new.get(w)) is None:
+                                ids = new[w] = np.int32(-1 - len(new)).tobytes()
+                        out.append(ids)
+                    codes.append(b"".join(out))
                     sums.append(zlib.crc32((t or "").encode()))
                 n, m = len(new), end - begin
                 ids = pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0).slice(begin, m)])
