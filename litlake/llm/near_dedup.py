@@ -23,6 +23,8 @@ HOT = 20_000
 #: Buckets of up to this many documents are compared in full; in larger ones each document meets so many leaders of its own
 #: band of lengths (more if it isn't linked yet), one of the next smaller band, and the document before.
 SMALL, LEADERS, MORE = 5, 2, 6
+#: Documents of a side that one task compares in full, and the fewest and most bits of a parity map.
+BLOCK, BITS = 2_048, (256, 16_384)
 #: Sketches of the first round, which puts most of a large group into one component before the others are gone through.
 FIRST = 3
 
@@ -122,6 +124,113 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return dealt.select("key", "salt", "doc", "n", "root", "size", "band", "links").mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(True).alias("new")).select("a", "b")
 
 
+def parity_map(sh: np.ndarray) -> np.ndarray:
+    """Whether each of 2**k bins (about one a shingle) holds an odd number of the shingles, as words of 64 bits. Two maps differ
+    in at most as many bins as the texts have unmatched shingles, also after both are folded to fewer bins by ``halved``."""
+    k = min(max(int(len(sh) - 1).bit_length(), BITS[0].bit_length() - 1), BITS[1].bit_length() - 1)
+    odd = np.bincount((mix(sh.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) & ((1 << k) - 1), minlength=1 << k) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def halved(maps: np.ndarray, width: int) -> np.ndarray:
+    """Parity maps (one a row) folded to ``width`` words."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (smaller id, larger id) of different roots that may be alike, between the first side and the second if ``both``,
+    else among all. Only pairs that ``aligned`` would refuse are left out: by length, or by more bins of different parity than
+    two texts that alike have unmatched shingles."""
+    left, right = [], []
+    order = np.argsort(n, kind="stable")
+    doc, n, root, side = doc[order], n[order], root[order], side[order]
+    width = np.array([len(maps[i]) // 8 for i in order])
+    end = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")
+    for w in np.unique(width):
+        some = np.flatnonzero(width == w)
+        low, high = some[0], int(end[some].max())
+        m = np.empty((high - low, w), np.uint64)  # all wider maps in reach, folded; widths grow with n
+        for v in np.unique(width[low:high]):
+            at = np.flatnonzero(width[low:high] == v)
+            m[at] = halved(np.frombuffer(b"".join(maps[order[low + i]] for i in at), np.uint64).reshape(len(at), v), int(w))
+        for i in some:
+            j = np.arange(i + 1, end[i])
+            j = j[(root[j] != root[i]) & (doc[j] != doc[i])]
+            if both:
+                j = j[side[j] != side[i]]
+            if not len(j):
+                continue
+            total = n[i] + n[j]
+            slack = total - 2 * np.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
+            j = j[np.bitwise_count(m[j - low] ^ m[i - low]).sum(axis=1, dtype=np.int64) <= slack]
+            left.append(np.minimum(doc[i], doc[j]))
+            right.append(np.maximum(doc[i], doc[j]))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def all_pairs(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(key, doc, n, root) -> every pair (a, b), a < b, of one key and of different roots that can be alike.
+
+    Nothing is skipped but what has one root already or can't reach SIMILARITY. The rows of a key's most common root needn't
+    meet each other. Both they and the others are dealt into blocks of about BLOCK documents, and a task compares two
+    blocks, so that a key of any size is spread over tasks that each hold two blocks.
+    """
+    many = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    many = many.groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max(F.struct("c", "root"))["root"].alias("main")).where("size > most")
+    rows = cut(rows.join(many, "key"), "open")
+    rest = F.col("size") - F.col("most")
+    others, mains = F.ceil(rest / BLOCK), F.ceil(F.col("most") / BLOCK)
+    is_main = F.col("root") == F.col("main")
+    block = F.pmod(F.xxhash64("doc"), F.when(is_main, mains).otherwise(others))
+    # units (x, y) with x <= y of blocks of others, and (x, -1 - y) of a block of others and one of the main root
+    own = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"), (block > o).cast("int").alias("side")))
+    cross = F.transform(F.sequence(F.lit(0).cast("long"), mains - 1), lambda o: F.struct(block.alias("x"), (-1 - o).alias("y"), F.lit(0).alias("side")))
+    mine = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda o: F.struct(o.alias("x"), (-1 - block).alias("y"), F.lit(1).alias("side")))
+    dealt = rows.select("key", "doc", "n", "root", F.explode(F.when(is_main, mine).otherwise(F.concat(own, cross))).alias("u"))
+
+    def map_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [parity_map(np.frombuffer(x.as_py(), np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["doc", "map"])
+
+    maps = cut(shingles.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(map_of, "doc long, map binary"), "maps")
+    dealt = dealt.join(maps, "doc").select("key", "u.x", "u.y", "u.side", "doc", "n", "root", "map")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(part: pa.Table) -> pa.RecordBatch:
+            key, x, y, side, doc, n, root = (part.column(i).to_numpy() for i in range(7))
+            maps = part.column(7).to_pylist()
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            begin = np.flatnonzero(new)
+            found = [open_pairs(doc[a:b], n[a:b].astype(np.int64), root[a:b], maps[a:b], side[a:b], bool(x[a] != y[a])) for a, b in zip(begin, np.append(begin[1:], len(key)))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.num_rows  # the last unit may go on in the next batch
+            unit = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            same = np.logical_and.reduce([u == u[-1] for u in unit])
+            at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if held and (at or any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != u[0] for i, u in enumerate(unit))):
+                yield pairs_of(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            elif at:
+                yield pairs_of(pa.Table.from_batches([batch.slice(0, at)]))
+            held.append(batch.slice(at))
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether M / (len(a) + len(b) - M) >= least for M, the longest common subsequence of two shingle sequences.
 
@@ -197,7 +306,9 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     A link joins two texts of which the five-word shingles align in order with similarity SIMILARITY or more. Texts with
     equal words are one class from the start and only its smallest id is sketched, so copies are never paired. Links of the
     FIRST sketches come first; then the buckets of all sketches are gone through, and large ones again in other orders
-    (``rounds`` in all), comparing only documents that aren't known to be connected. ``row`` is the row's place in the scan.
+    (``rounds`` in all), comparing only documents that aren't known to be connected. What large buckets still hold of different
+    components is then compared in full, so any two alike texts that share a sketch are in one class. ``row`` is the row's
+    place in the scan.
 
     Exactly one row of a class is kept: that of the smallest doc_id, of repeated rows the first. A text without any word
     (null, empty, punctuation) is its own class. Rows with a null doc_id are their own class and kept. Texts of one to
@@ -217,7 +328,15 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
         rows = buckets if not turn else buckets.where(F.col("size") > SMALL)
         rows = rows.join(nearest_root(pairs), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("doc", F.lit(turn)).alias("turn"))
         pairs = pairs.unionByName(cut(verified(bucket_pairs(rows), shingles), "links"))
-    roots = components(pairs)
+    roots = cut(components(pairs), "roots")
+    rows = buckets.where(F.col("size") > SMALL).join(roots, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    more = cut(verified(all_pairs(rows, shingles), shingles), "links")
+    # components of the components
+    more = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    joined = components(more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    top = roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    single = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    roots = top.unionByName(single)
     found = known.select("row", "doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("row", "doc_id", "rep")
     found = found.join(roots, F.col("rep") == F.col("id"), "left").select("row", "doc_id", F.coalesce("root", "rep").alias("class_id"))
     chosen = found.where("doc_id = class_id").groupBy("doc_id").agg(F.min("row").alias("chosen"))

@@ -157,6 +157,54 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert len(apart) <= 1, apart
 
 
+def test_near_copies_that_share_only_large_buckets_are_found(spark):
+    # drifting edits of a few templates: each bucket holds far more texts than the leaders reach, and few of them are alike
+    r = random.Random(11)
+    texts = []
+    for share in (0.01, 0.016, 0.022):
+        base = r.choices(VOCABULARY, k=120)
+        for _ in range(120):
+            texts.append((len(texts), " ".join(w if r.random() > share else r.choice(VOCABULARY) for w in base)))
+    s = [sh(t) for _, t in texts]
+    edges = [(i, j) for j in range(len(s)) for i in range(j // 120 * 120, j) if near_dedup.aligned(s[i], s[j])]
+    want, before = list(range(len(s))), None
+    while want != before:
+        before = list(want)
+        for i, j in edges:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_pairs_left_out_of_a_bucket_are_not_alike():
+    r = random.Random(12)
+    base = r.choices(VOCABULARY, k=330)
+    texts = [" ".join(w if r.random() > p else r.choice(VOCABULARY) for w in base[: r.randint(200, 330)]) for p in [0.002, 0.01, 0.02, 0.04] * 15]
+    s = [sh(t).astype(np.uint32) for t in texts]
+    doc, n = np.arange(len(s)), np.array([len(x) for x in s])
+    maps = [near_dedup.parity_map(x).tobytes() for x in s]
+    assert len({len(m) for m in maps}) > 1
+    want = {(i, j) for j in doc for i in range(j) if near_dedup.aligned(s[i], s[j])}
+    got = set(zip(*(x.tolist() for x in near_dedup.open_pairs(doc, n, doc, maps, doc * 0, False))))
+    assert want and want <= got
+    side = doc % 2
+    across = set(zip(*(x.tolist() for x in near_dedup.open_pairs(doc, n, doc, maps, side, True))))
+    assert across == {(i, j) for i, j in got if side[i] != side[j]}
+
+
+def test_blocks_of_a_bucket_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    r = random.Random(13)
+    base = r.choices(VOCABULARY, k=100)
+    texts = [(i, " ".join(w if r.random() > 0.004 else r.choice(VOCABULARY) for w in base)) for i in range(50)]
+    df = docs(spark, texts)
+    rows = spark.createDataFrame([(1, i, len(sh(t)), 0 if i < 25 else i) for i, t in texts], "key long, doc long, n int, root long")
+    shingles = near_dedup.shingle_rows(df, df.select("doc_id"))
+    found = {tuple(x) for x in near_dedup.verified(near_dedup.all_pairs(rows, shingles), shingles).collect()}
+    s = dict((i, sh(t).astype(np.uint32)) for i, t in texts)
+    assert found == {(i, j) for j in range(25, 50) for i in range(j) if near_dedup.aligned(s[i], s[j])}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
