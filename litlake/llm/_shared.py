@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,12 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="litlake-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: later stages don't depend on executors that made it."""
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: later stages don't depend on executors that made it.
+
+    Shuffle files stay on the executors until the driver collects the plans that made them; ``release`` asks for that, where
+    they are as large as the corpus."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -57,23 +67,33 @@ def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int
         yield begin, len(sizes), column.slice(begin).to_pylist()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (id, root), root the smallest id that can be reached.
 
     Alternates "all larger neighbours point at the smallest neighbour" with "all smaller neighbours and the node point at
-    the smallest"; each round is a table in the shared folder. Ids without an edge are not returned. An empty table gives
-    an empty result.
+    the smallest" until nothing changes; each round is a table in the shared folder, where only the last one stays. Ids without
+    an edge are not returned. An empty table gives an empty result.
     """
+    spark = edges.sparkSession
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a <> b").distinct(), "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").distinct(), "small")
+        last, now = now, cut(small.where("a <> b").distinct(), "small")
+        discard(spark, last, large)
         # The sum of roots only falls, and stays once every id points at its root.
         mark = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
         if mark == before:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import components, cut, text_chunks
 from ._words import mix, shingles_of, words
@@ -18,20 +18,17 @@ SIMILARITY = 0.8
 #: Sketches of a document and occurrence-labelled shingles of a sketch. Two documents of similarity s share a sketch with
 #: probability s**LEAST or so, hence miss all with (1 - s**LEAST)**SKETCHES: 4e-5 at 0.8.
 SKETCHES, LEAST = 14, 3
-#: Rows of one key beyond which a bucket is dealt over several tasks.
+#: Rows of one key beyond which the first passes deal a bucket over several tasks; the last one compares all its pairs.
 HOT = 20_000
-#: Buckets of up to this many documents are compared in full; in larger ones each document meets so many leaders of its own
-#: band of lengths (more if it isn't linked yet), one of the next smaller band, and the document before.
-SMALL, LEADERS, MORE = 5, 2, 6
 #: Documents of a side that one task compares in full, and the fewest and most bits of a parity map.
 BLOCK, BITS = 2_048, (256, 16_384)
-#: Sketches of the first round, which puts most of a large group into one component before the others are gone through.
+#: Sketches of the first pass, which puts most of a large group into one component before all others are gone through.
 FIRST = 3
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _STEP = np.uint64(0xA0761D6478BD642F)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-SKETCH_SCHEMA = "row long, doc_id long, n int, h1 long, h2 long, sketch array<long>"
+SKETCH_SCHEMA = "row long, doc_id long, t long, n int, h1 long, h2 long, sketch array<long>"
 
 
 def sketch_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,56 +76,56 @@ def sketch_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_chunks(batch.column(2)):
+            for a, b, texts in text_chunks(batch.column(3)):
                 n, h1, h2, sketch = sketch_texts(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCHES), pa.int32()), pa.array(sketch.ravel().view(np.int64)))
-                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n", "h1", "h2", "sketch"])
+                cols = [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "t", "n", "h1", "h2", "sketch"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SKETCH_SCHEMA)
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """(key, doc, n, root, links, turn) -> pairs (a, b), a < b, of different roots and like length, as many as rows times a constant.
+    """(key, doc, n, root, links) -> pairs (a, b), a < b, of different roots and like length, as many as rows times a constant.
 
-    Buckets of up to SMALL rows are compared in full. In a larger one, by bands of length, most ``links`` first, then by
-    ``turn``, a document meets the first LEADERS of its band (MORE if it has no link), the first of the band before, and its predecessor: stars around the
-    documents that most others are like, and a chain. Rows are sorted by Spark and streamed, so a key of any size needs
-    constant memory; keys of over HOT rows are dealt over tasks by a salt.
+    By bands of length, most ``links`` first, a document meets the first of its band and of the band before, and its
+    predecessor: stars around the documents that most others are like, and a chain. Rows are sorted by Spark and streamed, so
+    a key of any size needs constant memory; keys of over HOT rows are dealt over tasks by a salt. This only joins most of a
+    group cheaply: what it leaves apart is compared by ``all_pairs``.
     """
     size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     size = size.where("low <> high").select("key", "size")
-    salt = F.pmod(F.xxhash64("doc", "turn"), F.ceil(F.col("size") / HOT))
+    salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / HOT))
     band = F.floor(F.log("n") / np.log(1 / SIMILARITY))
-    dealt = rows.join(size, "key").withColumn("salt", salt).repartition("key", "salt").withColumn("band", band).sortWithinPartitions("key", "salt", "band", F.desc("links"), "turn", "n", "doc")
+    dealt = rows.join(size, "key").withColumn("salt", salt).repartition("key", "salt").withColumn("band", band).withColumn("turn", F.xxhash64("doc"))
+    dealt = dealt.sortWithinPartitions("key", "salt", "band", F.desc("links"), "turn", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, band, recent, leaders, before = None, None, [], [], []
+        group, band, last, leader, before = None, None, None, None, None
         for batch in batches:
             left, right = [], []
-            for key, salt, doc, n, root, size, own, links in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for key, salt, doc, n, root, own in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if group != (key, salt):
-                    group, band, recent, leaders, before = (key, salt), own, [], [], []
+                    group, band, last, leader, before = (key, salt), own, None, None, None
                 elif band != own:
-                    band, leaders, before = own, [], leaders[:1] if band == own - 1 else []
-                for d, m, r in {*recent, *leaders[: LEADERS if links else MORE], *before}:
+                    band, leader, before = own, None, leader if band == own - 1 else None
+                for d, m, r in {last, leader, before} - {None}:
                     if r != root and d != doc and min(n, m) >= SIMILARITY * max(n, m):
                         left.append(min(d, doc))
                         right.append(max(d, doc))
-                recent = [(doc, n, root), *recent[: SMALL - 1 if size <= SMALL else 0]]
-                if len(leaders) < MORE:
-                    leaders = [*leaders, (doc, n, root)]
+                last = (doc, n, root)
+                leader = leader or last
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return dealt.select("key", "salt", "doc", "n", "root", "size", "band", "links").mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(True).alias("new")).select("a", "b")
+    return dealt.select("key", "salt", "doc", "n", "root", "band").mapInArrow(run, "a long, b long").distinct()
 
 
 def parity_map(sh: np.ndarray) -> np.ndarray:
     """Whether each of 2**k bins (about one a shingle) holds an odd number of the shingles, as words of 64 bits. Two maps differ
     in at most as many bins as the texts have unmatched shingles, also after both are folded to fewer bins by ``halved``."""
     k = min(max(int(len(sh) - 1).bit_length(), BITS[0].bit_length() - 1), BITS[1].bit_length() - 1)
-    odd = np.bincount((mix(sh.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) & ((1 << k) - 1), minlength=1 << k) & 1
+    odd = np.bincount((mix(sh) >> np.uint64(40)).astype(np.int64) & ((1 << k) - 1), minlength=1 << k) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
@@ -140,13 +137,14 @@ def halved(maps: np.ndarray, width: int) -> np.ndarray:
     return maps
 
 
-def open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, both: bool, sketch: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (smaller id, larger id) of different roots that may be alike, between the first side and the second if ``both``,
     else among all. Only pairs that ``aligned`` would refuse are left out: by length, or by more bins of different parity than
-    two texts that alike have unmatched shingles."""
+    two texts that alike have unmatched shingles; and pairs whose first common sketch isn't that at ``place``, as they meet in
+    its bucket."""
     left, right = [], []
     order = np.argsort(n, kind="stable")
-    doc, n, root, side = doc[order], n[order], root[order], side[order]
+    doc, n, root, side, sketch = doc[order], n[order], root[order], side[order], sketch[order]
     width = np.array([len(maps[i]) // 8 for i in order])
     end = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")
     for w in np.unique(width):
@@ -166,14 +164,16 @@ def open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, maps: list[byte
             total = n[i] + n[j]
             slack = total - 2 * np.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
             j = j[np.bitwise_count(m[j - low] ^ m[i - low]).sum(axis=1, dtype=np.int64) <= slack]
+            j = j[(sketch[j] == sketch[i]).argmax(axis=1) == place]
             left.append(np.minimum(doc[i], doc[j]))
             right.append(np.maximum(doc[i], doc[j]))
     none = [np.empty(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def all_pairs(rows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(key, doc, n, root) -> every pair (a, b), a < b, of one key and of different roots that can be alike.
+def all_pairs(rows: DataFrame, shingles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, place, doc, n, root) -> every pair (a, b), a < b, of one key and of different roots that can be alike, once.
+    ``nodes`` (node, sketch) has the sketches of the documents, of which ``key`` is that at ``place``.
 
     Nothing is skipped but what has one root already or can't reach SIMILARITY. The rows of a key's most common root needn't
     meet each other. Both they and the others are dealt into blocks of about BLOCK documents, and a task compares two
@@ -190,25 +190,26 @@ def all_pairs(rows: DataFrame, shingles: DataFrame) -> DataFrame:
     own = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"), (block > o).cast("int").alias("side")))
     cross = F.transform(F.sequence(F.lit(0).cast("long"), mains - 1), lambda o: F.struct(block.alias("x"), (-1 - o).alias("y"), F.lit(0).alias("side")))
     mine = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda o: F.struct(o.alias("x"), (-1 - block).alias("y"), F.lit(1).alias("side")))
-    dealt = rows.select("key", "doc", "n", "root", F.explode(F.when(is_main, mine).otherwise(F.concat(own, cross))).alias("u"))
+    dealt = rows.select("key", "place", "doc", "n", "root", F.explode(F.when(is_main, mine).otherwise(F.concat(own, cross))).alias("u"))
 
     def map_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = [parity_map(np.frombuffer(x.as_py(), np.uint32)).tobytes() for x in batch.column(1)]
+            maps = [parity_map(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["doc", "map"])
 
-    maps = cut(shingles.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(map_of, "doc long, map binary"), "maps")
-    dealt = dealt.join(maps, "doc").select("key", "u.x", "u.y", "u.side", "doc", "n", "root", "map")
+    maps = cut(shingles.join(rows.select(F.col("doc").alias("node")).distinct(), "node", "left_semi").mapInArrow(map_of, "doc long, map binary").join(nodes.select(F.col("node").alias("doc"), "sketch"), "doc"), "maps")
+    dealt = dealt.join(maps, "doc").select("key", "u.x", "u.y", "u.side", "doc", "n", "root", "place", "map", "sketch")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(part: pa.Table) -> pa.RecordBatch:
-            key, x, y, side, doc, n, root = (part.column(i).to_numpy() for i in range(7))
-            maps = part.column(7).to_pylist()
+            key, x, y, side, doc, n, root, place = (part.column(i).to_numpy() for i in range(8))
+            maps = part.column(8).to_pylist()
+            sketch = part.column(9).combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             begin = np.flatnonzero(new)
-            found = [open_pairs(doc[a:b], n[a:b].astype(np.int64), root[a:b], maps[a:b], side[a:b], bool(x[a] != y[a])) for a, b in zip(begin, np.append(begin[1:], len(key)))]
+            found = [open_pairs(doc[a:b], n[a:b].astype(np.int64), root[a:b], maps[a:b], side[a:b], bool(x[a] != y[a]), sketch[a:b], int(place[a])) for a, b in zip(begin, np.append(begin[1:], len(key)))]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -264,19 +265,25 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return len(b) - v.bit_count() >= need
 
 
-def shingle_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, sh): the shingles of the documents in ``ids``, 32 bits of each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def text_key() -> list[Column]:
+    """(doc_id, t): what a row's node is found by; rows with both alike are copies."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t")]
+
+
+def shingle_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sh): the shingles of the texts that ``nodes`` (node, doc_id, t) name, each once."""
+    texts = docs.select(*text_key(), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, some in text_chunks(batch.column(1)):
                 w = words(some)
-                sh = [shingles_of(w.hashes[w.of(d)]).astype(np.uint32).tobytes() for d in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sh, pa.binary())], names=["doc_id", "sh"])
+                sh = [shingles_of(w.hashes[w.of(d)]).tobytes() for d in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sh, pa.binary())], names=["node", "sh"])
 
-    # a plan that doesn't depend on how few ids there are: the ids' side is built, the texts aren't sorted
-    return texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, sh binary")
+    # a plan that doesn't depend on how few nodes there are: their side is built, the texts aren't sorted
+    made = texts.join(nodes.hint("shuffle_hash"), ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node long, sh binary")
+    return made.groupBy("node").agg(F.first("sh").alias("sh"))
 
 
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -284,11 +291,11 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [aligned(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3))]
+            keep = [aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("sh").alias("sh_a")), "a").join(shingles.select(F.col("doc_id").alias("b"), F.col("sh").alias("sh_b")), "b")
+    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("sh").alias("sh_a")), "a").join(shingles.select(F.col("node").alias("b"), F.col("sh").alias("sh_b")), "b")
     return both.select("a", "b", "sh_a", "sh_b").mapInArrow(run, "a long, b long")
 
 
@@ -300,53 +307,57 @@ def nearest_root(links: DataFrame) -> DataFrame:
     return one.join(one.select(F.col("a").alias("m"), F.col("m").alias("root")), "m").select(F.col("a").alias("id"), "root", "links")
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, class_id (smallest doc_id that links reach), kept.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, t, class_id (smallest doc_id that links reach), kept.
 
     A link joins two texts of which the five-word shingles align in order with similarity SIMILARITY or more. Texts with
-    equal words are one class from the start and only its smallest id is sketched, so copies are never paired. Links of the
-    FIRST sketches come first; then the buckets of all sketches are gone through, and large ones again in other orders
-    (``rounds`` in all), comparing only documents that aren't known to be connected. What large buckets still hold of different
-    components is then compared in full, so any two alike texts that share a sketch are in one class. ``row`` is the row's
-    place in the scan.
-
-    Exactly one row of a class is kept: that of the smallest doc_id, of repeated rows the first. A text without any word
-    (null, empty, punctuation) is its own class. Rows with a null doc_id are their own class and kept. Texts of one to
-    four words are one shingle. Other columns are ignored. An empty table gives no row.
+    equal words are one node from the start, so copies are never paired. Candidates share a sketch: first the nodes of a
+    bucket meet a few others, then all pairs of a bucket that aren't known to be connected are compared, but for those that
+    can't be alike; so any two alike texts that share a sketch are in one class. ``row`` numbers the rows in the table that is
+    written first, ``t`` is a hash of the text.
+
+    Exactly one row of a class is kept: that of the smallest doc_id, of repeated rows the first. Rows that share a doc_id but
+    not their words are nodes of their own. A text without any word (null, empty, punctuation) is its own class. Rows with a
+    null doc_id are their own class and kept. Texts of one to four words are one shingle. Other columns are ignored. An empty
+    table gives no row.
     """
     made = cut(sketches(docs), "sketches")
     known = made.where("n > 0 and doc_id is not null")
-    same = cut(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "classes")
-    buckets = same.select(F.posexplode("sketch").alias("place", "key"), F.col("rep").alias("doc"), "n")
+    same = known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "t", "n", "sketch")).alias("x"))
+    same = cut(same.select("h1", "h2", F.col("x.row").alias("node"), "x.doc_id", "x.t", "x.n", "x.sketch"), "nodes")
+    buckets = same.select(F.posexplode("sketch").alias("place", "key"), F.col("node").alias("doc"), "n")
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(buckets.join(shared, "key"), "buckets")
-    shingles = cut(shingle_rows(docs, buckets.select(F.col("doc").alias("doc_id")).distinct()), "shingles")
-    first = buckets.where(F.col("place") < FIRST).select("key", "doc", "n", F.col("doc").alias("root"), F.lit(1).cast("long").alias("links"), F.lit(0).cast("long").alias("turn"))
+    buckets = cut(buckets.join(shared, "key").select("key", "place", "doc", "n"), "buckets")
+    used = buckets.select(F.col("doc").alias("node")).distinct()
+    shingles = cut(shingle_rows(docs, same.join(used, "node", "left_semi").select("node", "doc_id", "t")), "shingles")
+
+    first = buckets.where(F.col("place") < FIRST).select("key", "doc", "n", F.col("doc").alias("root"), F.lit(1).cast("long").alias("links"))
     pairs = cut(verified(bucket_pairs(first), shingles), "links")
-    for turn in range(rounds):
-        # The first of these rounds takes all buckets; small ones are then compared in full.
-        rows = buckets if not turn else buckets.where(F.col("size") > SMALL)
-        rows = rows.join(nearest_root(pairs), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("doc", F.lit(turn)).alias("turn"))
-        pairs = pairs.unionByName(cut(verified(bucket_pairs(rows), shingles), "links"))
-    roots = cut(components(pairs), "roots")
-    rows = buckets.where(F.col("size") > SMALL).join(roots, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"))
-    more = cut(verified(all_pairs(rows, shingles), shingles), "links")
+    rows = buckets.join(nearest_root(pairs), F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    roots = cut(components(pairs.unionByName(cut(verified(bucket_pairs(rows), shingles), "links"))), "roots")
+    rows = buckets.join(roots, F.col("doc") == F.col("id"), "left").select("key", "place", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    more = cut(verified(all_pairs(rows, shingles, same.select("node", "sketch")), shingles), "links")
     # components of the components
     more = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
     joined = components(more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("top"))
     top = roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     single = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
-    roots = top.unionByName(single)
-    found = known.select("row", "doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("row", "doc_id", "rep")
-    found = found.join(roots, F.col("rep") == F.col("id"), "left").select("row", "doc_id", F.coalesce("root", "rep").alias("class_id"))
-    chosen = found.where("doc_id = class_id").groupBy("doc_id").agg(F.min("row").alias("chosen"))
-    found = found.join(chosen, "doc_id", "left").select("row", "doc_id", "class_id", F.coalesce(F.col("row") == F.col("chosen"), F.lit(False)).alias("kept"))
-    alone = made.where("n = 0 or doc_id is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    roots = cut(top.unionByName(single).join(same.select(F.col("node").alias("id"), "doc_id"), "id"), "members")
+    best = roots.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("best"))
+    linked = roots.join(best, "root").select(F.col("id").alias("node"), F.col("best.doc_id").alias("class_id"), F.col("best.id").alias("chosen"))
+
+    found = known.select("row", "doc_id", "t", "h1", "h2").join(same.select("h1", "h2", "node", F.col("doc_id").alias("least")), ["h1", "h2"]).join(linked, "node", "left")
+    found = found.select("row", "doc_id", "t", F.coalesce("class_id", "least").alias("class_id"), (F.col("row") == F.coalesce("chosen", "node")).alias("kept"))
+    alone = made.where("n = 0 or doc_id is null").select("row", "doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = near_duplicates(docs).where("kept").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep. Rows are found again by doc_id and text, not by their place
+    in a scan, which may differ from one to the next; of rows that agree in both one stays, whichever its other columns."""
+    by = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id", "t").agg(F.count("*").alias("all"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    by = by.where("stay > 0").select("doc_id", "t", (F.col("stay") < F.col("all")).alias("many"))
+    rows = docs.select(*text_key(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    kept = rows.join(by, ["doc_id", "t"])
+    out = kept.where("not many").select("whole").unionByName(kept.where("many").dropDuplicates(["doc_id", "t"]).select("whole"))
+    return out.unionByName(rows.where("doc_id is null").select("whole")).select("whole.*")
