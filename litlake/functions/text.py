@@ -9,9 +9,13 @@ from pyspark.sql import Column, functions as F
 
 #: Words that are no keywords, for topics, for one paper, for reference and for source relevance.
 TOPIC_STOPWORDS = (
-    "the and for with from that this into using study paper article research analysis model models based data results here show over under between"
-).split()
-PAPER_STOPWORDS = "this that with from paper study article research using based analysis method methods results shows journal science nature human humans".split()
+    "the", "and", "for", "with", "from", "that", "this", "into", "using", "study", "paper", "article", "research",
+    "analysis", "model", "models", "based", "data", "results", "here", "show", "over", "under", "between",
+)
+PAPER_STOPWORDS = (
+    "this", "that", "with", "from", "paper", "study", "article", "research", "using", "based", "analysis", "method",
+    "methods", "results", "shows", "journal", "science", "nature", "human", "humans",
+)
 
 
 def blank_to_null(x: Column) -> Column:

@@ -89,6 +89,47 @@ def authoritative(articles: DataFrame, providers: DataFrame, rules: Sequence[tup
     }).drop("_source", "_domain", "_confidence", "domain", "confidence", "matched_terms")
 
 
+#: Words that are no keyword of a cluster, and none of its label.
+CLUSTER_STOPWORDS = ("this", "that", "with", "from", "paper", "study", "article")
+LABEL_STOPWORDS = (
+    "paper", "study", "article", "research", "using", "shows", "reveals", "science", "nature", "aging", "ageing", "cell", "cells", "human",
+    "from", "with", "this", "that", "into", "both", "disease", "journal",
+)
+
+
+def cluster_keywords(rows: DataFrame, most: int = 12) -> DataFrame:
+    """(cluster, id, text) -> (cluster, rank, token): the most frequent words of every cluster, ties in order of appearance."""
+    t = rows.select("cluster", "id", F.posexplode(tokens(F.col("text"), CLUSTER_STOPWORDS, 4)).alias("pos", "token"))
+    counts = t.groupBy("cluster", "token").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    w = Window.partitionBy("cluster").orderBy(F.desc("n"), "first")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("cluster", "rank", "token")
+
+
+def label_of(words: Column) -> Column:
+    """Topic_A_B_C from the first three keywords that are long enough and say something; else Topic_Other."""
+    plain = F.transform(words, lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
+    useful = F.slice(F.array_distinct(F.filter(plain, lambda t: (F.length(t) >= 4) & ~t.isin(*LABEL_STOPWORDS))), 1, 3)
+    upper = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("[a-z]+|[^a-z]+"), F.lit(0)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+    return F.when(F.size(useful) > 0, F.concat(F.lit("Topic_"), F.array_join(F.transform(useful, upper), "_"))).otherwise("Topic_Other")
+
+
+def cluster_labels(rows: DataFrame, votes: str | None = None, least: int = 2) -> DataFrame:
+    """(cluster, id, text) -> (cluster, papers, keywords, label, confidence). The label comes from the keywords; or, with the
+    column ``votes``, is the most frequent subdomain but "Other", ties by name, where there is one. Clusters of less than
+    ``least`` papers have the confidence of a single topic."""
+    words = cluster_keywords(rows).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
+    out = rows.groupBy("cluster").agg(F.count("*").alias("papers")).join(words, "cluster", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    label = label_of(F.col("keywords"))
+    if votes:
+        named = rows.where(F.col(votes).isNotNull() & ~F.col(votes).isin("", "Other")).groupBy("cluster", votes).agg(F.count("*").alias("n"))
+        best = named.groupBy("cluster").agg(F.min_by(votes, F.struct(-F.col("n"), F.col(votes))).alias("_vote"))
+        out = out.join(best, "cluster", "left")
+        label = F.coalesce("_vote", label)
+    alone = F.when(label == "Topic_Other", 0.0).otherwise(0.55)
+    sure = F.round(F.least(F.lit(0.95), 0.68 + 0.05 * F.col("papers")), 3)
+    return out.withColumns({"label": label, "confidence": F.when(F.col("papers") < least, alone).otherwise(sure)}).drop("_vote")
+
+
 def cluster_count(n: int, smallest: int = 2) -> int:
     return 1 if n <= smallest else min(n, 8, max(2, math.ceil(math.sqrt(n))))
 
@@ -128,7 +169,7 @@ def cluster(vectors: DataFrame, by: str, most: int = 1500) -> DataFrame:
     unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(1e-24), lambda s, y: s + y * y)))
     centres = done.select(by, "cluster", F.posexplode(unit).alias("i", "x")).groupBy(by, "cluster", "i").agg(F.avg("x").alias("x"))
     centres = centres.groupBy(by, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
-    near = vectors.join(done.select("id", "cluster"), "id", "left_anti").join(F.broadcast(centres), by)  # at most eight for a group
+    near = vectors.join(done.select("id", "cluster"), "id", "left_anti").join(centres, by)  # at most eight for a group
     near = near.withColumn("_s", F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
     rest = near.groupBy(by, "id").agg(F.max_by("cluster", F.struct("_s", -F.col("cluster"))).alias("cluster"))
     return done.select(by, "id", "cluster").unionByName(rest.select(by, "id", "cluster"))

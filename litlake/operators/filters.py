@@ -13,7 +13,7 @@ from ..functions.text import extract_year, normalize
 #: Other spellings that a keyword also matches.
 ALIASES = {"llm": ("large language model", "large language models"), "casual discovery": ("causal discovery",)}
 #: What marks a text as biomedical.
-BIOMEDICAL = ("aging", "ageing", "biomark", "biomed", "cancer", "cell", "clinical", "disease", "gene", "health", "medic", "neuro", "protein")
+BIOMEDICAL = ("medicine", "medical", "clinical", "biomedical", "biology", "neuroscience", "brain", "neuro", "disease", "patient", "therapy", "diagnosis", "health")
 
 
 def _clean(text: str) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import TIERS, paper_value, recommendation_type
+from ..tables import cut
 from .filters import download_eligibility
 from .stats import cited
 
@@ -37,8 +38,9 @@ def recommendations(articles: DataFrame, as_of_year: int, most: int = 20, tiers:
 
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Row numbers of the whole table in an order, without one task that holds it: rows are range-partitioned and sorted,
-    and each partition's numbers start after the counts of those before it."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    and each partition's numbers start after the counts of those before it. The numbered partitions are written once, as
+    another run of the same plan may deal its rows otherwise."""
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
     # within a partition the id grows by one from row to row
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))

@@ -12,8 +12,15 @@ from ..functions.scoring import TIERS, reference_value
 from ..functions.text import dedupe, reference_key, token_set
 
 #: Words that don't count in relevance, against a profile and against the citing paper.
-PROFILE_STOPWORDS = "the and for with from that this into using study paper article research analysis nature".split()
-SOURCE_STOPWORDS = "the and for with from that this into using both only paper study article analysis research method methods result results a an of in to on by as is are via or".split()
+PROFILE_STOPWORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "into", "using", "study", "paper", "article", "research",
+    "analysis", "nature",
+)
+SOURCE_STOPWORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "into", "using", "both", "only", "paper", "study", "article",
+    "analysis", "research", "method", "methods", "result", "results", "a", "an", "of", "in", "to", "on", "by", "as",
+    "is", "are", "via", "or",
+)
 
 
 def unnest(articles: DataFrame) -> DataFrame:
@@ -75,6 +82,20 @@ def source_relevance(source: Column, reference: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.round(score, 3)).otherwise(F.lit(0.0))
 
 
+def relevance_pairs(queries: DataFrame, docs: DataFrame, stopwords: Sequence[str], bonus: bool = False) -> DataFrame:
+    """(query_id, text) against all (doc_id, text): the relevance of every pair that shares a word, as ``profile_relevance`` or, with
+    ``bonus``, ``source_relevance`` would give it. Words are made once for each text; the pairs meet by word, and their shared
+    words are counted map-side, so a text's words are never repeated for each query."""
+
+    def words(rows: DataFrame, key: str, size: str) -> DataFrame:
+        rows = rows.select(key, token_set(F.col("text"), stopwords).alias("w"))
+        return rows.select(key, F.size("w").alias(size), F.explode("w").alias("word"))
+
+    shared = words(docs, "doc_id", "y").join(words(queries, "query_id", "x"), "word").groupBy("query_id", "doc_id", "x", "y").agg(F.count("*").alias("n"))
+    score = F.col("n") / F.least("x", "y") + (F.least(F.lit(0.08), 0.02 * F.col("n")) if bonus else F.lit(0.0))
+    return shared.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), score), 3).alias("relevance"))
+
+
 def scored(pooled: DataFrame, as_of_year: int, tiers: Sequence[tuple[str, str, float]] = TIERS) -> DataFrame:
     """A pool with relevance_score gets value_score, journal_tier and journal_tier_score."""
     most = pooled.agg(F.coalesce(F.max("citation_count"), F.lit(0)).alias("_most"))
@@ -107,29 +128,32 @@ def split_references(section: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
 
 
-_DOI, _YEAR = re.compile(r"10\.\d{4,9}/[^\s\"<>]+", re.I), re.compile(r"(?:19|20)\d{2}")
-_AUTHORS = re.compile(r"^.*?(?:et al\.|[A-Z]\.(?:\s*[A-Z]\.)*)(?=\s+[A-Z][^.,]{3,}\s)")
+#: A DOI and what may not end it; a year; a word that can begin a title; a journal's name in front of a number or a comma.
+_DOI, _YEAR = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", r"\b(?:19|20)\d{2}\b"
+_INITIALS = re.compile(r"(?:\b[A-Z]\.[\s-]*)+")
+_JOURNAL = re.compile(r"[^A-Za-z]*([A-Z][A-Za-z&.\- ]*[A-Za-z])")
+
 
+def clauses(raw: str) -> list[str]:
+    """What stands between full stops, where those of initials don't count; a name and its initials stay one clause."""
+    held = _INITIALS.sub(lambda m: m[0].replace(".", "\N{ONE DOT LEADER}"), raw)
+    ends = [m.start() + 1 for m in re.finditer(r"[.?!](?=\s|$)|\N{ONE DOT LEADER}(?=\s+[A-Z][a-z]*\s+\S+\s)", held)]
+    cuts = [held[a:b] for a, b in zip([0, *ends], [*ends, len(held)])]
+    return [c for c in (c.replace("\N{ONE DOT LEADER}", ".").strip(" ;") for c in cuts) if c.strip(".")]
 
-def parse_reference(raw: str) -> tuple[str, str, str, str, list[str]]:
-    """(title, doi, year, journal, authors) of one reference, by the customary order authors, title, journal, year."""
-    doi = m[0].rstrip(".,;)").lower() if (m := _DOI.search(raw)) else ""
-    year = m[0] if (m := _YEAR.search(raw)) else ""
-    body = re.sub(r"https?://\S+", "", raw[: raw.lower().find(doi)] if doi else raw)
-    head = raw.split(". ", 1)[0].strip()
-    authors = [a.strip() for a in re.split(r"[,;]\s+", head) if a.strip()][:8] if 0 < len(head) <= 160 else []
-    prefix = _AUTHORS.match(body)
-    rest = body[prefix.end() :] if prefix else body
-    parts = [p.replace("\0", ".").strip(" .") for p in re.split(r"\.\s+", re.sub(r"\b([A-Z])\.", "\\1\0", rest))]
-    parts = [p for p in parts if p]
-    named = [p for i, p in enumerate(parts) if len(p.split()) >= 3 and (prefix or i or not re.search(r",|&| et al", p))]
-    title = named[0] if named else (parts[1] if len(parts) > 1 else "".join(parts[:1]))
-    tail = rest.replace("\0", ".")
-    at = tail.lower().find(title.lower()) if title else -1
-    tail = tail[at + len(title) :] if at >= 0 else tail
-    tail = re.split(rf"\b{year}\b", tail, maxsplit=1)[0] if year else tail
-    m = re.match(r"([A-Z][A-Za-z&.\- ]{2,80}?)(?:\s+\d|,|$)", tail.strip(" .;:,()"))
-    return title, doi, year, m[1].strip(" .") if m else "", authors
+
+def title_and_journal(raw: str, year: str) -> tuple[str, str]:
+    """The first clause of three words or more behind the authors is the title, and the capitalised words that follow it, up to a
+    number, comma or the year, are the journal. A first clause is taken for authors if it has a comma, an ampersand or initials."""
+    parts = clauses(raw)
+    named = bool(parts) and bool(re.search(r",|&|\bet al|\b[A-Z]\.", parts[0]))
+    rest = parts[1:] if named and len(parts) > 1 else parts
+    place = next((i for i, p in enumerate(rest) if len(p.split()) >= 3), 0)
+    title = rest[place].strip(" .") if rest else ""
+    tail = " ".join(rest[place + 1 :])
+    tail = tail.partition(year)[0] if year else tail
+    m = _JOURNAL.match(tail)
+    return title, m[1].strip(" .") if m else ""
 
 
 def extract_references(texts: DataFrame, most: int | None = None) -> DataFrame:
@@ -137,14 +161,35 @@ def extract_references(texts: DataFrame, most: int | None = None) -> DataFrame:
     with most fields, the earliest of equals. Sections are found by expressions; only single references go to Python."""
     rows = texts.select("id", F.posexplode(split_references(reference_section(F.col("text")))).alias("pos", "raw"))
     rows = rows if most is None else rows.where(F.col("pos") < most)
+    # what patterns say is an expression: DOI, year, the names in front of the first full stop
+    raw = F.col("raw")
+    head = F.get(F.split(raw, r"\.\s", 2), F.lit(0))
+    names = F.slice(F.filter(F.transform(F.split(head, r"[,;]\s+"), F.trim), lambda a: a != ""), 1, 8)
+    rows = rows.select(
+        "id", "pos", "raw", F.lower(F.regexp_replace(F.regexp_extract(raw, _DOI, 0), r"[.,;)]+$", "")).alias("doi"), F.regexp_extract(raw, _YEAR, 0).alias("publish_date"),
+        F.when(F.length(head) <= 160, names).otherwise(F.array().cast("array<string>")).alias("authors"), F.trim(F.regexp_replace(F.regexp_replace(raw, r"https?://\S+", ""), f"{_DOI}|(?i)\\bdoi:?", "")).alias("_body"),
+    )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = pd.DataFrame([parse_reference(r) for r in b["raw"]], columns=["title", "doi", "publish_date", "journal", "authors"], index=b.index)
-            yield pd.concat([b, found], axis=1)
+            found = pd.DataFrame([title_and_journal(r, y) for r, y in zip(b["_body"], b["publish_date"])], columns=["title", "journal"], index=b.index)
+            yield pd.concat([b.drop(columns="_body"), found], axis=1)
 
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.mapInPandas(parse, f"id {kind}, pos int, raw string, title string, doi string, publish_date string, journal string, authors array<string>")
+    rows = rows.mapInPandas(parse, f"id {kind}, pos int, raw string, doi string, publish_date string, authors array<string>, title string, journal string")
     quality = sum(((F.col(c) != "").cast("int") for c in ("title", "doi", "journal", "publish_date")), (F.size("authors") > 0).cast("int"))
     w = Window.partitionBy("id", reference_key(F.col("doi"), F.col("title"))).orderBy(F.desc(quality), "pos")
     return rows.where(reference_key(F.col("doi"), F.col("title")) != "").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def title_search(hits: DataFrame, title: str | None, most: int) -> DataFrame:
+    """Hits of several services (_ord in the order of services), repeats dropped; with a title by likeness to it, then
+    citations, then title; else by citations and title. The first ``most``."""
+    from .evidence import greedy_distinct, title_similarity
+
+    rows = greedy_distinct(hits)
+    order = [F.desc(F.coalesce("citation_count", F.lit(0))), F.lower("title"), F.col("_ord")]
+    if title:
+        rows = rows.withColumn("similarity", title_similarity(title))
+        order = [F.desc("similarity"), *order]
+    return rows.orderBy(*order).limit(most)

@@ -120,12 +120,16 @@ def corpus_summary(articles: DataFrame) -> DataFrame:
 
 
 def fold_tail(rows: DataFrame, name: str, top: int, measures: list[str]) -> DataFrame:
-    """All rows beyond the first ``top`` (by citations, papers, name) as one that says how many they are."""
-    w = Window.orderBy(F.desc("citation_count"), F.desc("paper_count"), F.lower(name), name)
-    head = rows.withColumn("_rank", F.row_number().over(w))  # as many rows as there are groups
-    many = head.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("_tail"))
-    head = head.crossJoin(F.broadcast(many)).withColumn(name, F.when((F.col("_rank") > top) & F.lit(top > 0), F.format_string("其他领域 (%d 类)", "_tail")).otherwise(F.col(name)))
-    return head.groupBy(name).agg(*[F.sum(m).cast("long").alias(m) for m in measures])
+    """All rows beyond the first ``top`` (by citations, papers, name) as one that says how many they are. The first are a sorted
+    limit, the rest the totals without them: no task sees all groups."""
+    rows = rows.select(name, *measures)
+    if top <= 0:
+        return rows
+    head = ranked(rows, name, top)
+    total = lambda part, tag: part.agg(F.count("*").alias(f"{tag}_n"), *[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(f"{tag}_{m}") for m in measures])
+    rest = total(rows, "a").crossJoin(F.broadcast(total(head, "h"))).where("a_n > h_n")  # single rows
+    tail = rest.select(F.format_string("其他领域 (%d 类)", F.col("a_n") - F.col("h_n")).alias(name), *[(F.col(f"a_{m}") - F.col(f"h_{m}")).alias(m) for m in measures])
+    return head.unionByName(tail)
 
 
 def basic_rankings(articles: DataFrame) -> DataFrame:

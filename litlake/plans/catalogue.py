@@ -236,21 +236,23 @@ def reference_insights(spark, sf_dir):
 
 
 def _overlap(words) -> str:
-    a, b = (f"list_distinct({TOKENS.format(t, 2, quoted(words))})" for t in ("b.text", "d.text"))
-    return f"SELECT b.item_id, d.doc_id, len(list_intersect({a}, {b})) AS n, len({a}) AS x, len({b}) AS y FROM benchmark b JOIN documents d ON b.item_id % 40 = d.doc_id % 40"
+    one = lambda t, key, size: f"SELECT {key}, len(w) AS {size}, unnest(w) AS word FROM (SELECT {key}, list_distinct({TOKENS.format('text', 2, quoted(words))}) AS w FROM {t})"
+    return f"SELECT item_id, doc_id, count(*) AS n, x, y FROM ({one('benchmark', 'item_id', 'x')}) b JOIN ({one('documents', 'doc_id', 'y')}) d ON b.word = d.word GROUP BY ALL"
 
 
-@query(f"SELECT item_id, doc_id, CASE WHEN x > 0 AND y > 0 THEN round(least(1.0::DOUBLE, n / least(x, y)::DOUBLE), 3) ELSE 0.0 END AS relevance FROM ({_overlap(refs_.PROFILE_STOPWORDS)})")
+def _relevance(spark, sf_dir, words, bonus: bool) -> DataFrame:
+    b, d = star.table(spark, sf_dir, "benchmark"), star.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return refs_.relevance_pairs(b.select(F.col("item_id").alias("query_id"), "text"), d, words, bonus).withColumnRenamed("query_id", "item_id")
+
+
+@query(f"SELECT item_id, doc_id, round(least(1.0::DOUBLE, n / least(x, y)::DOUBLE), 3) AS relevance FROM ({_overlap(refs_.PROFILE_STOPWORDS)})")
 def reference_overlap(spark, sf_dir):
-    b, d = star.table(spark, sf_dir, "benchmark"), star.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    return b.join(d, F.col("item_id") % 40 == F.col("doc_id") % 40).select("item_id", "doc_id", refs_.profile_relevance(F.col("text"), F.col("doc_text")).alias("relevance"))
+    return _relevance(spark, sf_dir, refs_.PROFILE_STOPWORDS, False)
 
 
-@query(f"SELECT item_id, doc_id, relevance FROM (SELECT item_id, doc_id, CASE WHEN x > 0 AND y > 0 THEN round(least(1.0::DOUBLE, n / least(x, y)::DOUBLE + least(0.08::DOUBLE, 0.02::DOUBLE * n)), 3) ELSE 0.0 END AS relevance FROM ({_overlap(refs_.SOURCE_STOPWORDS)})) WHERE relevance >= 0.12")
+@query(f"SELECT item_id, doc_id, relevance FROM (SELECT item_id, doc_id, round(least(1.0::DOUBLE, n / least(x, y)::DOUBLE + least(0.08::DOUBLE, 0.02::DOUBLE * n)), 3) AS relevance FROM ({_overlap(refs_.SOURCE_STOPWORDS)})) WHERE relevance >= 0.12")
 def ris_relevant(spark, sf_dir):
-    b, d = star.table(spark, sf_dir, "benchmark"), star.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    rows = b.join(d, F.col("item_id") % 40 == F.col("doc_id") % 40).select("item_id", "doc_id", refs_.source_relevance(F.col("text"), F.col("doc_text")).alias("relevance"))
-    return rows.where("relevance >= 0.12")
+    return _relevance(spark, sf_dir, refs_.SOURCE_STOPWORDS, True).where("relevance >= 0.12")
 
 
 @query(f"{REFS}, b AS (SELECT *, row_number() OVER (PARTITION BY ref_key ORDER BY relevance_score DESC, ord, pos) AS n FROM keyed WHERE relevance_score >= 0.12 AND ref_key <> '') SELECT title, doi, ord, relevance_score FROM b WHERE n = 1")
@@ -437,9 +439,10 @@ def domain_reliability(spark, sf_dir):
 
 @query()
 def ungrounded_snippets(spark, sf_dir):
-    b = star.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 120).alias("snippet"))
-    d = star.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 1500).alias("text"))
-    return evidence.ungrounded(b.join(d, F.col("item_id") == F.col("doc_id"))).select("item_id", "doc_id")
+    """The last sentence of every document against its whole text; of every fifth it is spelt backwards."""
+    last = F.coalesce(F.element_at(tx.sentences(F.col("text")), -1), F.lit(""))
+    rows = star.table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''")
+    return evidence.ungrounded(rows.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.reverse(last)).otherwise(last).alias("snippet"), "text")).select("doc_id")
 
 
 @query("WITH k AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents) SELECT item_id FROM benchmark WHERE trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) NOT IN (SELECT k FROM k WHERE k IS NOT NULL)")
@@ -459,11 +462,12 @@ def recent_events(spark, sf_dir):
     return rows.select("event_type", "event_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT doc_id, array_to_string(list(w ORDER BY p, w), ' ') AS abstract FROM (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS w, generate_subscripts(string_split(left(text, 200), ' '), 1) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@query("SELECT doc_id, array_to_string(list(w ORDER BY p, w), ' ') AS abstract FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def inverted_abstract(spark, sf_dir):
-    w = F.split(F.substring("text", 1, 200), " ", -1)
-    index = F.map_from_entries(F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("k"), F.transform(F.filter(F.transform(w, lambda y, i: F.struct(y.alias("w"), i.alias("i"))), lambda e: e["w"] == x), lambda e: e["i"]).alias("v"))))
-    return star.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.inverted_abstract(index).alias("abstract"))
+    """Every document's words with their places, and the text made from these again."""
+    words = star.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
+    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return index.select("doc_id", tx.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 @query(f"""{ARTICLES} SELECT ord, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || array_to_string(list_transform(authors, lambda a: 'AU  - ' || a || chr(10)), '') || 'PY  - ' || left(publish_date, 4) || chr(10) || CASE WHEN doi <> '' THEN 'DO  - ' || doi || chr(10) ELSE '' END || CASE WHEN journal <> '' THEN 'JF  - ' || journal || chr(10) ELSE '' END || 'ER  -' || chr(10) AS ris FROM articles""")
