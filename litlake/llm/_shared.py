@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,8 +43,10 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     out.cut_path = path
     if release:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the end of a job is told a little later
+            time.sleep(0.3)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return out
 
 

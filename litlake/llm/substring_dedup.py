@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import cut, text_chunks
 from ._words import WIDTH, mix, shingles_of, words
@@ -15,7 +15,7 @@ from ._words import WIDTH, mix, shingles_of, words
 #: Words of the shortest passage that counts, and the least Jaccard similarity of its five-word shingles with the earlier one's.
 PASSAGE, SIMILARITY = 50, 0.8
 #: Min-hash functions, and how many must agree on an interval of a pair before its texts are compared.
-HASHES, AGREE = 6, 3
+HASHES, AGREE = 6, 2
 #: Shingles of the shortest passage, hence of the narrowest compact window.
 WINDOW = PASSAGE - WIDTH + 1
 #: How far two matches of one passage may shift against each other by insertions and deletions, and the longest unmatched
@@ -24,7 +24,7 @@ DRIFT, GAP = 48, 24
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 _SHORT = (1 << 16) - 1
-WINDOW_SCHEMA = "key long, doc long, place long, context int, rep long, rep_place long"
+WINDOW_SCHEMA = "key long, doc long, mark int, place long, context int, rep long, rep_mark int, rep_place long"
 
 
 def compact_windows(sh: np.ndarray, fences: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,21 +40,21 @@ def compact_windows(sh: np.ndarray, fences: np.ndarray, seed: np.uint64) -> tupl
     if n < WINDOW:
         return none, none, none, np.empty(0, np.uint64)
     h = mix(sh ^ seed)
-    order = (h >> np.uint64(24)) + np.uint64(1)
+    order = np.minimum((h >> np.uint64(32)) + np.uint64(1), np.uint64((1 << 32) - 1))
     order[fences] = 0
-    # the position in the low bits makes the leftmost of equal hashes the smallest; a chunk has under 2**24 shingles
-    v = (np.minimum(order, np.uint64((1 << 40) - 1)) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+    # the position in the low bits makes the leftmost of equal hashes the smallest; no text has 2**32 shingles
+    v = (order << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     pad = -n % WINDOW
     blocks = np.concatenate([v, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, WINDOW)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     m = np.minimum(back[: n - WINDOW + 1], ahead[WINDOW - 1 : n])
-    value = m >> np.uint64(24)
+    value = m >> np.uint64(32)
     new = np.ones(len(m), bool)
     new[1:] = value[1:] != value[:-1]
     m, value = m[new], value[new]
     fence = value == 0
-    centre = (m & np.uint64((1 << 24) - 1)).astype(np.int64)
+    centre = (m & np.uint64((1 << 32) - 1)).astype(np.int64)
     centre[fence] = -1
     # fences stay in the sequence as the smallest values, one for each run of windows that holds any
     left, right = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
@@ -85,14 +85,21 @@ def _packed(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.ndarr
     return (centre << 32) | (np.minimum(centre - left, _SHORT) << 16) | np.minimum(right - centre, _SHORT)
 
 
+def named_texts() -> list[Column]:
+    """(doc_id, mark, text): rows alike in the first two are taken for copies of one row."""
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("mark"), text.alias("text")]
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """Compact windows of all texts; where a chunk of texts has several windows with one key and one context, the first stays
-    and the others are already links to it (``rep``), so that a passage of very many documents is small before the shuffle."""
+    """Compact windows of all texts; where a chunk of texts has windows with one key and one context in several documents, those
+    after the first document are already links to it (``rep``), so a passage of very many documents doesn't meet in one task.
+    ``mark``, a hash of the text, tells rows apart that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, texts in text_chunks(batch.column(1)):
+            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for a, b, texts in text_chunks(batch.column(2)):
                 w = words(texts)
                 long = [d for d in range(b - a) if w.first[d + 1] - w.first[d] >= PASSAGE]
                 if not long:
@@ -103,51 +110,54 @@ def windows(docs: DataFrame) -> DataFrame:
                 sh = np.concatenate(parts)
                 fences = np.zeros(len(sh), bool)
                 fences[first[1:] - 1] = True
-                doc_of = ids[a:b][long].astype(np.int64)
-                keys, docs_, places, contexts = [], [], [], []
+                doc_of, mark_of = ids[a:b][long].astype(np.int64), marks[a:b][long]
+                keys, docs_, marks_, places, contexts = [], [], [], [], []
                 for f, seed in enumerate(_SEEDS):
                     left, centre, right, h = compact_windows(sh, fences, seed)
                     d = np.searchsorted(first, centre, "right") - 1
                     around = sh[np.maximum(centre - 7, first[d])] * np.uint64(3) + sh[np.minimum(centre + 7, first[d + 1] - 2)]
                     keys.append((h & ~np.uint64(7)) | np.uint64(f))
                     docs_.append(doc_of[d])
+                    marks_.append(mark_of[d])
                     places.append(_packed(left - first[d], centre - first[d], right - first[d]))
                     contexts.append((mix(around) >> np.uint64(33)).astype(np.int64))
-                key, doc, place, context = (np.concatenate(x) for x in (keys, docs_, places, contexts))
-                order = np.lexsort((place, doc, context, key))
-                key, doc, place, context = key[order], doc[order], place[order], context[order]
+                key, doc, mark, place, context = (np.concatenate(x) for x in (keys, docs_, marks_, places, contexts))
+                order = np.lexsort((place, mark, doc, context, key))
+                key, doc, mark, place, context = key[order], doc[order], mark[order], place[order], context[order]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
                 head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-                other = doc[head] != doc
-                keep = new | other
-                rep = pa.array(doc[head][keep], mask=new[keep])
-                cols = [pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(place[keep]), pa.array(context[keep].astype(np.int32)), rep, pa.array(place[head][keep], mask=new[keep])]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "place", "context", "rep", "rep_place"])
+                own = doc[head] == doc
+                cols = [pa.array(key.view(np.int64)), pa.array(doc), pa.array(mark), pa.array(place), pa.array(context.astype(np.int32)), *(pa.array(x[head], mask=own) for x in (doc, mark, place))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "mark", "place", "context", "rep", "rep_mark", "rep_place"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = docs.select(*named_texts()).where("doc_id is not null")
     return rows.mapInArrow(run, WINDOW_SCHEMA)
 
 
 def window_links(made: DataFrame) -> DataFrame:
-    """(doc, rep, bit of the hash function, places of both): each window with the first document of its key and context, and
-    these with the one before and the smallest of the key. Sorted rows are streamed, so no key's group is held."""
+    """(doc, mark, rep, rep_mark, bit of the hash function, places of both): each window with the first document of its key and
+    context, and these with the one before and the smallest of the key. Sorted rows are streamed, so no key's group is held."""
     part = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "place"))
-    dealt = made.withColumn("part", part).repartition("part").sortWithinPartitions("key", "context", "doc", "place")
+    dealt = made.repartition(part).sortWithinPartitions("key", "context", "doc", "mark", "place")
+    names = ["key", "context", "doc", "mark", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, context, then doc and place of the context's head and of the key's smallest head
+        # key, context, then doc, mark and place of the key's smallest head and of the last context's head
+        carried: tuple[int, int, list[int], list[int]] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = batch.filter(batch.column(4).is_valid())
-            batch = batch.filter(batch.column(4).is_null())
-            key, doc, place, context = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            out = [[x.to_numpy(zero_copy_only=False) for x in (done.column(1), done.column(4), done.column(0), done.column(2), done.column(5))]]
-            if len(key):
-                if last is not None and last[0] == key[0]:  # heads of the batch before stand in front, the smallest first
-                    key, context = np.concatenate([[last[0]] * 2, key]), np.concatenate([[-2, last[1]], context])
-                    doc, place = np.concatenate([[last[4], last[2]], doc]), np.concatenate([[last[5], last[3]], place])
+            done = batch.filter(batch.column(5).is_valid())
+            batch = batch.filter(batch.column(5).is_null())
+            col = {c: batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(names)}
+            out = [[done.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 5, 6, 0, 4, 7)]]
+            if batch.num_rows:
+                if carried is not None and carried[0] == col["key"][0]:  # heads of the batch before stand in front, the smallest first
+                    key, context, least, last = carried
+                    front = zip(names, zip([key, -2, *least], [key, context, *last]))
+                    col = {c: np.concatenate([np.array(x, np.int64), col[c]]) for c, x in front}
+                key, context, doc, mark, place = (col[c] for c in names)
                 new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
                 new_key[1:] = key[1:] != key[:-1]
                 new[1:] = new_key[1:] | (context[1:] != context[:-1])
@@ -168,16 +178,17 @@ def window_links(made: DataFrame) -> DataFrame:
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     ok = doc[x] != doc[y]
                     x, y = x[ok], y[ok]
-                    out.append([doc[x], doc[y], key[x], place[x], place[y]])
-                last = (int(key[-1]), int(context[-1]), int(doc[head[-1]]), int(place[head[-1]]), int(doc[least[-1]]), int(place[least[-1]]))
-            doc, rep, key, place, rep_place = (np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, rep, np.left_shift(1, key & 7), place, rep_place)], names=["doc", "rep", "bit", "place", "rep_place"])
+                    out.append([doc[x], mark[x], doc[y], mark[y], key[x], place[x], place[y]])
+                carried = (int(key[-1]), int(context[-1]), *([int(c[i]) for c in (doc, mark, place)] for i in (least[-1], head[-1])))
+            doc, mark, rep, rep_mark, key, place, rep_place = (np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(7))
+            cols = (doc, mark.astype(np.int32), rep, rep_mark.astype(np.int32), np.left_shift(1, key & 7), place, rep_place)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc", "mark", "rep", "rep_mark", "bit", "place", "rep_place"])
 
-    return dealt.select("key", "doc", "place", "context", "rep", "rep_place").mapInArrow(run, "doc long, rep long, bit long, place long, rep_place long")
+    return dealt.select(*names, "rep", "rep_mark", "rep_place").mapInArrow(run, "doc long, mark int, rep long, rep_mark int, bit long, place long, rep_place long")
 
 
 def candidates(links: DataFrame) -> DataFrame:
-    """(doc, rep, regions): stretches of doc over which AGREE hash functions or more matched with rep at about one shift.
+    """(doc, mark, rep, rep_mark, matches): stretches of doc over which AGREE hash functions or more matched with rep at about one shift.
 
     Links of a pair are first summed by exact shift, map-side, so a copied text costs a row and task, not one for each window.
     """
@@ -186,9 +197,9 @@ def candidates(links: DataFrame) -> DataFrame:
     low = F.greatest(centre - F.least(F.shiftright("place", 16).bitwiseAND(_SHORT), F.shiftright("rep_place", 16).bitwiseAND(_SHORT)), F.lit(0))
     high = centre + F.least(F.col("place").bitwiseAND(_SHORT), F.col("rep_place").bitwiseAND(_SHORT))
     # Far apart matches at one shift are told apart by stretches of 4096 shingles, which overlap what they hold.
-    rows = links.select("doc", "rep", shift.alias("shift"), F.shiftright("place", 44).alias("stretch"), "bit", low.alias("low"), high.alias("high"))
-    rows = rows.groupBy("doc", "rep", "shift", "stretch").agg(F.bit_or("bit").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = rows.groupBy("doc", "rep").agg(F.bit_or("bits").alias("bits"), F.collect_list(F.struct("low", "high", "shift", "bits")).alias("matches"))
+    rows = links.select("doc", "mark", "rep", "rep_mark", shift.alias("shift"), F.shiftright("place", 44).alias("stretch"), "bit", low.alias("low"), high.alias("high"))
+    rows = rows.groupBy("doc", "mark", "rep", "rep_mark", "shift", "stretch").agg(F.bit_or("bit").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = rows.groupBy("doc", "mark", "rep", "rep_mark").agg(F.bit_or("bits").alias("bits"), F.collect_list(F.struct("low", "high", "shift", "bits")).alias("matches"))
     return pairs.where(F.bit_count("bits") >= AGREE).drop("bits")
 
 
@@ -249,60 +260,71 @@ def passages(own: np.ndarray, start: int, other: np.ndarray, other_start: int) -
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages of PASSAGE words or more that nearly repeat one of a document with a smaller doc_id: doc_id, start and end
-    (code points, end exclusive), words, other_id and the passage's start_word and other_word there.
+    """Passages of PASSAGE words or more that nearly repeat one of a document with a smaller doc_id: doc_id, mark (a hash of the
+    text), start and end (code points, end exclusive), words, other_id and the passage's start_word and other_word there.
 
     Near: five-word shingles with Jaccard similarity SIMILARITY or more; words are lower-cased runs of letters and digits. A
     passage is compared with one or a few earlier documents that share its min-hashes, not with all, so a passage of many
     documents gives rows in proportion to them, and its first document none. Repetition within a document, and between
-    rows with one doc_id, is not reported. Null, empty and short texts and null ids give no row; ties of min-hashes go to the
-    smallest doc_id, then place. Other columns are ignored. An empty table gives no row.
+    rows with one doc_id, is not reported; such rows are compared with others each by itself. Null, empty and short texts and
+    null ids give no row; ties of min-hashes go to the smallest doc_id, then place. Other columns are ignored. An empty table
+    gives no row.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = cut(candidates(window_links(windows(docs))), "pairs")
+    texts = docs.select(*named_texts()).dropDuplicates(["doc_id", "mark"])
+    pairs = cut(candidates(window_links(windows(docs))), "pairs", release=True)
 
     def regional(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep_of, last, h = batch.column(1).to_pylist(), None, None
+            doc, mark, rep, rep_mark = (batch.column(i).to_pylist() for i in range(4))
+            last, text, w = None, "", None
             out: list[tuple] = []
-            for i, (doc, matches) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            for i, matches in enumerate(batch.column(4).to_pylist()):
                 found = regions(matches)
                 if not found:
                     continue
-                if rep_of[i] != last:
-                    last, h = rep_of[i], shingles_of(words([batch.column(3)[i].as_py()]).hashes)
+                if (rep[i], rep_mark[i]) != last:
+                    last, text = (rep[i], rep_mark[i]), batch.column(5)[i].as_py()
+                    w = words([text])
                 for a, b, p, q in found:
-                    p, q = max(0, p - GAP), q + GAP + 1
-                    out.append((doc, last, a, b, p, h[p:q].tobytes()))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.binary()])], names=["doc", "rep", "low", "high", "rep_low", "sh"])
+                    p, q = max(0, p - GAP), min(q + GAP + WIDTH, len(w.starts) - 1)
+                    if p <= q:
+                        out.append((doc[i], mark[i], rep[i], a, b, p, text[w.starts[p] : w.ends[q]]))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "mark", "rep", "low", "high", "rep_low", "part"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, rep, low, high, rep_low = (batch.column(i).to_pylist() for i in range(5))
+            doc, mark, rep, low, high, rep_low = (batch.column(i).to_pylist() for i in range(6))
             out: list[tuple] = []
             last, w, h = None, None, None
+            parts: list[np.ndarray] = []  # shingles of the other text's stretches
+            for a, b, some in text_chunks(batch.column(6)):
+                own = words(some)
+                parts += [shingles_of(own.hashes[own.of(d)]) for d in range(b - a)]
             for i in range(batch.num_rows):
-                if doc[i] != last:
-                    last, w = doc[i], words([batch.column(6)[i].as_py()])
+                if (doc[i], mark[i]) != last:
+                    last, w = (doc[i], mark[i]), words([batch.column(7)[i].as_py()])
                     h = shingles_of(w.hashes)
                 a = max(0, low[i] - GAP)
-                for x, y, p, _ in passages(h[a : high[i] + GAP + 1], a, np.frombuffer(batch.column(5)[i].as_py(), np.uint64), rep_low[i]):
+                for x, y, p, _ in passages(h[a : high[i] + GAP + 1], a, parts[i], rep_low[i]):
                     end = y + WIDTH - 1
-                    out.append((doc[i], int(w.starts[x]), int(w.ends[end]), end - x + 1, rep[i], x, p))
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end", "words", "other_id", "start_word", "other_word"])
+                    out.append((doc[i], mark[i], int(w.starts[x]), int(w.ends[end]), end - x + 1, rep[i], x, p))
+            cols = list(zip(*out)) or [()] * 8
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "mark", "start", "end", "words", "other_id", "start_word", "other_word"])
 
-    one = pairs.join(texts, F.col("rep") == F.col("doc_id")).select("doc", "rep", "matches", "text")
-    one = one.mapInArrow(regional, "doc long, rep long, low long, high long, rep_low long, sh binary")
-    two = one.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "rep", "low", "high", "rep_low", "sh", "text")
-    return two.mapInArrow(verified, "doc_id long, start long, end long, words long, other_id long, start_word long, other_word long")
+    of_rep = texts.select(F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark"), "text")
+    one = pairs.join(of_rep, ["rep", "rep_mark"]).select("doc", "mark", "rep", "rep_mark", "matches", "text")
+    one = one.mapInArrow(regional, "doc long, mark int, rep long, low long, high long, rep_low long, part string")
+    two = one.join(texts.withColumnRenamed("doc_id", "doc"), ["doc", "mark"]).select("doc", "mark", "rep", "low", "high", "rep_low", "part", "text")
+    return two.mapInArrow(verified, "doc_id long, mark int, start long, end long, words long, other_id long, start_word long, other_word long")
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """One row per document with a repeated passage: doc_id, spans (array of start, end; apart and in order), other_ids
+    """One row per document (doc_id, mark) with a repeated passage: spans (array of start, end; apart and in order), other_ids
     (sorted), removed characters."""
-    by = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"), F.sort_array(F.collect_set("other_id")).alias("other_ids"))
+    by = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"), F.sort_array(F.collect_set("other_id")).alias("other_ids"))
     kind = "array<struct<start:bigint,end:bigint>>"
     join = F.aggregate(
         "s",
@@ -312,21 +334,22 @@ def merged(found: DataFrame) -> DataFrame:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    out = by.select("doc_id", join.alias("spans"), "other_ids")
+    out = by.select("doc_id", "mark", join.alias("spans"), "other_ids")
     return out.withColumn("removed", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]))
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with every passage that ``repeated_passages`` finds cut out of ``text``; columns and rows are the same."""
-    spans = merged(repeated_passages(docs)).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    out = docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    n = F.size("_spans")
+    spans = merged(repeated_passages(docs)).select("doc_id", "mark", "spans")
+    rows = docs.select(*named_texts(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    n, text = F.size("spans"), F.col("text")
     kept = F.transform(
         F.sequence(F.lit(0), n),
         lambda i: F.substring(
-            "text",
-            F.when(i == 0, 1).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"),
-            F.greatest(F.when(i == n, F.length("text")).otherwise(F.element_at("_spans", F.least(i + 1, n))["start"]) - F.when(i == 0, 0).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"]), F.lit(0)).cast("int"),
+            text,
+            F.when(i == 0, 1).otherwise(F.element_at("spans", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"),
+            F.greatest(F.when(i == n, F.length(text)).otherwise(F.element_at("spans", F.least(i + 1, n))["start"]) - F.when(i == 0, 0).otherwise(F.element_at("spans", F.greatest(i, F.lit(1)))["end"]), F.lit(0)).cast("int"),
         ),
     )
-    return out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(docs.columns)
+    whole = rows.join(spans, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(kept, "")))
+    return whole.select(*(F.col("_cut").alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns))
