@@ -8,35 +8,43 @@ from litlake.llm import near_dedup, packing, pii, quality, substring_dedup
 from litlake.llm._shared import cut
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """n_chars again counts the text."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+def _packed_up(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row as one column, so that no name of ``docs`` meets one that a stage makes."""
+    return docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The rows with a new text; n_chars counts it, if there is such a column."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*(new[c].alias(c) if c in new else F.col("whole").getField(c).alias(c) for c in columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from ``labels``, doesn't reject."""
+    """Documents that the classifier, learned from ``labels``, doesn't reject. Rows are judged one by one, null texts as empty
+    ones; without any label all stay."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.score_quality(_packed_up(docs), model).where("predicted = 1").select("whole.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id, of repeated rows one. Rows without an id or without a
+    word in their text stay."""
     return near_dedup.keep_one(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id has as well."""
-    return _sized(substring_dedup.remove_passages(docs))
+    """Texts without the passages that a document with a smaller id has as well. No row goes; null texts stay null."""
+    out = substring_dedup.remove_passages(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which personal data is replaced by its kind."""
-    found = pii.find_pii(docs, mask=True)
-    return _sized(found.withColumn("text", F.col("masked")).select(docs.columns))
+    """Texts in which personal data is replaced by its kind. No row goes; null texts stay null."""
+    return _with_text(pii.find_pii(_packed_up(docs), mask=True), docs.columns, "masked")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids."""
+    """Sequences of token ids; null texts count as empty ones."""
     return packing.pack(docs)
 
 
