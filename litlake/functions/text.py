@@ -142,3 +142,31 @@ def cosine(a: Column, b: Column) -> Column:
     """Clamped to 0..1; 0 if either has no length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(F.lit(0.0))
+
+
+def first_field(body: Column, name: str, depth: int = 6) -> Column:
+    """The first text under a name in a JSON text: of the object itself, else of what its values hold, up to ``depth`` levels."""
+
+    def find(v: Column, left: int) -> Column:
+        own = F.try_variant_get(v, f"$['{name}']", "string")
+        if not left:
+            return own
+        values = F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        below = F.filter(F.transform(values, lambda x: find(x, left - 1)), lambda s: s.isNotNull() & (s != ""))
+        return F.coalesce(own, F.get(below, F.lit(0)))
+
+    return F.coalesce(find(F.try_parse_json(F.coalesce(body, F.lit(""))), depth), F.lit(""))
+
+
+def is_next_link(anchor: Column) -> Column:
+    """Whether an anchor tag leads to a next page: by its relation, or by what it, its label or its title says."""
+    low = F.lower(F.coalesce(anchor, F.lit("")))
+    says = F.regexp_replace(F.concat_ws(" ", F.regexp_replace(low, "<[^>]*>", " "), F.regexp_extract(low, r"aria-label\s*=\s*[\"']([^\"']*)", 1), F.regexp_extract(low, r"title\s*=\s*[\"']([^\"']*)", 1)), r"\s+", " ")
+    return low.rlike(r"\brel\s*=\s*[\"'][^\"']*\bnext\b") | F.contains(says, F.lit("next page")) | (F.trim(says) == "next")
+
+
+def is_listing_url(url: Column, host: str, path: str) -> Column:
+    """Whether an address is a page of a listing: relative or of ``host``, with the listing's path and a page number."""
+    own = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")).isin("", host)
+    place = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), "/+$", "")
+    return own & (place == path.rstrip("/")) & F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1).contains("page=")

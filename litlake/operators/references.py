@@ -164,7 +164,7 @@ def extract_references(texts: DataFrame, most: int | None = None) -> DataFrame:
     # what patterns say is an expression: DOI, year, the names in front of the first full stop
     raw = F.col("raw")
     head = F.get(F.split(raw, r"\.\s", 2), F.lit(0))
-    names = F.slice(F.filter(F.transform(F.split(head, r"[,;]\s+"), F.trim), lambda a: a != ""), 1, 8)
+    names = F.slice(F.filter(F.transform(F.split(head, r"[,;]\s+"), lambda a: F.trim(a)), lambda a: a != ""), 1, 8)
     rows = rows.select(
         "id", "pos", "raw", F.lower(F.regexp_replace(F.regexp_extract(raw, _DOI, 0), r"[.,;)]+$", "")).alias("doi"), F.regexp_extract(raw, _YEAR, 0).alias("publish_date"),
         F.when(F.length(head) <= 160, names).otherwise(F.array().cast("array<string>")).alias("authors"), F.trim(F.regexp_replace(F.regexp_replace(raw, r"https?://\S+", ""), f"{_DOI}|(?i)\\bdoi:?", "")).alias("_body"),
@@ -193,3 +193,16 @@ def title_search(hits: DataFrame, title: str | None, most: int) -> DataFrame:
         rows = rows.withColumn("similarity", title_similarity(title))
         order = [F.desc("similarity"), *order]
     return rows.orderBy(*order).limit(most)
+
+
+def downloadable(pool: DataFrame, threshold: float, least: float, most: int, need_doi: bool = True) -> DataFrame:
+    """Of a scored pool with ``completed`` the references to ask for: relevant, valuable and with a DOI, the best first, until
+    ``most`` are complete. Only the ones that are complete count, so the cut is the place of the last of these."""
+    if most <= 0:
+        return pool.limit(0)
+    ok = (F.col("relevance_score") >= threshold) & (F.col("value_score") >= least)
+    rows = pool.where(ok & (F.col("doi") != "") if need_doi else ok)
+    place = F.struct(-F.col("value_score"), -F.col("relevance_score"), F.lower("title"), F.col("ref_key"))
+    rows = rows.withColumn("_place", place)
+    last = rows.where("completed").orderBy("_place").limit(most).agg(F.max("_place").alias("_last"), F.count("*").alias("_n"))  # one row
+    return rows.crossJoin(F.broadcast(last)).where((F.col("_n") < most) | (F.col("_place") <= F.col("_last"))).drop("_place", "_last", "_n")

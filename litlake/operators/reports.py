@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize_title, tokens
 
@@ -55,3 +55,40 @@ def cross_domain_tokens(domains: DataFrame, most: int = 8) -> DataFrame:
 def gaps(syntheses: DataFrame, most: int = 12) -> DataFrame:
     """The first research gaps over all domains (domain, gaps: array), in the order of domains."""
     return syntheses.select("domain", F.posexplode("gaps").alias("pos", "gap")).orderBy("domain", "pos").limit(most)
+
+
+#: Headings of a domain's report, the field that each is made of, and what stands for nothing.
+SECTIONS = (
+    ("Core Problem System", "core_problem_system"), ("Method System", "method_system"), ("Mature Findings", "mature_findings"), ("Controversies Or Uncertainties", "controversies_or_uncertainties"),
+    ("Research Gaps", "research_gaps"), ("Candidate Research Questions", "candidate_research_questions"),
+)
+NOTHING = "- Not enough evidence in the prepared inputs."
+
+
+def bullets(values: Column) -> Column:
+    """A list as Markdown."""
+    return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), F.coalesce(v, F.lit("")))), "\n")).otherwise(NOTHING)
+
+
+def count_line(name: Column, papers: Column, citations: Column) -> Column:
+    return F.format_string("%s (%d papers; %d citations)", F.coalesce(name, F.lit("Unknown")), papers.cast("long"), citations.cast("long"))
+
+
+def reliability_note(reliability: Column, full_text: Column, selected: Column) -> Column:
+    sparse = F.format_string("The domain synthesis has sparse full-text PDF support (%d of %d selected papers) and should be treated as provisional.", full_text.cast("long"), selected.cast("long"))
+    partial = "The domain synthesis has partial full-text support; method and limitation claims should be read with some caution."
+    return F.when(reliability == "high", "The domain synthesis is supported by broad full-text PDF evidence among the selected papers.").when(reliability == "medium", partial).otherwise(sparse)
+
+
+def domain_report(synthesis: Column, coverage: dict[str, Column] | None = None, note: Column | None = None) -> Column:
+    """A repaired synthesis (struct) as Markdown, with the coverage's labels and values and its note if there are any."""
+    head = [F.concat(F.lit("# "), F.coalesce(F.nullif(synthesis["domain"], F.lit("")), F.lit("Domain"))), F.lit(""), synthesis["one_sentence_summary"], F.lit("")]
+    if coverage:
+        head += [F.lit("## Evidence Coverage"), F.lit(""), *(F.concat(F.lit(f"- {label}: "), value.cast("string")) for label, value in coverage.items())]
+        head += [F.lit(""), F.concat(F.lit("Reliability note: "), note)] if note is not None else []
+        head.append(F.lit(""))
+    for title, name in SECTIONS:
+        head += [F.lit(f"## {title}"), F.lit(""), bullets(synthesis[name]), F.lit("")]
+    reading = F.transform(synthesis["recommended_reading_order"], lambda x: F.rtrim(F.concat(F.coalesce(F.get_json_object(x, "$.title"), F.lit("")), F.lit(": "), F.coalesce(F.get_json_object(x, "$.reason"), F.lit("")))))
+    tail = [F.lit("## Recommended Reading Order"), F.lit(""), bullets(reading), F.lit(""), F.concat(F.lit("Confidence: "), synthesis["confidence"]), F.lit("")]
+    return F.array_join(F.array(*head, *tail), "\n")

@@ -152,7 +152,7 @@ def unsupported(snippets: Column, basis: Column, least: float = 0.92) -> Column:
         return pd.Series([[s["shown"] for s in some if window_ratio(s["plain"], t) < least] if some is not None and len(some) else [] for some, t in zip(left, text)])
 
     plain = normalize(basis)
-    rows = F.transform(F.filter(F.transform(F.coalesce(snippets, _none()), F.trim), lambda s: s != ""), lambda s: F.struct(s.alias("shown"), normalize(s).alias("plain")))
+    rows = F.transform(F.filter(F.transform(F.coalesce(snippets, _none()), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.struct(s.alias("shown"), normalize(s).alias("plain")))
     left = F.filter(rows, lambda s: ~F.contains(plain, s["plain"]))
     return F.when(plain == "", F.transform(left, lambda s: s["shown"])).when(F.size(left) == 0, _none()).otherwise(far(left, plain))
 

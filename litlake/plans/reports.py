@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text as tx
-from ..operators import classify, enrich, filters, monitor, pdf, ranking, references as refs_, reports, stats, summaries, validation
-from ..sources import lookups, records, sinks, star
-from .catalogue import AGE, ARTICLES, AS_OF, COUNTS, POOL, REFS, REF_VALUE, REVIEW, TEAM, TIERS, VALUED, query
+from ..operators import classify, enrich, evidence, filters, monitor, pdf, ranking, references as refs_, reports, stats, summaries, validation
+from ..schema import ARTICLE, normalise_articles
+from ..sources import lookups, runs, star
+from .catalogue import ARTICLES, AS_OF, COUNTS, POOL, REF_VALUE, REFS, REVIEW, TIERS, VALUED, query
 
 # --- answers of models -------------------------------------------------------------------------------------------------------
 
@@ -430,3 +431,58 @@ def listing_urls(spark, sf_dir):
 def pending_events(spark, sf_dir):
     rows = star.table(spark, sf_dir, "events")
     return monitor.pending(rows, rows.where("event_type = 'click'"), "event_id").select("event_id")
+
+
+@query("SELECT 'd' || doc_id AS domain, '# ' || 'd' || doc_id || chr(10) || chr(10) || CASE WHEN doc_id % 5 > 0 AND doc_id % 2 = 0 THEN 's' ELSE '' END AS head, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 > 0 THEN '- g' || doc_id ELSE '- Not enough evidence in the prepared inputs.' END AS gaps, 'Confidence: low' AS last FROM labels")
+def domain_reports(spark, sf_dir):
+    rows = _syntheses(spark, sf_dir).withColumn("s", validation.repaired_synthesis(F.col("answer"), F.col("domain")))
+    lines = F.split(reports.domain_report(F.col("s")), "\n")
+    gaps = F.get(F.split(reports.domain_report(F.col("s")), "## Research Gaps\n\n"), F.lit(1))
+    return rows.select("domain", F.array_join(F.slice(lines, 1, 3), "\n").alias("head"), F.get(F.split(gaps, "\n"), F.lit(0)).alias("gaps"), F.get(lines, F.size(lines) - 2).alias("last"))
+
+
+@query(f"{ARTICLES} SELECT subdomain || ' (' || count(*) || ' papers; ' || sum(c)::BIGINT || ' citations)' AS line FROM articles GROUP BY subdomain")
+def count_lines(spark, sf_dir):
+    rows = stats.group_counts(star.articles(spark, sf_dir), F.col("subdomain"), "subdomain")
+    return rows.select(reports.count_line(F.col("subdomain"), F.col("paper_count"), F.col("citation_count")).alias("line"))
+
+
+@query(f"{_SCORED}, o AS (SELECT *, {REF_VALUE} AS value, citation_count % 2 = 0 AS done FROM v), g AS (SELECT *, row_number() OVER w AS place, coalesce(sum((coalesce(done, false))::INT) OVER (ORDER BY value DESC, r DESC, lower(title), ref_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE r >= 0.3 AND value >= 0.2 AND doi <> '' WINDOW w AS (ORDER BY value DESC, r DESC, lower(title), ref_key)) SELECT ref_key FROM g WHERE before < 15")
+def downloadable_references(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("completed", F.coalesce(F.col("citation_count") % 2 == 0, F.lit(False)))
+    return refs_.downloadable(rows, 0.3, 0.2, 15).select("ref_key")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '{\"a\": 1}' ELSE 'x' || conv_id END AS answer FROM conversations WHERE text IS NULL OR text <> ''")
+def model_answers(spark, sf_dir):
+    """The text of answers of both protocols, and of a field that lies deep in one."""
+    text = F.coalesce("text", F.lit(""))
+    outputs = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("output_text").alias("type"), text.alias("text"))).alias("content"))).alias("output")))
+    fenced = F.lit('{"choices": [{"message": {"content": "```json\\n{\\"a\\": 1}\\n```"}}]}')
+    deep = F.format_string('{"a": [{"b": 1}, {"c": {"said": "x%s"}}]}', F.col("conv_id").cast("string"))
+    t = F.col("turn") % 3
+    rows = star.table(spark, sf_dir, "conversations").where("text is null or text <> ''")
+    return rows.select("conv_id", "turn", F.when(t == 0, text).when(t == 1, runs.answer_text(fenced)).otherwise(tx.first_field(deep, "said")).alias("answer"))
+
+
+@query("SELECT page_id, page_id % 4 < 3 AS is_next, page_id % 2 = 0 AS is_listing FROM pages")
+def page_links(spark, sf_dir):
+    k = F.col("page_id")
+    anchors = F.array(F.lit('<a rel="nofollow next" href="x">2</a>'), F.lit("<a href='y'> Next </a>"), F.lit('<a aria-label="Go to next page" href="z">&gt;</a>'), F.lit('<a href="next">previous</a>'))
+    urls = F.array(F.concat(F.lit("https://x.org/j/research-articles/?page="), k.cast("string")), F.lit("https://x.org/j/research-articles"))
+    return star.table(spark, sf_dir, "pages").select("page_id", tx.is_next_link(F.get(anchors, (k % 4).cast("int"))).alias("is_next"), tx.is_listing_url(F.get(urls, (k % 2).cast("int")), "x.org", "/j/research-articles").alias("is_listing"))
+
+
+@query(f"{ARTICLES} SELECT ord, title, doi, journal, publish_date, subdomain, coalesce(citation_count, -1) AS citation_count FROM articles")
+def manifest_roundtrip(spark, sf_dir):
+    """Articles as a manifest's JSON, read again with the defaults of absent fields."""
+    rows = normalise_articles(star.articles(spark, sf_dir))
+    texts = rows.select("_ord", F.to_json(F.struct(*[f.name for f in ARTICLE.fields])).alias("j"))
+    back = normalise_articles(texts.select("_ord", F.from_json("j", ARTICLE).alias("a")).select("_ord", "a.*"))
+    return back.select(F.col("_ord").alias("ord"), "title", "doi", "journal", "publish_date", "subdomain", F.coalesce("citation_count", F.lit(-1)).alias("citation_count"))
+
+
+@query()
+def evidence_bundles(spark, sf_dir):
+    rows = star.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(tx.sentences(F.col("text")), F.lit(0)).alias("abstract"), "text")
+    return evidence.evidence_bundles(rows, 4).select("id", "total_chunks", F.size("selected_chunks").alias("n_selected"), "coverage_status", F.array_join("missing_reasons", ",").alias("missing_reasons"))

@@ -15,10 +15,40 @@ def write_manifest(articles: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """CSV with a header; what is missing is empty; arrays are joined by semicolons."""
+    """CSV with a header that begins with a byte order mark, for spreadsheets; what is missing is empty; arrays are joined by
+    semicolons. Each part file is a report of its own."""
     kinds = dict(rows.dtypes)
-    cols = [(F.array_join(c, "; ") if kinds[c].startswith("array<string") else F.col(c).cast("string")).alias(c) for c in fields]
-    rows.select(*cols).na.fill("").write.mode("overwrite").csv(path, header=True, emptyValue="")
+    mark = "\ufeff"
+    names = [mark * (i == 0) + c for i, c in enumerate(fields)]
+    cols = [F.coalesce(F.array_join(c, "; ") if kinds[c].startswith("array<string") else F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(fields, names)]
+    rows.select(*cols).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+def write_json_row(row: DataFrame, path: str) -> None:
+    """A summary of one row as a JSON object; nulls stay."""
+    row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_ranking(ranked: DataFrame, summary: DataFrame, path: str) -> None:
+    """All columns of the ranking as CSV, in its order, and the stage's summary."""
+    write_report(ranked.orderBy("rank"), f"{path}/ranking", ranked.columns)
+    write_json_row(summary, f"{path}/summary")
+
+
+def write_references(pool: DataFrame, summary: DataFrame, path: str, most: int = 50) -> None:
+    """A scored pool, ordered, as JSON lines and CSV; its first ``most``; and its summary."""
+    texts = [c for c, kind in pool.dtypes if not kind.startswith(("map", "struct", "array<struct"))]
+    pool.write.mode("overwrite").json(f"{path}/manifest")
+    write_report(pool, f"{path}/candidates", texts)
+    write_report(pool.limit(most), f"{path}/top", texts)
+    write_json_row(summary, f"{path}/summary")
+
+
+def write_basic_stats(rankings: DataFrame, citations: DataFrame, path: str) -> None:
+    """Histograms (kind, name, count) and citation rankings (kind, name, citation_count), a JSON line for each, best first."""
+    counts = rankings.select(F.concat("kind", F.lit("_counts")).alias("entry"), "name", F.col("count").cast("long").alias("value"))
+    ranked = citations.select(F.concat("kind", F.lit("_citation_ranking")).alias("entry"), "name", F.col("citation_count").alias("value"))
+    counts.unionByName(ranked).orderBy("entry", F.desc("value"), "name").write.mode("overwrite").json(path)
 
 
 def write_packages(papers: DataFrame, path: str) -> None:

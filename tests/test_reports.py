@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from litlake import flow
 from litlake.operators import classify, evidence, pdf, reports, summaries, validation as v
-from litlake.sources import lookups
+from litlake.sources import lookups, runs, sinks
 
 
 def errors(spark, answer, schema):
@@ -73,3 +74,47 @@ def test_lookups_and_percentages(spark):
     assert summaries.percent_to_threshold(None) == 0.12 and summaries.percent_to_threshold(30) == 0.3
     with pytest.raises(ValueError):
         summaries.percent_to_threshold(101)
+
+
+def test_stages_and_settings(spark, tmp_path):
+    plan = flow.Plan.of(["pdf-download", "report"], ["agents=dry-run"])
+    assert not plan.runs("pdf_download") and plan.runs("stats") and plan.mode("paper_agents") == "dry-run"
+    assert plan.rows() == [("final_report", False, "default"), ("paper_agents", True, "dry-run"), ("pdf_download", False, "default")]
+    for bad in (lambda: flow.Plan.of(["nothing"]), lambda: flow.Plan.of([], ["stats"]), lambda: flow.Plan.of(["pdf"], [], flow.CORE), lambda: flow.reference_limits(most=0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert flow.article_filter("a, b ,", min_citations=3).keywords == ("a", "b") and flow.reference_limits(12, 3) == (0.12, 3)
+    (tmp_path / "rules.json").write_text('{"rules": [{"domain": " D ", "terms": ["x", " "]}, {"domain": "", "terms": ["y"]}]}')
+    (tmp_path / "list.json").write_text('[{"domain": "E", "terms": ["z"]}]')
+    assert runs.read_rules(spark, str(tmp_path / "rules.json")) == [("D", ("x",))] and runs.read_rules(spark, str(tmp_path / "list.json")) == [("E", ("z",))]
+    (tmp_path / "env").write_text("# c\nA='1'\nexport B = two\nC=3\n")
+    assert runs.read_settings(spark, str(tmp_path / "env"), {"C": "9"}) == {"A": "1", "B": "two", "C": "9"}
+
+
+def test_runs_packages_and_reports(spark, tmp_path):
+    for run in ("one", "two"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "domain_manifest.json").write_text('{"domain_name": "%s", "paper_count": 2}' % run)
+        (tmp_path / run / "notes.txt").write_text("x")
+    assert [r["files"] for r in runs.runs(spark, str(tmp_path)).collect()] == [1, 1]
+    assert {r["domain_name"] for r in runs.read_packages(spark, str(tmp_path)).collect()} == {"one", "two"}
+    df = spark.createDataFrame([(1, "a", None), (2, None, ["x", "y"])], "rank int, title string, authors array<string>")
+    sinks.write_ranking(df, df.limit(1), str(tmp_path / "out"))
+    files = [f.read_text("utf-8") for f in sorted((tmp_path / "out/ranking").glob("part-*"))]
+    assert all(f.startswith("\ufeffrank,title,authors\n") for f in files) and "2,,x; y\n" in "".join(files)
+    assert spark.read.text(str(tmp_path / "out/summary")).first()[0] == '{"rank":1,"title":"a","authors":null}'
+
+
+def test_calls_are_paced_and_tried_again():
+    calls = []
+
+    def fetch(address):
+        calls.append(address)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert runs.paced(fetch, 0.0, 2, 0.01)("x") == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        calls.clear()
+        runs.paced(fetch, 0.0, 1, 0.01)("x")
