@@ -80,8 +80,9 @@ class Index:
     def search(self, q: np.ndarray, own: int, code: np.ndarray, top: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k``. By the pigeonhole principle every code within PIECES * (errors + 1) - 1 bits has a
         substring within ``errors``; the radius grows until it is MARGIN deviations past what the k-th angle leads to expect.
-        Up to one error the buckets in reach are looked up. Beyond that there are more of them than rows, so each row's
-        substrings are compared, once for all further radii."""
+        Up to one error the buckets in reach are looked up. Beyond that there are more of them than rows, and more than have a
+        row, so the rows that they hold are told by comparing each row's substrings, once for all further radii: the same
+        rows, at less cost than going through the buckets."""
         length, errors, near = float(np.sqrt((q**2).sum())), 0, None
         while True:
             radius = PIECES * (errors + 1) - 1
