@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of the longest entity: what bounds the dynamic programme.
-LONGEST = 12
+#: Tokens of the longest entity, which bounds the dynamic programme, and its characters: those of the longest mail address.
+LONGEST, LONGEST_CHARS = 12, 254
 #: Tokens on either side of a digit or an at sign that are decoded with it.
 REACH = 10
 #: Synthetic training windows, rounds of AdaGrad, the seed: the model depends on nothing else.
@@ -86,9 +87,11 @@ FEATURES = (
 def _features(text: str, tokens: Sequence[tuple[int, int]], i: int, j: int) -> np.ndarray | None:
     """Of the whole segment tokens[i:j]; None if it can't be an entity at all."""
     a, b = tokens[i][0], tokens[j - 1][1]
+    if b - a > LONGEST_CHARS:
+        return None
     s = text[a:b]
     first, last = s[0], s[-1]
-    if "\n" in s or not (first.isalnum() or first in "+(") or not (last.isalnum() or last == ")") or len(s) > 80:
+    if "\n" in s or not (first.isalnum() or first in "+(") or not (last.isalnum() or last == ")"):
         return None
     digits = re.sub(r"[^0-9]", "", s)
     spelled = re.search(r"[(\[]at[)\]]| at ", s, re.I) is not None and re.search(r"\.| dot ", s, re.I) is not None
@@ -114,6 +117,8 @@ def candidates(text: str, tokens: Sequence[tuple[int, int]]) -> list[tuple[int,
     out = []
     for i in range(len(tokens)):
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            if tokens[j - 1][1] - tokens[i][0] > LONGEST_CHARS:
+                break
             if (f := _features(text, tokens, i, j)) is not None:
                 out.append((i, j, f))
     return out
@@ -229,16 +234,23 @@ def trained() -> np.ndarray:
 
 
 def added_spans(text: str, base: Sequence[Span], weights: np.ndarray) -> list[Span]:
-    """What the field finds outside the base spans, decoded in windows around digits and at signs."""
-    taken = sorted((a, b) for _, a, b in base)
+    """What the field finds outside the base spans, decoded in windows around digits and at signs. A window begins where the
+    last span of the one before ends, so that spans never overlap."""
+    taken: list[tuple[int, int]] = []  # the base spans as stretches apart from each other, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], b))
+        else:
+            taken.append((a, b))
+    begins, ends = [a for a, _ in taken], [b for _, b in taken]
     anchors, t = [], 0
     for m in _ANCHOR.finditer(text):
-        while t < len(taken) and taken[t][1] <= m.start():
+        while t < len(taken) and ends[t] <= m.start():
             t += 1
-        if t == len(taken) or m.end() <= taken[t][0]:
+        if t == len(taken) or m.end() <= begins[t]:
             anchors.append(m.span())
     out: list[Span] = []
-    begin = 0
+    begin = floor = 0
     while begin < len(anchors):
         end = begin + 1
         while end < len(anchors) and anchors[end][0] - anchors[end - 1][1] <= 24 and end - begin < 24:
@@ -246,19 +258,23 @@ def added_spans(text: str, base: Sequence[Span], weights: np.ndarray) -> list[Sp
         some = anchors[begin:end]
         # no entity has under seven digits but those with an at sign
         if sum(b - a for a, b in some if text[a] in "0123456789") >= 7 or any(text[a] not in "0123456789" for a, _ in some):
-            out += _window(text, some[0][0], some[-1][1], taken, weights)
+            a, b = some[0][0], some[-1][1]
+            # a base span closes the window
+            low, high = max(0, a - 12 * REACH, floor), min(len(text), b + 12 * REACH)
+            if (k := bisect_right(ends, a)) > 0:
+                low = max(low, ends[k - 1])
+            if (k := bisect_left(begins, b)) < len(taken):
+                high = min(high, begins[k])
+            inside = taken[bisect_right(ends, low) : bisect_left(begins, high)]
+            found = _window(text, max(a, low), b, low, high, inside, weights)
+            floor = max([floor, *(y for *_, y in found)])
+            out += found
         begin = end
-    return sorted(set(out))
+    return out
 
 
-def _window(text: str, a: int, b: int, taken: Sequence[tuple[int, int]], weights: np.ndarray) -> list[Span]:
-    low, high = max(0, a - 12 * REACH), min(len(text), b + 12 * REACH)
-    for x, y in taken:  # a base span closes the window
-        if y <= a:
-            low = max(low, y)
-        elif x >= b:
-            high = min(high, x)
-            break
+def _window(text: str, a: int, b: int, low: int, high: int, taken: Sequence[tuple[int, int]], weights: np.ndarray) -> list[Span]:
+    """The best segmentation of the stretch from low to high around anchors from a to b, outside of ``taken``."""
     tokens = [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
     tokens = [x for x in tokens if not any(p < x[1] and x[0] < q for p, q in taken)] if taken else tokens
     near = [k for k, x in enumerate(tokens) if x[1] > a and x[0] < b]

@@ -17,6 +17,8 @@ SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: A document whose score is lower is predicted to be of label 0.
 THRESHOLD = 0.3
 ITERATIONS, STEP, RIDGE = 90, 0.08, 1e-3
+#: Lines whose features are held at once while scoring; bounds memory, not what is processed.
+LINES = 20_000
 
 #: Classes of characters that are counted in every line.
 _CLASSES = ("upper", "lower", "digit", "space", "bang", "bar", "symbol", "stop", "other")
@@ -31,8 +33,9 @@ _RATES = 12
 N_FEATURES = 3 * _RATES + 2 * _RATES + 6
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by line, characters by line, first line of every text and the end). Every text has a line, if an empty one."""
+def line_rates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rates and signs of each line, characters by line, first line of every text and the end). Every text has a line, if an
+    empty one."""
     texts = [t or "" for t in texts]
     joined = "\n".join([*texts, ""])
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,18 +74,28 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         ],
         axis=1,
     ).astype(float)
-    rates = np.minimum(rates, 4)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    before, after = np.zeros_like(rates), np.zeros_like(rates)
-    inner = doc[1:] == doc[:-1]
-    before[1:][inner] = rates[:-1][inner]
-    after[:-1][inner] = rates[1:][inner]
-    ends_here = np.ones(len(starts), bool)
-    ends_here[:-1] = ~inner
-    begins = np.ones(len(starts), bool)
-    begins[1:] = ~inner
-    more = np.stack([np.ones(len(starts)), begins, ends_here, size == 0, count["upper"] > 0.9 * letters, count["symbol"] + count["bang"] + count["bar"] > some], axis=1)
-    return np.concatenate([rates, np.sqrt(rates), rates > 0, before, after, more], axis=1), size, first
+    rates = np.minimum(rates, 4).astype(np.float32)
+    signs = np.stack([size == 0, count["upper"] > 0.9 * letters, count["symbol"] + count["bang"] + count["bar"] > some], axis=1)
+    return rates, signs, size, first
+
+
+def features(rates: np.ndarray, signs: np.ndarray, begins: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Features of the lines from a to b: their own rates, roots and signs, and the rates of their neighbours in the text."""
+    own = rates[a:b].astype(float)
+    last = np.append(begins[1:], True)[a:b]
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    inner = np.flatnonzero(~begins[a:b])
+    before[inner] = rates[a + inner - 1]
+    inner = np.flatnonzero(~last)
+    after[inner] = rates[a + inner + 1]
+    more = np.column_stack([np.ones(b - a), begins[a:b], last, signs[a:b]])
+    return np.concatenate([own, np.sqrt(own), own > 0, before, after, more], axis=1)
+
+
+def _begins(first: np.ndarray) -> np.ndarray:
+    out = np.zeros(first[-1], bool)
+    out[first[:-1]] = True
+    return out
 
 
 def _scan(m: np.ndarray, longest: int) -> np.ndarray:
@@ -100,7 +113,7 @@ def _scan(m: np.ndarray, longest: int) -> np.ndarray:
     return np.stack([a, b, c, d], axis=1).reshape(-1, 2, 2)
 
 
-def marginals(good: np.ndarray, step: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(good: np.ndarray, step: np.ndarray, begins: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Each line's probabilities (bad, good), and those of each pair of states with the line before.
 
     All documents run as one chain: the matrix of a document's first line has equal rows, which forgets what came before.
@@ -119,7 +132,9 @@ def marginals(good: np.ndarray, step: np.ndarray, begins: np.ndarray) -> tuple[n
         back[:-1] = _scan(turned, longest).sum(axis=1)[::-1]
     p = ahead * back
     p /= p.sum(axis=1, keepdims=True)
-    pairs = np.zeros((len(m), 2, 2))
+    pairs = np.zeros((len(m) if with_pairs else 0, 2, 2))
+    if not with_pairs:
+        return p, pairs
     if len(m) > 1:
         q = ahead[:-1, :, None] * m[1:] * back[1:, None, :]
         pairs[1:] = q / q.sum(axis=(1, 2), keepdims=True)
@@ -138,15 +153,18 @@ class Model:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """Scores from 0 to 1."""
-        z = aggregate(self, *line_features(texts))
+        z = aggregate(self, *line_rates(texts))
         return 1 / (1 + np.exp(-(self.slope * z + self.intercept)))
 
 
-def aggregate(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+def aggregate(model: Model, rates: np.ndarray, signs: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log odds of the documents' length-weighted mean marginal; every line has one character more, so empty texts have a mean."""
-    begins = np.zeros(len(x), bool)
-    begins[first[:-1]] = True
-    p, _ = marginals(((x - model.mean) / model.scale) @ model.weights, model.step, begins)
+    begins = _begins(first)
+    good = np.empty(len(rates))
+    for a in range(0, len(rates), LINES):
+        b = min(a + LINES, len(rates))
+        good[a:b] = ((features(rates, signs, begins, a, b) - model.mean) / model.scale) @ model.weights
+    p, _ = marginals(good, model.step, begins, False)
     weight = size + 1
     mean = np.add.reduceat(p[:, 1] * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
     mean = np.clip(mean, 1e-6, 1 - 1e-6)
@@ -159,13 +177,13 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     flat = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, 0.0)
     if not len(texts):
         return flat
-    x, size, first = line_features(texts)
+    rates, signs, size, first = line_rates(texts)
+    begins = _begins(first)
+    x = features(rates, signs, begins, 0, len(rates))
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[3 * _RATES + 2 * _RATES], scale[scale < 1e-9] = 0, 1
     z = (x - mean) / scale
     y = np.repeat(labels.astype(int), np.diff(first))
-    begins = np.zeros(len(x), bool)
-    begins[first[:-1]] = True
     # A document counts as one, however many lines it has; both classes count alike.
     share = np.repeat(1 / np.diff(first), np.diff(first))
     balance = np.where(y == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3))
@@ -181,7 +199,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= STEP * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
     model = Model(mean, scale, theta[:-4], theta[-4:].reshape(2, 2), 1.0, 0.0)
-    s = aggregate(model, x, size, first)
+    s = aggregate(model, rates, signs, size, first)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps, with a little ridge for classes that separate
         q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))

@@ -39,7 +39,7 @@ def find_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     ``live`` if at most ``most_owners`` owners have it, else a copied example. ``found`` holds all base spans and of the
     added kinds the live ones, by start, then kind. Positions are code points, end exclusive.
 
-    Null or empty text: an empty array. A null source is an owner of its own. Repeated rows are answered each; a doc_id
+    Null or empty text: an empty array. A null source is the same owner as an empty one. Repeated rows are answered each; a doc_id
     counts once for a value and owner. Texts are searched whole; other columns are ignored; an empty table gives no row.
     Nothing but counted hashes is shuffled by value, first within document, then owner, so a value that a third of all rows
     hold is summed before it meets; the join back to its rows is one that adaptive execution splits.

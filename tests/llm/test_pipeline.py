@@ -40,3 +40,19 @@ def test_each_stage_takes_effect_and_clean_documents_stay(spark, tmp_path):
         ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])])
         assert ids.tolist() == slow.encode(t, add_special_tokens=False).ids + [0]
     assert {r["doc_id"] for r in rows} == set(want)
+
+
+def test_stages_take_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    text = " ".join(prose(80)) + "."
+    other = " ".join(prose(80)) + "."
+    rows = [(1, text), (1, text), (1, other), (2, None), (2, ""), (None, text), (3, " ".join(prose(20000)))]
+    clash = "doc_id long, text string, n_chars long, score double, predicted int, spans string, masked string, whole string, t long, mark int, row long, _row long, _id long, _spans string, _cut string"
+    docs = spark.createDataFrame([(i, t, len(t or ""), 0.5, 7, "s", "m", "w", 1, 2, 3, 4, 5, "x", "y") for i, t in rows], clash)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for frame, n in ((docs, [7, 6, 6, 6]), (docs.limit(0), [0] * 4)):
+        for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], n):
+            frame = stage(spark, frame, str(tmp_path))
+            got = frame.collect()
+            assert frame.columns == docs.columns and len(got) == want, name
+            assert all(r["predicted"] == 7 and r["spans"] == "s" and r["_row"] == 4 for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 7
