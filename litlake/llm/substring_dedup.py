@@ -15,7 +15,7 @@ from ._words import WIDTH, mix, shingles_of, words
 #: Words of the shortest passage that counts, and the least Jaccard similarity of its five-word shingles with the earlier one's.
 PASSAGE, SIMILARITY = 50, 0.8
 #: Min-hash functions, and how many must agree on an interval of a pair before its texts are compared.
-HASHES, AGREE = 6, 2
+HASHES, AGREE = 8, 2
 #: Shingles of the shortest passage, hence of the narrowest compact window.
 WINDOW = PASSAGE - WIDTH + 1
 #: How far two matches of one passage may shift against each other by insertions and deletions, and the longest unmatched
