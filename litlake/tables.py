@@ -32,7 +32,7 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     they are as large as the corpus."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     if release:
