@@ -2,54 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..tables import cut, discard
 
 #: Characters that one numpy pass works on; bounds a Python worker's memory, not what is processed.
 CHUNK_CHARS = 1_000_000
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session (tests), where everything is one machine, gets a temporary folder if the setting is missing.
-    """
-    conf = spark.sparkContext.getConf()
-    if place := conf.get("spark.checkpoint.dir", None):
-        return place
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="litlake-"))
-
-
-def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: later stages don't depend on executors that made it.
-
-    Shuffle files stay on the executors until the driver collects the plans that made them; ``release`` asks for that, where
-    they are as large as the corpus."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    if release:
-        del df
-        for _ in range(2):  # the end of a job is told a little later
-            time.sleep(0.3)
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     """About ``most`` rows, by a hash of a key that few rows share: a filter by the counted size, so no task and no driver ever
     holds more than the sample."""
@@ -70,14 +33,6 @@ def text_chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int
         yield begin, len(sizes), column.slice(begin).to_pylist()
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that ``cut`` wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (id, root), root the smallest id that can be reached.
 
