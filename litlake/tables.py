@@ -44,6 +44,16 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once in the shared folder, dealt by ``key`` into as many buckets as shuffles have partitions: joins by ``key``
+    then move only their other side."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote and that nothing reads any more."""
     jvm = spark.sparkContext._jvm
