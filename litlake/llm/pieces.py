@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import heapq
-import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._shared import sampled
+from ..tables import bucketed, cut
+from ._shared import text_chunks
 
 #: Stands for a space.
 SPACE = "▁"
-#: Characters of the longest word that the lattice takes, the bits of one number; longer ones are merged from a heap.
-LONGEST = 62
-#: Documents (about), and their length at most, whose words are looked up instead of encoded anew; words of that table at most.
-SAMPLE, SAMPLE_CHARS, TABLE = 12_000, 20_000, 250_000
-#: Characters of a pass, in which each word is encoded once.
-CHUNK = 400_000
-_WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+#: Boundaries are kept as bits, WORD of them in a number; no piece may be longer.
+WORD = 60
+#: Bytes of text of a pass, in which each unit is named once; bounds memory, not what is processed.
+PASS = 24_000_000
+#: Units at most, and characters and ids of a unit at most, of the broadcast part of the ids; all others come by a join.
+TABLE, TABLE_CHARS, TABLE_IDS = 200_000, 32, 32
 
 
 @dataclass
@@ -43,11 +45,25 @@ class Model:
         named = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == "byte"}
         self.bytes_ = [named[f"<0x{b:02X}>"] for b in range(256)] if len(named) == 256 else []
         self.longest = max(map(len, self.ids), default=1)
+        if self.longest >= WORD:
+            raise ValueError(f"a piece of {WORD} characters or more")
 
     def spell(self, text: str) -> list[int]:
         """Ids of what no piece covers."""
         return [self.bytes_[b] for b in text.encode()] if self.bytes_ else [self.unknown]
 
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each code point, whether a class may follow another inside a piece); class 0 is in no pair."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        chars = {c: i + 1 for i, c in enumerate(sorted({c for p in pairs for c in p}))}
+        number = np.zeros(0x110000, np.int32)
+        for c, i in chars.items():
+            number[ord(c)] = i
+        follows = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in pairs:
+            follows[chars[a], chars[b]] = True
+        return number, follows
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -71,283 +87,379 @@ def load(path: str) -> Model:
     return Model([p.id_to_piece(i) for i in range(n)], [p.get_score(i) for i in range(n)], kind, spec.trainer_spec.model_type == 2, p.unk_id(), norm.add_dummy_prefix)
 
 
-def split_words(text: str, model: Model) -> list[str]:
-    """Parts between which no piece reaches: spaces with what follows, and runs of line ends where no piece has one."""
-    return _WORD.findall((SPACE if model.prefix else "") + text.replace(" ", SPACE)) if text else []
-
-
-def merge_long(word: str, model: Model) -> list[int]:
-    """Ids of one word by merging neighbours from a heap, the best score first, then the leftmost; for BPE."""
-    part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-    heap: list[tuple[float, int, str, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < len(word) and (s := model.ids.get(part[i] + part[j])) is not None:
-            heapq.heappush(heap, (-model.scores[s], i, part[i] + part[j], j))
-
-    for i in range(len(word)):
-        offer(i)
-    while heap:
-        _, i, both, j = heapq.heappop(heap)
-        if not part[i] or after[i] != j or part[i] + part[j] != both:
-            continue
-        part[i], part[j], after[i] = both, "", after[j]
-        if after[j] < len(word):
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return [x for p in part if p for x in ([model.ids[p]] if p in model.ids else model.spell(p))]
-
-
-def best_path_long(word: str, model: Model) -> list[int]:
-    """Ids of one word on the best path, for unigram models."""
-    low = min(model.scores[i] for i in model.ids.values()) - 10
-    best, back = [0.0] + [-np.inf] * len(word), [(0, -1)] * (len(word) + 1)
-    for e in range(1, len(word) + 1):
-        for s in range(max(0, e - model.longest), e):
-            i = model.ids.get(word[s:e], -1)
-            if i >= 0 or s == e - 1:
-                if (v := best[s] + (model.scores[i] if i >= 0 else low)) > best[e]:
-                    best[e], back[e] = v, (s, i)
-    out, e = [], len(word)
-    while e:
-        s, i = back[e]
-        out.append([i] if i >= 0 else model.spell(word[s:e]))
-        e = s
-    return [x for part in out[::-1] for x in part]
-
-
-EDGE = "struct<rank:double,s:int,e:int,id:int>"
-
-
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """Rows with a column ``word`` (null: not a word) get ``edges``: the pieces among its substrings, by rank, then start.
-
-    Substrings of bounded length are exploded and joined to the piece table, which is broadcast: its size is the model's. Its
-    rows stay in the order of their words, so they are grouped by word as they stream, without a shuffle. A marker row comes
-    first for each input row, so that none is lost. For BPE single characters are no edges."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, -float(model.scores[i]), i) for p, i in model.ids.items()], "piece string, rank double, id int")
-    least = 2 if model.bpe else 1  # merges start from single characters, so these are no edges
+def split_units(texts: list[str | None], model: Model, tables: tuple[np.ndarray, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """(units of all texts, how many each text has). A unit is a stretch of which every two neighbours stand in some piece side
+    by side; no piece reaches over its ends, so units are encoded apart from each other, like words but shorter."""
+    number, follows = tables
+    spaced = [(SPACE if model.prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
+    joined = "".join(spaced)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
+    if not joined:
+        return [], np.zeros(len(texts), np.int64)
+    kind = number[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    new = np.ones(len(joined), bool)
+    new[1:] = ~follows.ravel().take(kind[:-1] * np.int32(len(follows)) + kind[1:])
+    new[first[:-1][first[:-1] < len(joined)]] = True
+    starts = np.flatnonzero(new)
+    at = starts.tolist()
+    return [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])], np.diff(np.searchsorted(starts, first))
+
+
+def lattice(units: DataFrame, model: Model) -> DataFrame:
+    """Rows with a column ``unit`` get ``edges``: the pieces among its substrings, by rank, then start. For BPE an edge is one
+    number, of the rank's place, the start and the size; for unigram models a struct of rank, start and end.
+
+    Substrings of bounded length are exploded and joined to the piece table, which is broadcast: its size is the model's. A
+    marker row for each unit stays without a piece, so that none is lost. Grouping by unit needs no shuffle if the units come
+    dealt by ``unit``. For BPE single characters are no edges, as merges start from them."""
+    places = {x: k for k, x in enumerate(sorted({-model.scores[i] for i in model.ids.values()}))}
+    table = units.sparkSession.createDataFrame([(p, -float(model.scores[i]), places[-model.scores[i]]) for p, i in model.ids.items()], "name string, rank double, place long")
+    table = table.select(F.xxhash64("name").alias("hash"), "*")
+    least = 2 if model.bpe else 1
     sizes = model.longest - least + 1
-    names = words.columns
+    names = units.columns
     # one number for each start and size, and -1 for the marker: all that follows is compiled into one loop
-    rows = words.select("*", F.explode(F.sequence(F.lit(-1), F.coalesce(F.length("word"), F.lit(0)) * sizes - 1)).alias("i"))
-    rows = rows.withColumns({"s": F.when(F.col("i") < 0, -1).otherwise((F.col("i") / sizes).cast("int")), "n": F.col("i") % sizes + least})
-    rows = rows.where((F.col("i") < 0) | (F.col("s") + F.col("n") <= F.length("word")))
-    # what repeats on every edge is sent with the marker alone
-    rows = rows.select(*[F.when(F.col("i") < 0, F.col(c)).alias(c) for c in names], "s", (F.col("s") + F.col("n")).alias("e"), F.when(F.col("i") >= 0, F.substring("word", F.col("s") + 1, F.col("n"))).alias("piece"))
-    rows = rows.join(F.broadcast(table), "piece", "left").where((F.col("s") < 0) | F.col("id").isNotNull()).select(*names, "s", "e", "rank", "id")
-    schema = T.StructType([*words.schema.fields, T.StructField("edges", T.ArrayType(T.StructType([T.StructField("rank", T.DoubleType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("id", T.IntegerType())])))])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(names)
-        kept: pa.Table | None = None  # rows of the last word so far, which the next batch may go on with
-
-        def close(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            s, e, rank, ids = (t.column(width + i).to_numpy() for i in range(4))
-            heads = np.flatnonzero(s < 0)
-            word = np.cumsum(s < 0) - 1
-            edge = np.flatnonzero(s >= 0)
-            edge = edge[np.lexsort((s[edge], rank[edge], word[edge]))]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(word[edge], minlength=len(heads)))])
-            structs = pa.StructArray.from_arrays([pa.array(rank[edge].astype(float)), pa.array(s[edge].astype(np.int32)), pa.array(e[edge].astype(np.int32)), pa.array(ids[edge].astype(np.int32))], names=["rank", "s", "e", "id"])
-            cols = t.select(range(width)).take(pa.array(heads)).combine_chunks()
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols.columns), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)], names=[*names, "edges"])
-
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([kept, now]) if kept is not None else now
-            heads = np.flatnonzero(now.column(width).to_numpy() < 0)
-            if len(heads) > 1:
-                yield close(now.slice(0, heads[-1]))
-            kept = now.slice(heads[-1]) if len(heads) else now
-        if kept is not None and kept.num_rows:
-            yield close(kept)
-
-    return rows.mapInArrow(grouped, schema)
+    rows = units.select(F.monotonically_increasing_id().alias("_row"), "*", F.length("unit").alias("_n")).select("*", F.explode(F.sequence(F.lit(-1), F.col("_n") * sizes - 1)).alias("i"))
+    rows = rows.withColumns({"s": F.when(F.col("i") < 0, -1).otherwise((F.col("i") / sizes).cast("int")), "_size": F.col("i") % sizes + least})
+    rows = rows.where((F.col("i") < 0) | (F.col("s") + F.col("_size") <= F.col("_n")))
+    rows = rows.select("_row", *names, "s", (F.col("s") + F.col("_size")).alias("e"), F.when(F.col("i") >= 0, F.substring("unit", F.col("s") + 1, F.col("_size"))).alias("piece"))
+    # numbers are looked up much faster than texts, which are compared as well
+    rows = rows.withColumn("_hash", F.xxhash64("piece")).join(F.broadcast(table), (F.col("_hash") == F.col("hash")) & (F.col("piece") == F.col("name")), "left").where((F.col("s") < 0) | F.col("name").isNotNull())
+    if model.bpe:
+        edge = F.when(F.col("s") >= 0, _shift("shiftleft", F.col("place"), F.lit(40)) + _shift("shiftleft", F.col("s").cast("long"), F.lit(8)) + (F.col("e") - F.col("s")))
+    else:
+        edge = F.when(F.col("s") >= 0, F.struct("rank", "s", "e"))
+    # the number in front has the rows in order already where the aggregation sorts them
+    return rows.groupBy("_row", *names).agg(F.sort_array(F.collect_list(edge)).alias("edges")).drop("_row")
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+def _shift(how: str, x: Column, by: Column) -> Column:
+    return F.call_function(how, x, by)
 
 
 def fold_merges(rows: DataFrame) -> DataFrame:
-    """BPE: ``cuts``, the boundaries left between a word's characters, as bits.
+    """BPE: ``cuts``, the boundaries left between a unit's characters, as bits of an array of numbers.
 
     Merges are made by rank, then start, and each joins two neighbouring parts. One fold over the edges in that order takes
     every edge that spans just two parts at its turn. That is the right order of merges unless an edge that spanned more at
-    its turn could be taken later, which needs that at most one boundary is left inside it at the end; words with such an
-    edge are folded step by step, each step searching all edges.
+    its turn could be taken later, which needs that at most one boundary is left inside it at the end; units with such an
+    edge are folded step by step, each step searching all edges. Boundaries are bits of one number in units of less than WORD
+    characters and of several in longer ones; the fold is the same.
     """
-    word, is_word = F.col("word"), F.length("word") > 0
-    masks = F.transform("edges", lambda x: F.struct((_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
-    kind = "struct<cuts:bigint,wait:array<bigint>>"
-
-    def turn(state: Column, x: Column) -> Column:
-        inside = F.bit_count(x["inner"].bitwiseAND(state["cuts"]))
-        whole = x["ends"].bitwiseAND(state["cuts"]) == x["ends"]
-        return (
-            F.when(whole & (inside == 1), F.struct(state["cuts"].bitwiseAND(F.bitwise_not(x["inner"])).alias("cuts"), state["wait"].alias("wait")))
-            .when(whole & (inside > 1), F.struct(state["cuts"].alias("cuts"), F.array_append(state["wait"], x["inner"]).alias("wait")))
-            .otherwise(state)
-        )
-
-    every = _bit(F.length(word) + 1) - 1
-    # a column of its own for each step: what several expressions use is then made once
-    rows = rows.withColumn("_m", F.when(is_word, masks))
-    rows = rows.withColumn("_d", F.when(is_word, F.aggregate("_m", F.struct(every.alias("cuts"), F.array().cast("array<bigint>").alias("wait")).cast(kind), turn)))
-    late = F.exists("_d.wait", lambda inner: F.bit_count(inner.bitwiseAND(F.col("_d.cuts"))) <= 1)
-
-    def step(state: Column, _: Column) -> Column:
-        free = F.filter(state["edges"], lambda x: (x["ends"].bitwiseAND(state["cuts"]) == x["ends"]) & (F.bit_count(x["inner"].bitwiseAND(state["cuts"])) == 1))
-        cuts = F.when(F.size(free) > 0, state["cuts"].bitwiseAND(F.bitwise_not(F.get(free, F.lit(0))["inner"]))).otherwise(state["cuts"])
-        return F.struct(cuts.alias("cuts"), state["edges"].alias("edges"))
-
-    slow = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.struct(every.alias("cuts"), F.col("_m").alias("edges")), step, lambda state: state["cuts"])
-    return rows.withColumn("_late", F.coalesce(late, F.lit(False))).withColumn("cuts", F.when(F.col("_late"), slow).otherwise(F.col("_d.cuts"))).drop("_m", "_d", "_late")
-
-
-def fold_viterbi(word: Column, edges: Column, unknown: float) -> Column:
-    """Unigram: the boundaries of the best path, as bits. The fold goes over end positions; for each the best edge that ends
-    there, or one unknown character, continues the best path to its start."""
-    one = F.lit(1).cast("long")
-    state = "struct<score:array<double>,cuts:array<bigint>>"
+    one, n = F.lit(1).cast("long"), F.length("unit")
+    start = lambda x: _shift("shiftright", x, F.lit(8)).bitwiseAND((1 << 32) - 1)
+    size = lambda x: x.bitwiseAND(255).cast("int")
+    number = lambda x: F.floor(start(x) / WORD).cast("int")  # noqa: E731  which of the numbers has the start's bit
+    off = lambda x: (start(x) % WORD).cast("int")
+
+    def inner(x: Column) -> Column:
+        return _shift("shiftleft", one, size(x)) - 2
+
+    def seen_one(cuts: Column, x: Column) -> Column:
+        return _shift("shiftright", cuts, start(x).cast("int")).bitwiseAND(_shift("shiftleft", one, size(x) + 1) - 1)
+
+    def merged_one(cuts: Column, x: Column) -> Column:
+        return cuts.bitwiseAND(F.bitwise_not(_shift("shiftleft", inner(x), start(x).cast("int"))))
+
+    def seen_many(cuts: Column, x: Column) -> Column:
+        both = _shift("shiftright", F.get(cuts, number(x)), off(x)).bitwiseOR(_shift("shiftleft", F.get(cuts, number(x) + 1), WORD - off(x)))
+        return both.bitwiseAND(_shift("shiftleft", one, size(x) + 1) - 1)
+
+    def merged_many(cuts: Column, x: Column) -> Column:
+        low, high = _shift("shiftleft", inner(x), off(x)), _shift("shiftright", inner(x), WORD - off(x))
+        return F.transform(cuts, lambda w, i: F.when(i == number(x), w.bitwiseAND(F.bitwise_not(low))).when(i == number(x) + 1, w.bitwiseAND(F.bitwise_not(high))).otherwise(w))
+
+    def folded(every: Column, kind: str, seen: Callable[[Column, Column], Column], merged: Callable[[Column, Column], Column]) -> Column:
+        """``seen``: the boundaries from the start of an edge to its end, its start lowest."""
+
+        def parts(cuts: Column, x: Column) -> Column:
+            """How many parts an edge spans; 0 if one of its ends is no boundary."""
+            now, ends = seen(cuts, x), _shift("shiftleft", one, size(x)) + 1
+            return F.when(now.bitwiseAND(ends) == ends, F.bit_count(now) - 1).otherwise(0)
+
+        def turn(state: Column, x: Column) -> Column:
+            p = parts(state["cuts"], x)
+            return (
+                F.when(p == 2, F.struct(merged(state["cuts"], x).alias("cuts"), state["wait"].alias("wait")))
+                .when(p > 2, F.struct(state["cuts"].alias("cuts"), F.array_append(state["wait"], x).alias("wait")))
+                .otherwise(state)
+            )
+
+        def step(state: Column, _: Column) -> Column:
+            free = F.filter(state["edges"], lambda x: parts(state["cuts"], x) == 2)
+            cuts = F.when(F.size(free) > 0, merged(state["cuts"], F.get(free, F.lit(0)))).otherwise(state["cuts"])
+            return F.struct(cuts.alias("cuts"), state["edges"].alias("edges"))
+
+        def done(state: Column) -> Column:
+            late = F.exists(state["wait"], lambda x: F.bit_count(seen(state["cuts"], x).bitwiseAND(inner(x))) <= 1)
+            slow = F.aggregate(F.sequence(F.lit(1), n), F.struct(every.alias("cuts"), F.col("edges")), step, lambda x: x["cuts"])
+            return F.when(late, slow).otherwise(state["cuts"])
+
+        begin = F.struct(every.alias("cuts"), F.array().cast("array<bigint>").alias("wait")).cast(f"struct<cuts:{kind},wait:array<bigint>>")
+        return F.aggregate("edges", begin, turn, done)
+
+    one_number = folded(_shift("shiftleft", one, n + 1) - 1, "bigint", seen_one, merged_one)
+    full = F.lit((1 << WORD) - 1)
+    numbers = F.transform(F.sequence(F.lit(0), (n / WORD).cast("int") + 1), lambda i: F.when(n + 1 >= (i + 1) * WORD, full).when(n + 1 > i * WORD, _shift("shiftleft", one, n + 1 - i * WORD) - 1).otherwise(F.lit(0)).cast("long"))
+    return rows.withColumn("cuts", F.when(n < WORD, F.array(one_number)).otherwise(folded(numbers, "array<bigint>", seen_many, merged_many)))
+
+
+def fold_viterbi(rows: DataFrame, unknown: float) -> DataFrame:
+    """Unigram: ``back``, for each end position where the last piece of the best path to it starts. The fold goes over end
+    positions; for each the best edge that ends there, or one unknown character, continues the best path to its start."""
+    ended = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.length("unit")), lambda e: F.struct(e.alias("key"), F.filter("edges", lambda x: x["e"] == e).alias("value"))))
+    rows = rows.withColumn("_by", ended)
 
     def step(acc: Column, e: Column) -> Column:
-        ends = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(acc["score"], x["s"]) - x["rank"]).alias("v"), (-x["s"]).alias("s")))
+        some = F.transform(F.col("_by")[e], lambda x: F.struct((F.get(acc["score"], x["s"]) - x["rank"]).alias("v"), (-x["s"]).alias("s")))
         other = F.struct((F.get(acc["score"], e - 1) + unknown).alias("v"), (1 - e).alias("s"))
-        best = F.array_max(F.concat(ends, F.array(other)))
-        return F.struct(F.array_append(acc["score"], best["v"]).alias("score"), F.array_append(acc["cuts"], F.get(acc["cuts"], -best["s"]).bitwiseOR(F.call_function("shiftleft", one, e))).alias("cuts"))
+        best = F.array_max(F.concat(some, F.array(other)))
+        return F.struct(F.array_append(acc["score"], best["v"]).alias("score"), F.array_append(acc["back"], -best["s"]).alias("back"))
+
+    start = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.lit(0)).alias("back")).cast("struct<score:array<double>,back:array<int>>")
+    return rows.withColumn("back", F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, step, lambda acc: acc["back"])).drop("_by")
+
+
+def segmented(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` with edges and a column of the best segmentation: ``cuts`` for BPE, ``back`` for unigram models."""
+    made = lattice(units, model)
+    if model.bpe:
+        return fold_merges(made)
+    return fold_viterbi(made, min((model.scores[i] for i in model.ids.values()), default=0.0) - 10)
+
+
+def ids_of(unit: str, found: list[int], model: Model) -> list[int]:
+    """The ids of a unit from what ``segmented`` found."""
+    if model.bpe:
+        bits = sum(w << WORD * i for i, w in enumerate(found))
+        at = [i for i in range(len(unit) + 1) if bits >> i & 1]
+    else:
+        at = [len(unit)]
+        while at[-1]:
+            at.append(found[at[-1]])
+        at.reverse()
+    out: list[int] = []
+    for s, e in zip(at, at[1:]):
+        i = model.ids.get(unit[s:e])
+        out += [i] if i is not None else model.spell(unit[s:e])
+    return out
+
 
-    start = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(one).alias("cuts")).cast(state)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: F.element_at(acc["cuts"], -1))
+def spelled(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, n) with ``ids``, 32-bit numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array(ids_of(u, f, model), np.int32).tobytes() for u, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["unit", "n", "ids"])
 
-def segmented(words: DataFrame, model: Model) -> DataFrame:
-    """``words`` with edges and ``cuts``, the boundaries of each word's pieces as bits."""
-    low = min((model.scores[i] for i in model.ids.values()), default=0.0) - 10
-    word, edges = F.col("word"), F.col("edges")
-    made = lattice(words, model)
-    if not model.bpe:
-        return made.withColumn("cuts", F.when(F.length("word") > 0, fold_viterbi(word, edges, low)))
-    return fold_merges(made)
+    return segmented(units, model).select("unit", "n", "cuts" if model.bpe else "back").mapInArrow(run, "unit string, n long, ids binary")
 
 
-def ids_of(word: str, cuts: int, edges: dict[tuple[int, int], int], model: Model) -> list[int]:
-    out: list[int] = []
-    at = [i for i in range(len(word) + 1) if cuts >> i & 1]
-    for s, e in zip(at, at[1:]):
-        i = edges.get((s, e)) if e - s > 1 else model.ids.get(word[s:e])
-        out += [i] if i is not None else model.spell(word[s:e])
-    return out
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of them, compressed."""
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
-def _edges(column: pa.Array) -> Iterator[dict[tuple[int, int], int]]:
-    flat, offsets = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
-    s, e, i = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in (1, 2, 3))
-    for a, b in zip(offsets, offsets[1:]):
-        yield {(s[k], e[k]): i[k] for k in range(a, b)}
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(x, n * 4, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").ravel()
 
 
-def frequent(docs: DataFrame, model: Model, table: int = TABLE) -> dict[str, bytes]:
-    """Ids of the ``table`` most frequent words of a bounded sample of documents, encoded like all others."""
-    sample = sampled(docs, "doc_id", SAMPLE).where(F.length("text").between(1, SAMPLE_CHARS))
+class _Numbers(dict):
+    """Numbers by unit; a new one gets the next."""
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [w for t in batch.column(0).to_pylist() for w in split_words(t, model) if len(w) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+    __slots__ = ()
 
-    counted = sample.select("text").mapInArrow(cut_up, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(table).select("word")
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.array(ids_of(w, c, e, model), np.int32).tobytes() for w, c, e in zip(words, batch.column(1).to_pylist(), _edges(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
 
-    done = segmented(counted.repartition(24), model).select("word", "cuts", "edges").mapInArrow(spelled, "word string, ids binary").toArrow()
-    return dict(zip(done.column("word").to_pylist(), done.column("ids").to_pylist()))
+def _joined(*parts: bytes) -> bytes:
+    """Parts with their lengths in front."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
+    """(unit, n) of all texts, n how often it occurs; counted by pass before units meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = model.neighbours()
+        found: Counter[str] = Counter()
+        size = 0
+        for batch in batches:
+            for a, b, texts in text_chunks(batch.column(1)):
+                found.update(split_units(texts, model, tables)[0])
+                size += sum(len(t or "") for t in texts)
+                if size >= PASS:
+                    yield from named(found)
+                    found, size = Counter(), 0
+        yield from named(found)
+
+    def named(found: Counter[str]) -> Iterator[pa.RecordBatch]:
+        units, n = pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())
+        for i in range(0, len(units), 50_000):
+            yield pa.RecordBatch.from_arrays([units.slice(i, 50_000), n.slice(i, 50_000)], names=["unit", "n"])
+
+    return docs.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def common(units: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(place, lengths, ids one after another) of the most frequent units, TABLE at most: those whose count is past a bound taken
+    from a histogram. Short ones only, so that this has a bound in bytes whatever the data."""
+    fit = units.where((F.length("unit") <= TABLE_CHARS) & (F.octet_length("ids") <= 4 * TABLE_IDS)).withColumn("bin", F.floor(F.log2("n") * 8).cast("int"))
+    bound, total = None, 0
+    for r in sorted(fit.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        if (total := total + r["count"]) > TABLE:
+            break
+        bound = r["bin"]
+    if bound is None:
+        return {}, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    hot = fit.where(F.col("bin") >= bound).select("unit", "ids", "n").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])
+    ids = [np.frombuffer(x, np.int32) for x in hot.column("ids").to_pylist()]
+    return {u: i for i, u in enumerate(hot.column("unit").to_pylist())}, np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) and text_crc32 (of the text's UTF-8) of every row, as the model's own library encodes it.
 
-    A model whose algorithm is BPE merges by score, where a best path of scores gives other ids, so it is folded by merges;
-    a unigram model is folded by Viterbi. Words of a bounded sample are looked up; all others go through the lattice, once
-    for each pass of CHUNK characters, and words of over LONGEST characters through a heap (a path of their own for unigram).
+    Texts are split into units, over whose ends no piece reaches. The corpus's distinct units go through the lattice once;
+    their ids come back to each pass of documents by a join on the unit, but for the most widespread ones, whose ids are
+    broadcast (at most TABLE short ones). A model whose algorithm is BPE merges by score, where a best path of scores gives
+    other ids, so it is folded by merges; a unigram model is folded by Viterbi. Units of any length take the same way.
+
     Null or empty text: no ids. Repeated rows are encoded each, ids of documents aren't keys of anything; other columns are
-    ignored; texts are encoded whole. An empty table gives no row. Nothing is shuffled.
+    ignored; texts are encoded whole. An empty table gives no row.
     """
     model = load(path or default_model())
+    return _encoded(docs, model, lambda batch: batch, "doc_id {kind}, ids array<int>, text_crc32 long")
+
+
+def _encoded(docs: DataFrame, model: Model, then: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``encode``, with each batch of its result passed on through ``then`` in the worker that made it."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(frequent(rows, model))
-    doc_type = rows.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    units = cut(spelled(unit_counts(rows, model), model), "units", release=True)
+    shared = docs.sparkSession.sparkContext.broadcast(common(units))
+    names = ["unit", "pass", "k", "data"]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each pass a row for each word that isn't known, then one for each document: ids, or -1 - place among these words."""
-        table = known.value  # ids as bytes: a third of the memory of lists
+        """For each pass a row for each unit that isn't common (unit, its number k), and one for its documents (without a unit): their
+        ids and sums, how many units each has, and which, common ones first."""
+        tables = model.neighbours()
+        place = shared.value[0]
+        name = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in _ranges(batch.column(1), PASS):
+                number = _Numbers(place)
+                codes, sizes, crcs = [], [], []
+                for _, _, texts in text_chunks(batch.column(1).slice(a, b - a)):
+                    parts, each = split_units(texts, model, tables)
+                    codes.append(np.fromiter(map(number.__getitem__, parts), np.uint32, len(parts)))
+                    sizes.append(each)
+                    crcs += [zlib.crc32((t or "").encode()) for t in texts]
+                # in order, as like units that follow each other take less room in a shuffle
+                rest = pa.array(list(islice(number, len(place), None)), pa.string())
+                order = pc.sort_indices(rest).to_numpy()
+                rest = rest.take(pa.array(order))
+                renamed = np.arange(len(number), dtype=np.uint32)
+                renamed[len(place) + order] = renamed[len(place) :].copy()
+                for i in range(0, len(rest), 50_000):
+                    n = min(50_000, len(rest) - i)
+                    yield pa.RecordBatch.from_arrays([rest.slice(i, n), pa.array(np.full(n, name)), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.nulls(n, pa.binary())], names=names)
+                docs_ = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(crcs, pa.int64()), pa.array(np.concatenate(sizes), pa.int64())], names=["doc_id", "crc", "size"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs_.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(docs_)
+                data = _joined(len(rest).to_bytes(8, "little"), sink.getvalue().to_pybytes(), _packed(renamed[np.concatenate(codes)]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=names)
+                name += 1
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The units of each pass that have met their ids in this task, packed."""
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            name, k, data = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).combine_chunks()
+            passes, out = np.unique(name), []
+            for x in passes:
+                own = np.flatnonzero(name == x)
+                own = own[np.argsort(k[own], kind="stable")]
+                ids = data.take(pa.array(own))
+                size = pc.binary_length(ids).to_numpy() // 4
+                out.append(_joined(_packed(np.diff(k[own], prepend=0)), len(own).to_bytes(8, "little"), _packed(size), _packed(np.frombuffer(b"".join(ids.to_pylist()), np.uint32))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(passes), pa.array(out, pa.binary())], names=["pass", "part"])
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHUNK):
-                    size += len(texts[end] or "")
-                    end += 1
-                new: dict[str, bytes] = {}
-                codes, sums = [], []
-                for t in texts[begin:end]:
-                    out: list[bytes] = []
-                    for w in split_words(t or "", model):
-                        ids = table.get(w)
-                        if ids is None:
-                            if len(w) > LONGEST:
-                                ids = np.array(merge_long(w, model) if model.bpe else best_path_long(w, model), np.int32).tobytes()
-                            elif (ids := new.get(w)) is None:
-                                ids = new[w] = np.int32(-1 - len(new)).tobytes()
-                        out.append(ids)
-                    codes.append(b"".join(out))
-                    sums.append(zlib.crc32((t or "").encode()))
-                n, m = len(new), end - begin
-                ids = pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0).slice(begin, m)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array([*new, *[None] * m], pa.string()), pa.array([None] * n + codes, pa.binary()), pa.array([None] * n + sums, pa.int64())], names=["doc_id", "word", "codes", "text_crc32"])
-                begin = end
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= 200_000:
+                yield packed()
+        if held:
+            yield packed()
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[list[int]] = []
-        open_ = False  # whether words of the next documents are being read
+        """Each pass's documents with the ids of its common and of its own units."""
+        _, hot_size, hot_ids = shared.value
         for batch in batches:
-            keep, out = [], []
-            for k, (w, code, cuts, edges) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist(), _edges(batch.column(5)))):
-                if w is not None:
-                    if not open_:
-                        words, open_ = [], True
-                    words.append(ids_of(w, cuts, edges, model))
-                    continue
-                open_ = False
-                c = np.frombuffer(code.as_py(), np.int32)
-                holes = np.flatnonzero(c < 0)
-                keep.append(k)
-                if len(holes):
-                    parts, last = [], 0
-                    for h in holes.tolist():
-                        parts += [c[last:h], np.array(words[-1 - c[h]], np.int32)]
-                        last = h + 1
-                    c = np.concatenate([*parts, c[last:]])
-                out.append(c)
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in out])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), lists, batch.column(3).take(at)], names=["doc_id", "ids", "text_crc32"])
-
-    passes = rows.mapInArrow(coded, f"doc_id {doc_type}, word string, codes binary, text_crc32 long")
-    done = segmented(passes, model).select("doc_id", "word", "codes", "text_crc32", "cuts", "edges")
-    return done.mapInArrow(assembled, f"doc_id {doc_type}, ids array<int>, text_crc32 long")
+            for data, parts in zip(batch.column(0), batch.column(1)):
+                count, docs_, codes = _parted(data.as_py())
+                size = np.concatenate([hot_size, np.zeros(int.from_bytes(count, "little"), np.int64)])
+                start, flat = np.empty(len(size), np.int64), [hot_ids]
+                start[: len(hot_size)] = np.cumsum(hot_size) - hot_size
+                begin = len(hot_ids)
+                for part in parts.as_py() or ():
+                    k, n, sizes, ids = _parted(part)
+                    n = int.from_bytes(n, "little")
+                    k, sizes = np.cumsum(_unpacked(k, n), dtype=np.int64) + len(hot_size), _unpacked(sizes, n).astype(np.int64)
+                    size[k], start[k] = sizes, begin + np.cumsum(sizes) - sizes
+                    flat.append(_unpacked(ids, int(sizes.sum())).view(np.int32))
+                    begin += len(flat[-1])
+                flat = np.concatenate(flat)
+                ids, crcs, each = pa.ipc.open_stream(docs_).read_next_batch().columns
+                each = each.to_numpy()
+                codes = _unpacked(codes, int(each.sum()))
+                ends = np.cumsum(each)
+                a = 0
+                while a < len(ids):  # some documents at a time
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + 300_000)))
+                    c = codes[ends[a] - each[a] : ends[b - 1]]
+                    n = size[c]
+                    at = np.cumsum(n) - n
+                    got = flat[np.repeat(start[c] - at, n) + np.arange(int(n.sum()))]
+                    edges = np.concatenate([at, [len(got)]])[np.concatenate([[0], ends[a:b] - ends[a] + each[a]])]
+                    yield then(pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(got, pa.int32())), crcs.slice(a, b - a)], names=["doc_id", "ids", "text_crc32"]))
+                    a = b
+
+    made = bucketed(rows.mapInArrow(coded, "unit string, pass long, k int, data binary"), "coded", "pass")
+    # few and plain columns: each row's share of a batch is measured on its way to Python
+    own = made.where("k >= 0").select("unit", "pass", "k").join(units.select("unit", "ids"), "unit").select("pass", "k", "ids")
+    own = own.mapInArrow(gathered, "pass long, part binary").groupBy("pass").agg(F.collect_list("part").alias("parts"))  # a pass's units
+    whole = made.where("k < 0").select("pass", "data").join(own, "pass", "left").select("data", "parts")
+    return whole.mapInArrow(assembled, schema.format(kind=kind))
+
+
+def _ranges(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes of text each."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        if i > begin and size + n > most:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if len(column) > begin:
+        yield begin, len(column)
 
 
 def decode_ids(ids: np.ndarray, model: Model, spelled: list[bytes] | None = None) -> str:
@@ -383,16 +495,18 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of every document: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), and whether decoding gives
     the text again. A text that has SPACE itself doesn't come back, as it stands for a space."""
     model = load(default_model())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = spellings(model)
-        for batch in batches:
-            n, crc, same = [], [], []
-            for x, want in zip(batch.column(1), batch.column(2).to_pylist()):
-                ids = x.values.to_numpy(zero_copy_only=False)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(zlib.crc32(decode_ids(ids, model, spelled).encode()) == want)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
-
-    return encode(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    spelled: list[bytes] = []
+
+    def summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not spelled:
+            spelled.extend(x.replace(SPACE.encode(), b" ") for x in spellings(model))
+        n, crc, same = [], [], []
+        for x, want in zip(batch.column(1), batch.column(2).to_pylist()):
+            ids = x.values.to_numpy(zero_copy_only=False)
+            n.append(len(ids))
+            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            text = b"".join(map(spelled.__getitem__, ids.tolist()))
+            same.append(zlib.crc32(text[1:] if model.prefix and text[:1] == b" " else text) == want)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+
+    return _encoded(docs, model, summed, "doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
