@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, cut, sampled
+from ._shared import components, cut
 from ._vectors import blocks, usable
 
 COSINE = 0.93
 #: Vectors of a block, which has a cover tree of its own; points of a leaf.
 BLOCK, LEAF = 2048, 48
-#: Vectors (about) from which the cells of the first level are chosen, and how many cells there are at most.
-SAMPLE, CELLS = 4096, 64
+#: Vectors (about) from which the children of a node that is larger than a block are chosen, and how many it gets at most; every
+#: vector goes to the nearest, and none depends on the choice for being found.
+SAMPLE, FAN = 512, 32
+#: Levels above the blocks at most; what is larger then is dealt into blocks by a hash.
+LEVELS = 16
 _SLACK = 1e-7
 
 
@@ -106,33 +109,105 @@ def join_blocks(x: np.ndarray, ids: np.ndarray, times: np.ndarray, y: np.ndarray
     return (n + m, m, edges) if own else (n, m, edges)
 
 
-def first_level(rows: DataFrame) -> np.ndarray:
-    """Centres of the cells: a net over a bounded sample, widened until it has CELLS centres at most."""
-    picked = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not picked:
-        return np.zeros((0, 0))
-    sample = sampled(rows.where(F.col("dim") == picked[0]["dim"]), "rep", SAMPLE).select("rep", "v").collect()
-    x = np.array([r["v"] for r in sorted(sample)], np.float64).reshape(-1, picked[0]["dim"])
-    if not len(x):
-        return np.zeros((0, 0))
-    x /= np.sqrt((x**2).sum(axis=1))[:, None]
-    radius = 0.25
-    while True:
+def net(x: np.ndarray, most: int) -> np.ndarray:
+    """Centres among the unit vectors ``x`` of which none is near another: at half the radius of all, or the least more that
+    gives ``most`` or fewer; at less where that gives one."""
+    radius = float(np.sqrt(((x - x[0]) ** 2).sum(axis=1)).max()) / 2
+    while radius > 1e-6:
         left, centres = x, []
-        while len(left) and len(centres) <= CELLS:
+        while len(left) and len(centres) <= most:
             centres.append(left[0])
             left = left[((left - left[0]) ** 2).sum(axis=1) > radius**2]
-        if len(centres) <= CELLS:
+        if 1 < len(centres) <= most:
             return np.array(centres)
-        radius *= 1.25
+        radius *= 1.25 if len(centres) > most else 0.6
+        if radius > 2:
+            break
+    return x[:1]
+
+
+def _unit(flat: pa.Scalar, dim: int) -> np.ndarray:
+    x = np.array(flat.values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    return x / np.sqrt((x**2).sum(axis=1))[:, None]
+
+
+def divided(rows: DataFrame) -> DataFrame:
+    """(label, dim, v, rep, times) with ``path``, the nodes of the cover tree's upper levels that a vector lies in, from the root of
+    its label and length down. Nodes of over BLOCK vectors get children around a net of a bounded sample, level by level; a
+    node whose vectors are all alike stays whole. Levels are tables; nothing of them comes to the driver."""
+    keys = ["label", "dim"]
+    names = [*keys, "v", "rep", "times"]
+    open_ = rows.select(*names, F.array(F.xxhash64(*keys)).alias("path"))
+    closed = None
+    for _ in range(LEVELS):
+        sizes = open_.groupBy(F.element_at("path", -1).alias("node")).agg(F.count("*").alias("size"))
+        marked = cut(open_.withColumn("node", F.element_at("path", -1)).join(sizes, "node"), "level")
+        small = marked.where(F.col("size") <= BLOCK).select(*names, "path")
+        closed = small if closed is None else closed.unionByName(small)
+        marked = marked.where(F.col("size") > BLOCK)
+        if marked.isEmpty():
+            return closed
+
+        def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for dim, size, flat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                    out.append(net(_unit(flat, dim), int(min(FAN, 1 + -(-2 * size // BLOCK)))).ravel().tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["node", "centres"])
+
+        few = marked.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / SAMPLE)) == 0)
+        few = few.groupBy("node", "dim", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "v"))), lambda r: r["v"]).alias("vs"))
+        centres = few.select("node", "dim", "size", F.flatten("vs").alias("x")).mapInArrow(centred, "node long, centres array<double>")
+
+        def nearest_child(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                child = []
+                for dim, flat, mid in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4)):
+                    c = np.array(mid.values.to_numpy(zero_copy_only=False) if mid.is_valid else [], np.float64).reshape(-1, dim)
+                    n = len(flat.values) // dim
+                    child.append(((_unit(flat, dim) @ c.T).argmax(axis=1) if len(c) > 1 else np.full(n, -1)).tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(child, pa.list_(pa.int64()))], names=["node", "rows", "child"])
+
+        dealt = blocks(marked.select("node", *names, "path"), ["node", "dim"], "rep", BLOCK)
+        dealt = dealt.select("node", "dim", "rows", F.flatten(F.transform("rows", lambda r: r["v"])).alias("x")).join(centres, "node", "left")
+        kind = dealt.schema["rows"].dataType.simpleString()
+        split = dealt.select("node", "dim", "rows", "x", "centres").mapInArrow(nearest_child, f"node long, rows {kind}, child array<long>")
+        split = split.select("node", F.explode(F.arrays_zip("rows", "child")).alias("z")).select("z.rows.*", "node", F.col("z.child").alias("child"))
+        split = cut(split.withColumn("path", F.when(F.col("child") >= 0, F.array_append("path", F.xxhash64("node", "child"))).otherwise(F.col("path"))), "split")
+        split = split.select("label", F.size("v").alias("dim"), "v", "rep", "times", "path", "child")
+        closed = closed.unionByName(split.where("child < 0").select(*names, "path"))
+        open_ = split.where("child >= 0").select(*names, "path")
+    return closed.unionByName(open_)
+
+
+def near_parts(ball: DataFrame, reach: float) -> DataFrame:
+    """(part, path, mid, radius) -> pairs (part_a <= part_b) of parts that may hold vectors within ``reach``, by dual traversal of
+    the upper levels from their roots: a pair of nodes goes with all below it if the distance of their centres is more than
+    both covering radii and the reach."""
+    depth = ball.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
+    if not depth:
+        return ball.select(F.col("part").alias("part_a"), F.col("part").alias("part_b"))
+    apart = lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    at = lambda i: F.coalesce(F.get("path", F.lit(i)), F.col("part"))  # noqa: E731  what ends above stays itself
+    pairs = ball.select(at(0).alias("node_a"), at(0).alias("node_b")).distinct()
+    for i in range(1, depth + 1):
+        child = ball.select(at(i - 1).alias("node"), at(i).alias("child"), "part", "mid", "radius")
+        centre = child.groupBy("node", "child").agg(F.min_by("mid", "part").alias("centre"))
+        cover = child.join(centre, ["node", "child"]).groupBy("node", "child", "centre").agg(F.max(apart(F.col("centre"), F.col("mid")) + F.col("radius")).alias("cover"))
+        cover = cut(cover, "nodes")
+        a, b = (cover.select(F.col("node").alias(f"node_{n}"), F.col("child").alias(f"child_{n}"), F.col("centre").alias(f"centre_{n}"), F.col("cover").alias(f"cover_{n}")) for n in "ab")
+        both = pairs.join(a, "node_a").join(b, "node_b").where((F.col("node_a") != F.col("node_b")) | (F.col("child_a") <= F.col("child_b")))
+        near = (F.col("child_a") == F.col("child_b")) | (apart(F.col("centre_a"), F.col("centre_b")) <= F.col("cover_a") + F.col("cover_b") + reach)
+        pairs = cut(both.where(near).select(F.col("child_a").alias("node_a"), F.col("child_b").alias("node_b")), "pairs")
+    return pairs.select(F.least("node_a", "node_b").alias("part_a"), F.greatest("node_a", "node_b").alias("part_b"))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null labels link at cosine ``cosine`` or more, exactly. Equal vectors of a label are counted first
-    and go on as one. These are dealt into cells around centres, cells into blocks of about BLOCK; pairs of blocks of a label
-    whose balls come near enough are joined by dual traversal. From a pair of blocks come counts and the edges of its
+    and go on as one. The upper levels of a label's cover tree are tables, down to nodes of at most BLOCK vectors; pairs of
+    these that the levels above leave are joined by dual traversal of their own trees. From a pair of blocks come counts and the edges of its
     components, in proportion to its vectors and not its links. Vectors of unlike length never link. Vectors that are null,
     empty, zero or hold null or non-finite components, and those with a null label, link with nothing. Repeated rows are
     copies; those of one vec_id link as others do. Other columns are ignored. An empty table gives no row.
@@ -142,37 +217,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # -0.0 equals 0.0
     good = rows.where("ok").select("vec_id", "label", F.size("v").alias("dim"), F.transform("v", lambda x: x + 0.0).alias("v"))
     same = cut(good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "same")
-    centres = first_level(same)
-
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.zeros(batch.num_rows, np.int32)
-            for i, v in enumerate(batch.column(2).to_pylist()):
-                if centres.size and len(v) == centres.shape[1]:
-                    u = np.array(v)
-                    cell[i] = int((centres @ (u / np.sqrt((u**2).sum()))).argmax())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
-
-    dealt = same.select("label", "dim", "v", "rep", "times").mapInArrow(celled, f"label {same.schema['label'].dataType.simpleString()}, dim int, v array<double>, rep long, times long, cell int")
-    parts = cut(blocks(dealt, ["label", "dim", "cell"], "rep", BLOCK), "blocks").withColumn("part", F.xxhash64("label", "dim", "cell", "block"))
-    parts = parts.select("label", "dim", "part", F.transform("rows", lambda r: r["rep"]).alias("ids"), F.transform("rows", lambda r: r["times"]).alias("times"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("x"))
+    dealt = divided(same).withColumn("node", F.element_at("path", -1))
+    parts = cut(blocks(dealt, ["label", "dim", "node"], "rep", BLOCK), "blocks").withColumn("part", F.xxhash64("node", "block")).withColumn("path", F.get("rows", F.lit(0))["path"])
+    parts = parts.select("label", "dim", "part", "path", F.transform("rows", lambda r: r["rep"]).alias("ids"), F.transform("rows", lambda r: r["times"]).alias("times"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("x"))
 
     def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mid, radius = [], []
-            for dim, x in zip(batch.column(1).to_pylist(), batch.column(3)):
-                u = np.array(x.values.to_numpy(zero_copy_only=False)).reshape(-1, dim)
-                u = u / np.sqrt((u**2).sum(axis=1))[:, None]
+            for dim, flat in zip(batch.column(2).to_pylist(), batch.column(3)):
+                u = _unit(flat, dim)
                 mid.append(u.mean(axis=0).tolist())
                 radius.append(float(np.sqrt(((u - u.mean(axis=0)) ** 2).sum(axis=1)).max()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mid, pa.list_(pa.float64())), pa.array(radius, pa.float64())], names=["label", "dim", "part", "mid", "radius"])
-
-    label = parts.schema["label"].dataType.simpleString()
-    ball = cut(parts.select("label", "dim", "part", "x").mapInArrow(balls, f"label {label}, dim int, part long, mid array<double>, radius double"), "balls")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
-    a, b = (ball.select("label", "dim", F.col("part").alias(f"part_{n}"), F.col("mid").alias(f"mid_{n}"), F.col("radius").alias(f"radius_{n}")) for n in "ab")
-    apart = F.sqrt(F.aggregate(F.zip_with("mid_a", "mid_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, ["label", "dim"]).where("part_a <= part_b").where((F.col("part_a") == F.col("part_b")) | (apart <= F.col("radius_a") + F.col("radius_b") + reach)).select("part_a", "part_b")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(mid, pa.list_(pa.float64())), pa.array(radius, pa.float64())], names=["part", "path", "mid", "radius"])
+
+    ball = cut(parts.select("part", "path", "dim", "x").mapInArrow(balls, "part long, path array<long>, mid array<double>, radius double"), "balls")
+    pairs = near_parts(ball, float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6)
     both = pairs.join(parts.select(F.col("part").alias("part_a"), "dim", F.col("ids").alias("ids_a"), F.col("times").alias("times_a"), F.col("x").alias("x_a")), "part_a")
     both = both.join(parts.select(F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("times").alias("times_b"), F.col("x").alias("x_b")), "part_b")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litlake.llm import near_dedup, substring_dedup as sub
+from litlake.llm import embedding_dedup, near_dedup, substring_dedup as sub
 from litlake.llm._shared import components
 from litlake.llm._words import shingles_of, words
 from litlake.llm.embedding_dedup import near_vectors
@@ -270,7 +270,9 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
 
 
-def test_linked_vectors_and_neighbours_match_brute_force(spark):
+@pytest.mark.parametrize("block", [2048, 16])
+def test_linked_vectors_and_neighbours_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12))
     x[100:200] = x[:100] + rng.normal(size=(100, 12)) * rng.choice([0.0, 0.15, 0.3, 0.5], size=(100, 1))
@@ -294,6 +296,8 @@ def test_linked_vectors_and_neighbours_match_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(300, 307))
     assert near_vectors(df.limit(0)).count() == 0
 
+    if block < 2048:
+        return
     found: dict[int, list] = {}
     for r in nearest(df, every=20, k=5).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -308,3 +312,22 @@ def test_linked_vectors_and_neighbours_match_brute_force(spark):
         assert all(abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, s in got_q)
     assert hits >= 0.9 * 5 * len(found)
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_upper_levels_leave_out_far_nodes_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(12, 8)), 40, axis=0) + rng.normal(size=(480, 8)) * 0.25
+    x[100:130] = x[100]  # copies
+    x = x.astype(np.float32).astype(float)
+    u = x / np.sqrt((x**2).sum(axis=1))[:, None]
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, path string")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df).collect()}
+    assert [got[i] for i in range(480)] == hit.sum(axis=1).tolist()
+    same = df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("times"), "label", F.lit(8).alias("dim"), F.col("embedding").alias("v"))
+    paths = embedding_dedup.divided(same).select("rep", "path").collect()
+    assert len(paths) == 480 and max(len(r["path"]) for r in paths) >= 2
+    ball = spark.createDataFrame([(i, [0, i // 2], [float(i // 2 * 10), 0.0], 0.1) for i in range(1, 9)], "part long, path array<long>, mid array<double>, radius double")
+    assert {tuple(r) for r in embedding_dedup.near_parts(ball, 1.0).collect()} == {(i, j) for i in range(1, 9) for j in range(i, 9) if i // 2 == j // 2}
