@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Boundaries are kept as bits, WORD of them in a number; no piece may be longer.
 WORD = 60
 #: Bytes of text of a pass, in which each unit is named once; bounds memory, not what is processed.
-PASS = 24_000_000
+PASS = 12_000_000
 #: Units at most, and characters and ids of a unit at most, of the broadcast part of the ids; all others come by a join.
 TABLE, TABLE_CHARS, TABLE_IDS = 200_000, 32, 32
 
