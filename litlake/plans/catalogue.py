@@ -442,12 +442,13 @@ def domain_reliability(spark, sf_dir):
     return evidence.domain_reliability(p).select("domain", "selected_papers", "analyzed_papers", "coverage_ok", "coverage_low", "failed_or_missing", "full_text_ratio", "semantic_ratio", "reliability")
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id % 5 = 0")
 def ungrounded_snippets(spark, sf_dir):
-    """The last sentence of every document against its whole text; of every fifth it is spelt backwards."""
+    """The last sentence of every document against its whole text; every fifth has a snippet that no text holds."""
     last = F.coalesce(F.element_at(tx.sentences(F.col("text")), -1), F.lit(""))
     rows = star.table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''")
-    return evidence.ungrounded(rows.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.reverse(last)).otherwise(last).alias("snippet"), "text")).select("doc_id")
+    snippet = F.when(F.col("doc_id") % 5 == 0, F.format_string("q%d 0zxq 9vkj", "doc_id")).otherwise(last)
+    return evidence.ungrounded(rows.select("doc_id", snippet.alias("snippet"), "text")).select("doc_id")
 
 
 @query("WITH k AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents) SELECT item_id FROM benchmark WHERE trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) NOT IN (SELECT k FROM k WHERE k IS NOT NULL)")

@@ -84,11 +84,11 @@ def analyses_with_papers(spark, sf_dir):
     return reports.analyses_with_papers(analyses, papers).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "has_paper")
 
 
-@query()
+@query("SELECT doc_id, 10 AS n_errors, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_unsupported FROM documents")
 def checked_analyses(spark, sf_dir):
-    """Every document's first sentence as the snippet that its answer rests on, of every fifth spelt backwards."""
+    """Every document's first sentence as the snippet that its answer rests on; every fifth has one that no text holds."""
     first = F.coalesce(F.get(tx.sentences(F.col("text")), F.lit(0)), F.lit(""))
-    body = F.to_json(F.struct(F.lit("p").alias("research_problem"), F.lit("pdf_text").alias("source_basis"), F.lit("low").alias("confidence"), F.array(F.when(F.col("doc_id") % 5 == 0, F.reverse(first)).otherwise(first)).alias("supporting_text")))
+    body = F.to_json(F.struct(F.lit("p").alias("research_problem"), F.lit("pdf_text").alias("source_basis"), F.lit("low").alias("confidence"), F.array(F.when(F.col("doc_id") % 5 == 0, F.format_string("q%d 0zxq 9vkj", "doc_id")).otherwise(first)).alias("supporting_text")))
     rows = star.table(spark, sf_dir, "documents").select("doc_id", body.alias("answer"), F.lit("").alias("abstract"), F.col("text").alias("extracted_text"), F.lit(None).cast("array<struct<text:string>>").alias("selected_chunks"))
     return validation.checked_analyses(rows).select("doc_id", F.size("errors").alias("n_errors"), F.size("unsupported_supporting_text").alias("n_unsupported"))
 
