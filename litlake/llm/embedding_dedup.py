@@ -15,7 +15,9 @@ from ._vectors import blocks, usable
 COSINE = 0.93
 #: Vectors of a block, which has a cover tree of its own; points of a leaf.
 BLOCK, LEAF = 2048, 48
-#: Vectors (about) from which the children of a node that is larger than a block are chosen, and how many it gets at most; every
+#: Vectors beyond which a node is divided further; the few blocks of a smaller one all meet.
+NODE = 8 * BLOCK
+#: Vectors (about) from which the children of such a node are chosen, and how many it gets at most; every
 #: vector goes to the nearest, and none depends on the choice for being found.
 SAMPLE, FAN = 512, 32
 #: Levels above the blocks at most; what is larger then is dealt into blocks by a hash.
@@ -133,7 +135,7 @@ def _unit(flat: pa.Scalar, dim: int) -> np.ndarray:
 
 def divided(rows: DataFrame) -> DataFrame:
     """(label, dim, v, rep, times) with ``path``, the nodes of the cover tree's upper levels that a vector lies in, from the root of
-    its label and length down. Nodes of over BLOCK vectors get children around a net of a bounded sample, level by level; a
+    its label and length down. Nodes of over NODE vectors get children around a net of a bounded sample, level by level; a
     node whose vectors are all alike stays whole. Levels are tables; nothing of them comes to the driver."""
     keys = ["label", "dim"]
     names = [*keys, "v", "rep", "times"]
@@ -141,18 +143,18 @@ def divided(rows: DataFrame) -> DataFrame:
     closed = None
     for _ in range(LEVELS):
         sizes = open_.groupBy(F.element_at("path", -1).alias("node")).agg(F.count("*").alias("size"))
+        if sizes.where(F.col("size") > NODE).isEmpty():
+            return open_ if closed is None else closed.unionByName(open_)
         marked = cut(open_.withColumn("node", F.element_at("path", -1)).join(sizes, "node"), "level")
-        small = marked.where(F.col("size") <= BLOCK).select(*names, "path")
+        small = marked.where(F.col("size") <= NODE).select(*names, "path")
         closed = small if closed is None else closed.unionByName(small)
-        marked = marked.where(F.col("size") > BLOCK)
-        if marked.isEmpty():
-            return closed
+        marked = marked.where(F.col("size") > NODE)
 
         def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for dim, size, flat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                    out.append(net(_unit(flat, dim), int(min(FAN, 1 + -(-2 * size // BLOCK)))).ravel().tolist())
+                    out.append(net(_unit(flat, dim), int(min(FAN, 1 + -(-2 * size // NODE)))).ravel().tolist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["node", "centres"])
 
         few = marked.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / SAMPLE)) == 0)
@@ -206,8 +208,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null labels link at cosine ``cosine`` or more, exactly. Equal vectors of a label are counted first
-    and go on as one. The upper levels of a label's cover tree are tables, down to nodes of at most BLOCK vectors; pairs of
-    these that the levels above leave are joined by dual traversal of their own trees. From a pair of blocks come counts and the edges of its
+    and go on as one. The upper levels of a label's cover tree are tables, down to nodes of at most NODE vectors in blocks;
+    pairs of blocks that the levels above leave are joined by dual traversal of their own trees. From a pair of blocks come counts and the edges of its
     components, in proportion to its vectors and not its links. Vectors of unlike length never link. Vectors that are null,
     empty, zero or hold null or non-finite components, and those with a null label, link with nothing. Repeated rows are
     copies; those of one vec_id link as others do. Other columns are ignored. An empty table gives no row.

@@ -273,6 +273,7 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("block", [2048, 16])
 def test_linked_vectors_and_neighbours_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "NODE", 2 * block)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12))
     x[100:200] = x[:100] + rng.normal(size=(100, 12)) * rng.choice([0.0, 0.15, 0.3, 0.5], size=(100, 1))
@@ -316,6 +317,7 @@ def test_linked_vectors_and_neighbours_match_brute_force(spark, monkeypatch, blo
 
 def test_upper_levels_leave_out_far_nodes_and_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "NODE", 20)
     rng = np.random.default_rng(9)
     x = np.repeat(rng.normal(size=(12, 8)), 40, axis=0) + rng.normal(size=(480, 8)) * 0.25
     x[100:130] = x[100]  # copies
