@@ -102,3 +102,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digest
 
     return digest(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql() -> str:
+    from .merkle import duckdb_sql
+
+    return duckdb_sql()
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
