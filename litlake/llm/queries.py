@@ -118,3 +118,26 @@ def _merkle_sql() -> str:
 
 
 ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _collocation_sql() -> str:
+    from .collocations import duckdb_sql
+
+    return duckdb_sql()
+
+
+ORACLES["op12_phrase_collocations"] = _collocation_sql()
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
