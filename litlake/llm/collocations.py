@@ -24,6 +24,8 @@ LONGEST, SPACES, BREAKS = 5, b" \t", b".,;:!?\n\x0b\x0c\r"
 BLOCK, LOAD, MOST_BITS = 19, 3, 31
 #: Words whose phrases are sorted at once, and phrases of one automaton: they bound a worker's memory, not what is processed.
 FLUSH, SHARD = 2_000_000, 60_000
+#: Words of a scan's task at least: each task tells every candidate that it holds, so many small ones would tell them often.
+TASK_WORDS = 24_000_000
 
 _CLASS = np.zeros(256, np.int8)
 _CLASS[list(SPACES)], _CLASS[list(BREAKS)] = 1, 2
@@ -301,6 +303,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, share: int
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     words = cut(word_counts(docs), "words")
+    docs = docs.coalesce(max(1, -(-(words.agg(F.sum("f")).first()[0] or 0) // TASK_WORDS)))
     counts = exact_counts(docs, candidates(docs, words, least), shard)
     counts = cut(counts.where(F.col("f") >= least).withColumn("w", F.split("phrase", " ")), "counts")
     n = F.size("w")
