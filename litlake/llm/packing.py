@@ -64,7 +64,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     quick = tiktoken.Encoding("from_json", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        return plain(text) if any(s in text for s in special) else quick.encode_to_numpy(text, disallowed_special=())
+        if any(s in text for s in special):
+            return plain(text)
+        try:
+            return quick.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its splitting pattern gives up on very long white space
+            return plain(text)
 
     return encode
 

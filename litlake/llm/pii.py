@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,8 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST, LONGEST_CHARS = 12, 254
 #: Tokens on either side of a digit or an at sign that are decoded with it.
 REACH = 10
+#: Tokens whose segments are scored at once; bounds memory, not what is decoded together.
+BLOCK = 256
 #: Synthetic training windows, rounds of AdaGrad, the seed: the model depends on nothing else.
 WINDOWS, EPOCHS, SEED = 280, 12, 11
 
@@ -24,7 +26,7 @@ Span = tuple[int, int, int]  # kind, start, end
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")  # a later digit of a run can only begin what the first one does
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -101,7 +103,7 @@ def _features(text: str, tokens: Sequence[tuple[int, int]], i: int, j: int) -> n
     letters = re.search(r"[^\W\d_]", s) is not None
     before = [text[x:y].lower() for x, y in tokens[max(0, i - 3) : i]]
     parts = s.split(".")
-    four = len(parts) == 4 and all(p.isdigit() for p in parts)
+    four = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     on = {
         "bias": 1, "digits<7": n < 7, "digits 7": n == 7, "digits 10": n == 10, "digits 8-9,11-15": n in (8, 9, 11, 12, 13, 14, 15), "digits 16-19": 16 <= n <= 19, "digits>19": n > 19,
         "luhn": 16 <= n <= 19 and luhn(digits), "starts with +": first == "+", "brackets": re.search(r"\([0-9]+\)", s) is not None, "only digits and separators": not letters and "@" not in s, "letters": letters,
@@ -113,9 +115,10 @@ def _features(text: str, tokens: Sequence[tuple[int, int]], i: int, j: int) -> n
     return np.array([float(on[f]) for f in FEATURES])
 
 
-def candidates(text: str, tokens: Sequence[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+def candidates(text: str, tokens: Sequence[tuple[int, int]], first: int = 0, end: int | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """Segments that begin at tokens[first:end]."""
     out = []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if end is None else min(end, len(tokens))):
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             if tokens[j - 1][1] - tokens[i][0] > LONGEST_CHARS:
                 break
@@ -143,26 +146,33 @@ def _marginals(n: int, spans: Sequence[tuple[int, int]], scores: np.ndarray) ->
     return ahead[n], np.exp(edges[:, None] + scores - ahead[n])
 
 
-def decode(n: int, spans: Sequence[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities as (kind, first token, token after the last): boundaries and kinds at once."""
-    best, how = np.zeros(n + 1), [(-1, -1)] * (n + 1)
-    by_end: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (_, j) in enumerate(spans):
-        by_end[j].append(k)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for k in by_end[j]:
-            kind = int(scores[k].argmax())
-            if (s := best[spans[k][0]] + scores[k, kind]) > best[j]:
-                best[j], how[j] = s, (k, kind)
+def decode(n: int, blocks: Iterable[tuple[Sequence[tuple[int, int]], np.ndarray]]) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities as (kind, first token, token after the last): boundaries and kinds at once. Segments
+    come in blocks by their first token, with a score for each kind; what is kept of them is one way into each token, so the
+    length of a text bounds nothing."""
+    best, how = np.full(n + 1, -np.inf), [(-1, -1)] * (n + 1)
+    best[0], at = 0.0, 0
+
+    def outside(until: int) -> None:
+        nonlocal at
+        while at < until:
+            if best[at] >= best[at + 1]:
+                best[at + 1], how[at + 1] = best[at], (-1, -1)
+            at += 1
+
+    for spans, scores in blocks:
+        kinds = scores.argmax(axis=1)
+        for k, (i, j) in enumerate(spans):
+            outside(i)
+            if (s := best[i] + scores[k, kinds[k]]) > best[j]:
+                best[j], how[j] = s, (i, int(kinds[k]))
+    outside(n)
     out, j = [], n
     while j:
-        k, kind = how[j]
-        if k >= 0:
-            out.append((kind, *spans[k]))
-            j = spans[k][0]
-        else:
-            j -= 1
+        i, kind = how[j]
+        if i >= 0:
+            out.append((kind, i, j))
+        j = i if i >= 0 else j - 1
     return out[::-1]
 
 
@@ -253,7 +263,7 @@ def added_spans(text: str, base: Sequence[Span], weights: np.ndarray) -> list[Sp
     begin = floor = 0
     while begin < len(anchors):
         end = begin + 1
-        while end < len(anchors) and anchors[end][0] - anchors[end - 1][1] <= 24 and end - begin < 24:
+        while end < len(anchors) and anchors[end][0] - anchors[end - 1][1] <= 24:
             end += 1
         some = anchors[begin:end]
         # no entity has under seven digits but those with an at sign
@@ -274,19 +284,27 @@ def added_spans(text: str, base: Sequence[Span], weights: np.ndarray) -> list[Sp
 
 
 def _window(text: str, a: int, b: int, low: int, high: int, taken: Sequence[tuple[int, int]], weights: np.ndarray) -> list[Span]:
-    """The best segmentation of the stretch from low to high around anchors from a to b, outside of ``taken``."""
-    tokens = [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
-    tokens = [x for x in tokens if not any(p < x[1] and x[0] < q for p, q in taken)] if taken else tokens
+    """The best segmentation of the stretch from low to high around anchors from a to b, outside of ``taken``, which are apart
+    and in order."""
+    ends = [q for _, q in taken]
+
+    def free(x: int, y: int) -> bool:
+        k = bisect_right(ends, x)
+        return k == len(taken) or y <= taken[k][0]
+
+    tokens = [x for m in _TOKEN.finditer(text, low, high) if free(*(x := m.span()))]
     near = [k for k, x in enumerate(tokens) if x[1] > a and x[0] < b]
     if not near:
         return []
     tokens = tokens[max(0, near[0] - REACH) : near[-1] + REACH + 1]
-    found = [c for c in candidates(text, tokens) if not any(p < tokens[c[1] - 1][1] and tokens[c[0]][0] < q for p, q in taken)]
-    if not found:
-        return []
-    spans = [(i, j) for i, j, _ in found]
-    best = decode(len(tokens), spans, np.array([f for *_, f in found]) @ weights.T)
-    return [(kind, tokens[i][0], tokens[j - 1][1]) for kind, i, j in best]
+
+    def blocks() -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+        for first in range(0, len(tokens), BLOCK):
+            found = [c for c in candidates(text, tokens, first, first + BLOCK) if free(tokens[c[0]][0], tokens[c[1] - 1][1])]
+            if found:
+                yield [(i, j) for i, j, _ in found], np.array([f for *_, f in found]) @ weights.T
+
+    return [(kind, tokens[i][0], tokens[j - 1][1]) for kind, i, j in decode(len(tokens), blocks())]
 
 
 def spelled(spans: Sequence[Span]) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,31 @@ def test_base_spans_are_those_of_the_patterns(spark):
     assert pii.find_pii(frame(spark).limit(0)).count() == 0
 
 
+ODD = ["call 1234567 at 10.20.30.² now", "10.20.30.① and 1234567", "٣٣٣٣٣٣٣ 10.2.3.٣ 1234567", "x" * 50 + "1" * 200_000, "+1" + " " * 200_000 + "x", "1." * 100_000]
+
+
+def test_odd_digits_and_long_runs(spark):
+    out = pii.digest(frame(spark, ODD)).collect()
+    for r in out:
+        base = plain_pii(ODD[r["doc_id"]]) if len(ODD[r["doc_id"]]) < 1000 else pii.base_spans(ODD[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    began = time.perf_counter()
+    for t in ("7" * 200_000, "7." * 100_000, "7 " * 30_000, "7-" * 30_000):
+        pii.base_spans(t)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_run_of_anchors_is_decoded_whole():
+    """As one segmentation, however long, and in blocks of any size."""
+    weights = pii.trained()
+    text = " ".join(f"tel {200 + i % 700}-{100 + i % 800}-{1000 + i} or" if i % 3 else f"{i}" for i in range(80))
+    tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+    found = pii.candidates(text, tokens)
+    best = pii.decode(len(tokens), [([(i, j) for i, j, _ in found], np.array([f for *_, f in found]) @ weights.T)])
+    want = [(kind, tokens[i][0], tokens[j - 1][1]) for kind, i, j in best]
+    assert pii.added_spans(text, [], weights) == want and len(want) > 24
+
+
 def test_masking():
     t = "to a@b.cd or +1 (555) 123-4567 now"
     assert pii.masked(t, pii.base_spans(t)) == "to <EMAIL> or <PHONE> now"
@@ -68,8 +94,10 @@ def test_decoding_is_the_best_segmentation():
                 return 0.0
             return max([best(at + 1)] + [scores[k].max() + best(j) for k, (i, j) in enumerate(spans) if i == at])
 
-        got = sum(scores[spans.index((i, j)), kind] for kind, i, j in pii.decode(n, spans, scores))
+        got = sum(scores[spans.index((i, j)), kind] for kind, i, j in pii.decode(n, [(spans, scores)]))
         assert abs(got - best(0)) < 1e-9
+        parts = [([spans[k] for k in ks], scores[ks]) for f in range(n) if (ks := [k for k, (i, _) in enumerate(spans) if i == f])]
+        assert pii.decode(n, parts) == pii.decode(n, [(spans, scores)])
         z, p = pii._marginals(n, spans, scores)
         bump = 1e-5
         more = scores.copy()

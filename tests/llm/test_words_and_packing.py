@@ -64,3 +64,16 @@ def test_packing_is_an_exact_round_trip(spark):
     assert pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pack(df, window=1000)
+
+
+def test_very_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(default_tokenizer())
+    texts = [" " * 700_000 + "x", "a" + "\n" * 700_000, "\t " * 350_000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in pack(docs).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).append(np.frombuffer(r["ids"], "<u4"))
+    for i, t in enumerate(texts):
+        assert np.concatenate(got[i]).tolist() == [*slow.encode(t, add_special_tokens=False).ids, 0]
