@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import rule_confidence
 from ..functions.text import PAPER_STOPWORDS, count_term, tokens
+from ..tables import cut
+from . import linkage
 
 UNCLASSIFIED = "未分类"
 #: Sources and taxonomies of evidence, the preferred first, and the confidence of a Crossref subject.
@@ -130,46 +129,32 @@ def cluster_labels(rows: DataFrame, votes: str | None = None, least: int = 2) ->
     return out.withColumns({"label": label, "confidence": F.when(F.col("papers") < least, alone).otherwise(sure)}).drop("_vote")
 
 
-def cluster_count(n: int, smallest: int = 2) -> int:
-    return 1 if n <= smallest else min(n, 8, max(2, math.ceil(math.sqrt(n))))
-
-
-def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by cosine distance, the closest pair by mean distance merged first; numbered by first member."""
-    u = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
-    total, size, label = 1 - u @ u.T, np.ones(len(x)), np.arange(len(x))
-    alive = list(range(len(x)))
-    while len(alive) > k:
-        a = np.array(alive)
-        mean = total[np.ix_(a, a)] / np.outer(size[a], size[a])
-        mean[np.tril_indices(len(a))] = np.inf
-        i, j = (int(a[t]) for t in np.unravel_index(int(mean.argmin()), mean.shape))
-        total[i] += total[j]
-        total[:, i] += total[:, j]
-        size[i] += size[j]
-        label[label == j] = i
-        alive.remove(j)
-    names = {v: n for n, v in enumerate(dict.fromkeys(label.tolist()))}
-    return np.array([names[v] for v in label.tolist()])
-
-
-def cluster(vectors: DataFrame, by: str, most: int = 1500) -> DataFrame:
-    """(by, id, v) -> (by, id, cluster): agglomerative clusters of every group, which has to fit a task. Of a larger group,
-    ``most`` rows by a hash of the id are clustered and the others join the cluster whose centre is nearest."""
-    ids, kinds = vectors.schema["id"].dataType.simpleString(), vectors.schema[by].dataType.simpleString()
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("id"), "id"))
-    picked = vectors.withColumn("_n", rank).where(F.col("_n") <= most).select(by, "id", "v")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["v"].tolist(), float)
-        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "cluster": average_linkage(x, cluster_count(len(x))), "v": pdf["v"]})
-
-    done = picked.groupBy(by).applyInPandas(one, f"{by} {kinds}, id {ids}, cluster int, v array<double>")
-    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(1e-24), lambda s, y: s + y * y)))
-    centres = done.select(by, "cluster", F.posexplode(unit).alias("i", "x")).groupBy(by, "cluster", "i").agg(F.avg("x").alias("x"))
-    centres = centres.groupBy(by, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
-    near = vectors.join(done.select("id", "cluster"), "id", "left_anti").join(centres, by)  # at most eight for a group
-    near = near.withColumn("_s", F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
-    rest = near.groupBy(by, "id").agg(F.max_by("cluster", F.struct("_s", -F.col("cluster"))).alias("cluster"))
-    return done.select(by, "id", "cluster").unionByName(rest.select(by, "id", "cluster"))
+def classify_batch(rows: DataFrame, by: str, votes: str | None = None, least: int = 2) -> DataFrame:
+    """(by, id, text, v) -> (by, id, cluster, subdomain, confidence, reason): every collection ``by`` clustered by its vectors,
+    every paper named after its cluster.
+
+    A cluster's label comes from its keywords or, with ``votes``, its most frequent subdomain (``cluster_labels``). A paper
+    alone in its cluster, and all of a collection with fewer than ``least`` papers or texts, are named by their own keywords,
+    and the reason says so; cluster is null where nothing was clustered. A null text has no keyword, a paper without a vector
+    is in no cluster. Ids are unique."""
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select(by, F.col("id").cast("long").alias("id"), text.alias("text"), "v", *([votes] if votes else []))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"), F.count_if(F.trim("text") != "").alias("_t"))
+    enough = (F.col("_n") >= least) & (F.col("_t") >= least)
+    clustered = linkage.clusters(rows.join(sizes.where(enough), by, "left_semi"), by)
+    placed = cut(rows.join(sizes, by).join(clustered.select("id", "cluster"), "id", "left").withColumn("_members", F.count("cluster").over(Window.partitionBy(by, "cluster"))).drop("v"), "placed")
+    together = F.col("cluster").isNotNull() & (F.col("_members") >= least)
+    # a cluster, or a paper by itself
+    key = F.when(together, F.struct(F.col(by).cast("string").alias("by"), F.col("cluster").alias("c"), F.lit(None).cast("long").alias("id"))).otherwise(F.struct(F.lit(None).cast("string").alias("by"), F.lit(None).cast("int").alias("c"), F.col("id").alias("id")))
+    keyed = placed.withColumn("_key", key)
+    labels = cluster_labels(keyed.select(F.col("_key").alias("cluster"), "id", "text", *([votes] if votes else [])), votes, least)
+    labels = labels.select(F.col("cluster").alias("_key"), F.col("label").alias("subdomain"), "confidence", F.array_join(F.slice("keywords", 1, 8), ", ").alias("_words"))
+    null_safe = keyed.alias("k").join(labels.alias("l"), F.col("k._key").eqNullSafe(F.col("l._key")))
+    why = (
+        F.when(together, F.concat(F.lit("auto_cluster="), "cluster", F.lit("; keywords: "), "_words"))
+        .when(F.col("cluster").isNotNull(), F.concat(F.lit("cluster="), "cluster", F.lit("; singleton topic")))
+        .when(F.col("_n") < least, "insufficient records for clustering")
+        .when(F.col("_t") < least, "insufficient article text for clustering")
+        .otherwise("no vector")
+    )
+    return null_safe.select(F.col(f"k.{by}").alias(by), "id", "cluster", "subdomain", "confidence", why.alias("reason"))

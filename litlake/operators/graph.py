@@ -1,0 +1,34 @@
+"""Connected components of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..tables import cut, discard
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (a long, b long) as (id, root), root the smallest id that can be reached.
+
+    Alternates "all larger neighbours point at the smallest neighbour" with "all smaller neighbours and the node point at
+    the smallest" until nothing changes; each round is a table in the shared folder, where only the last one stays. Ids without
+    an edge are not returned. An empty table gives an empty result.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.where("a <> b").distinct(), "large")
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        last, now = now, cut(small.where("a <> b").distinct(), "small")
+        discard(edges.sparkSession, last, large)
+        # The sum of roots only falls, and stays once every id points at its root.
+        mark = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+    roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text as tx
-from ..operators import classify, enrich, evidence, filters, monitor, ranking, references as refs_, stats
+from ..operators import classify, enrich, evidence, filters, linkage, monitor, ranking, references as refs_, stats
 from ..sources import pages as pages_, sinks, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,7 +399,7 @@ def cosine_best_purpose(spark, sf_dir):
 @query()
 def embedding_clusters(spark, sf_dir):
     e = star.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return classify.cluster(e, "label")
+    return linkage.clusters(e, "label")
 
 
 def _chunks(spark, sf_dir):

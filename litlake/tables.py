@@ -60,3 +60,9 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

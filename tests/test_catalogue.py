@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from litlake.plans import catalogue, reports  # noqa: F401
+from litlake.plans import catalogue, flows, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

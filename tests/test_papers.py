@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from litlake.functions import scoring, text as tx
-from litlake.operators import classify, enrich, evidence, filters, monitor, ranking, references as refs, stats
+from litlake.operators import classify, enrich, evidence, filters, linkage, monitor, ranking, references as refs, stats
 from litlake.schema import normalise_articles
 from litlake.sources import pages, records, sinks
 
@@ -130,9 +130,9 @@ def test_rules_and_clusters(spark):
     df = articles(spark, {"title": "Aging of cells", "abstract": "cells age"}, {"title": "Other"})
     got = classify.rule_classify(df, [("Bio", ["cells"]), ("Age", ["aging"])]).orderBy("_ord").collect()
     assert [(r["domain"], r["confidence"]) for r in got] == [("Bio", 0.7), (classify.UNCLASSIFIED, 0.0)]
-    assert [classify.cluster_count(n) for n in (1, 10, 100)] == [1, 4, 8]
+    assert [linkage.cluster_count(n) for n in (1, 10, 100)] == [1, 4, 8]
     vectors = spark.createDataFrame([("g", i, v) for i, v in enumerate([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.1, 0.9]])], "label string, id int, v array<double>")
-    assert [r["cluster"] for r in classify.cluster(vectors, "label").orderBy("id").collect()] == [0, 0, 1, 1]
+    assert [r["cluster"] for r in linkage.clusters(vectors, "label").orderBy("id").collect()] == [0, 0, 1, 1]
 
 
 def test_sections_chunks_and_selection(spark):
