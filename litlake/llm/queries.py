@@ -43,6 +43,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def _secret_sql() -> str:
+    from .secrets import duckdb_sql
+
+    return duckdb_sql()
+
+
+ORACLES["op4_secret_ownership"] = _secret_sql()
+
+
 @query
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, find_secrets

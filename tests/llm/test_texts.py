@@ -129,6 +129,30 @@ def test_secrets_are_those_of_the_patterns_and_copies_are_told_apart(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_live_secrets_are_a_few_owners_own(spark, tmp_path):
+    many, one, spread, shared = ("ghp_" + "".join(random.Random(i).choices("abcdefghijkABCDEFGHIJK0123456789", k=36)) for i in range(4))
+    rows = [(i, f"key {many} end", f"owner{i}") for i in range(30)]  # an example that many owners copied
+    rows += [(100 + i, f"a {one} b", "alone") for i in range(12)]  # one owner's, in a dozen of its repositories
+    rows += [(200 + i, f"a {spread} b", "tutor") for i in range(13)]  # one owner's, but all over its repositories
+    rows += [(300 + i, f"a {shared} b", f"team{i % 2}") for i in range(20)] + [(300, f"a {shared} b", "team0")] * 9  # repeated rows are one document
+    rows += [(400, "password=changeme99 token = xxxxxxxxxx api_key: your_key_here", "p"), (401, "secret = aaaaaaaa token=q8R2t7Zp1", "p"), (402, None, None), (403, "", "")]
+    df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, owners int").repartition(5)
+    out = secrets.digest(secrets.find_secrets(df))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["spans"] == "" for i in (*range(30), *range(200, 213)))  # an added kind, and no live value
+    assert all(got[i]["spans"] == "prefixed:2:42" and got[i]["n_live"] == 1 for i in (*range(100, 112), *range(300, 320)))
+    assert (got[400]["n_live"], got[400]["n_example"], got[401]["n_live"], got[401]["n_example"]) == (0, 3, 1, 1)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for n, frame_ in enumerate((df, frame(spark).drop("spans"))):
+        frame_.coalesce(1).write.parquet(str(tmp_path / f"d{n}"))
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/d{n}/*.parquet'")
+        mine = secrets.digest(secrets.find_secrets(frame_))
+        want = con.sql(secrets.duckdb_sql())
+        assert sorted(want.columns) == sorted(mine.columns)
+        assert sorted(map(tuple, mine.collect()), key=repr) == sorted(want.select(*mine.columns).fetchall(), key=repr)
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [
