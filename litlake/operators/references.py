@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import TIERS, reference_value
 from ..functions.text import dedupe, reference_key, token_set
+from ..schema import REFERENCE
 
 #: Words that don't count in relevance, against a profile and against the citing paper.
 PROFILE_STOPWORDS = (
@@ -128,32 +129,59 @@ def split_references(section: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
 
 
-#: A DOI and what may not end it; a year; a word that can begin a title; a journal's name in front of a number or a comma.
+#: A DOI; a year.
 _DOI, _YEAR = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", r"\b(?:19|20)\d{2}\b"
-_INITIALS = re.compile(r"(?:\b[A-Z]\.[\s-]*)+")
-_JOURNAL = re.compile(r"[^A-Za-z]*([A-Z][A-Za-z&.\- ]*[A-Za-z])")
+
+
+def _is_initial(word: str) -> bool:
+    """Whether a word's full stop belongs to a single capital: "J.", "A.B.", "(K."."""
+    return word.endswith(".") and "A" <= word[-2:-1] <= "Z" and not word[-3:-2].isalnum()
 
 
 def clauses(raw: str) -> list[str]:
-    """What stands between full stops, where those of initials don't count; a name and its initials stay one clause."""
-    held = _INITIALS.sub(lambda m: m[0].replace(".", "\N{ONE DOT LEADER}"), raw)
-    ends = [m.start() + 1 for m in re.finditer(r"[.?!](?=\s|$)|\N{ONE DOT LEADER}(?=\s+[A-Z][a-z]*\s+\S+\s)", held)]
-    cuts = [held[a:b] for a, b in zip([0, *ends], [*ends, len(held)])]
-    return [c for c in (c.replace("\N{ONE DOT LEADER}", ".").strip(" ;") for c in cuts) if c.strip(".")]
+    """The words up to each one that ends in a full stop, question or exclamation mark. An initial ends a clause only where a
+    sentence seems to begin: a capitalised word with two more behind it."""
+    words, out, begin = raw.split(), [], 0
+    for i, word in enumerate(words):
+        ends = word[-1] in ".?!"
+        if ends and _is_initial(word):
+            ahead = words[i + 1 : i + 4]
+            ends = len(ahead) == 3 and ahead[0].isalpha() and ahead[0].istitle()
+        if ends or i == len(words) - 1:
+            out.append(" ".join(words[begin : i + 1]))
+            begin = i + 1
+    return [c for c in (c.strip(" ;") for c in out) if c.strip(".")]
+
+
+def journal_of(tail: str) -> str:
+    """The words that a text begins with, from a capital on, as far as they are letters, ``&``, ``-`` or full stops."""
+    name: list[str] = []
+    for word in tail.split():
+        if not name:
+            word = word.lstrip("0123456789.,;:()[]\"'-")
+            if not word:
+                continue
+            if not "A" <= word[0] <= "Z":
+                break
+        part = "".join(takewhile(lambda c: c.isascii() and c.isalpha() or c in "&.-", word))
+        if part:
+            name.append(part)
+        if part != word:
+            break
+    return " ".join(name).strip(" .-&")
 
 
 def title_and_journal(raw: str, year: str) -> tuple[str, str]:
-    """The first clause of three words or more behind the authors is the title, and the capitalised words that follow it, up to a
-    number, comma or the year, are the journal. A first clause is taken for authors if it has a comma, an ampersand or initials."""
+    """The first clause of three words or more behind the authors is the title, the journal is what the next ones begin with,
+    before the year. A first clause is taken for authors if it has a comma, an ampersand, "et al" or an initial."""
     parts = clauses(raw)
-    named = bool(parts) and bool(re.search(r",|&|\bet al|\b[A-Z]\.", parts[0]))
-    rest = parts[1:] if named and len(parts) > 1 else parts
+    named = len(parts) > 1 and (any(x in parts[0] for x in (",", "&", " et al")) or any(map(_is_initial, parts[0].split())))
+    rest = parts[1:] if named else parts
+    if not rest:
+        return "", ""
     place = next((i for i, p in enumerate(rest) if len(p.split()) >= 3), 0)
-    title = rest[place].strip(" .") if rest else ""
     tail = " ".join(rest[place + 1 :])
-    tail = tail.partition(year)[0] if year else tail
-    m = _JOURNAL.match(tail)
-    return title, m[1].strip(" .") if m else ""
+    return rest[place].strip(" ."), journal_of(tail.partition(year)[0] if year else tail)
 
 
 def extract_references(texts: DataFrame, most: int | None = None) -> DataFrame:
@@ -182,6 +210,20 @@ def extract_references(texts: DataFrame, most: int | None = None) -> DataFrame:
     return rows.where(reference_key(F.col("doi"), F.col("title")) != "").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def with_extracted(articles: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
+    """Articles (``schema.ARTICLE`` and id) with the references that their files' texts (id, text) end with. Those of a complete
+    file replace what was there, even by none; other articles keep theirs. A text without an article is ignored."""
+    readable = (F.col("pdf_status") == "complete") & (F.col("local_pdf_path") != "")
+    found = extract_references(texts.join(articles.where(readable).select("id"), "id", "left_semi"), most)
+    own = articles.select("id", F.col("doi").alias("source_article_doi"), F.col("title").alias("source_article_title"))
+    found = found.join(own, "id").withColumn("source_article_count", F.lit(1))
+    fields = [(F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in REFERENCE.fields]
+    lists = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["r"]).alias("_found"))
+    rows = articles.join(lists, "id", "left")
+    kind = articles.schema["references"].dataType
+    return rows.withColumn("references", F.when(readable, F.coalesce(F.col("_found").cast(kind), F.array().cast(kind))).otherwise(F.col("references"))).drop("_found")
+
+
 def title_search(hits: DataFrame, title: str | None, most: int) -> DataFrame:
     """Hits of several services (_ord in the order of services), repeats dropped; with a title by likeness to it, then
     citations, then title; else by citations and title. The first ``most``."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
-from ..operators import classify, crawl, download, pdf, similar
-from ..sources import pages, star
+from ..operators import classify, crawl, download, evidence, pdf, references as refs_, similar
+from ..schema import normalise_articles
+from ..sources import pages, records, star
 from ..streaming import runs
 from .catalogue import ARTICLES, query
 
@@ -110,3 +111,68 @@ def download_states(spark, sf_dir):
     answers = star.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.lit("%PDF-"), "text"), "UTF-8").alias("content"), F.lit(None).cast("string").alias("error"))
     out = download.settled(download.planned(rows, files), answers, least=2000)
     return out.select(F.col("id").alias("ord"), "download_status", "pdf_status", F.coalesce("found", F.lit("")).alias("found"))
+
+
+# --- references of texts, evidence of services, vectors of chunks ----------------------------------------------------------------
+
+
+@query(f"""{ARTICLES}, r AS (SELECT l_orderkey AS ord, l_linenumber AS pos, p_partkey AS p, 'Report on the ' || p_name || ' number ' || p_partkey AS title, CASE WHEN p_partkey % 3 > 0 THEN '10.2000/' || p_partkey ELSE '' END AS doi,
+ regexp_extract('Report on the ' || p_name || ' number ' || p_partkey || '. Journal of Trade 7, ' || (1990 + p_partkey % 30), '\\b(?:19|20)\\d{{2}}\\b') AS year FROM lineitem JOIN part ON l_partkey = p_partkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY ord, p ORDER BY pos) AS n FROM r), g AS (SELECT ord, count(*) AS found, string_agg(title || '|' || doi || '|' || year || '|Journal of Trade', ';' ORDER BY pos, p) AS refs FROM k WHERE n = 1 GROUP BY ord)
+SELECT ord, CASE WHEN ord % 11 = 0 THEN coalesce(found, 0) ELSE 1 END::INT AS found, CASE WHEN ord % 11 = 0 THEN coalesce(refs, '') ELSE 'old|||' END AS refs FROM articles LEFT JOIN g USING (ord)""")
+def extracted_references(spark, sf_dir):
+    """Order lines as the reference section of a text, read back into the articles whose file is complete."""
+    line = star.table(spark, sf_dir, "lineitem").join(star.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    p = F.col("p_partkey")
+    told = F.concat(F.lit(". Maker, A. & Seller, B. C. Report on the "), "p_name", F.lit(" number "), p.cast("string"), F.lit(". Journal of Trade 7, "), (1990 + p % 30).cast("string"), F.lit("."), F.when(p % 3 > 0, F.concat(F.lit(" https://doi.org/10.2000/"), p.cast("string"), F.lit("."))).otherwise(""))
+    lists = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", p.alias("p"), told.alias("t")))).alias("x"))
+    texts = lists.select("id", F.concat(F.lit("Body.\nREFERENCES\n"), F.array_join(F.transform("x", lambda x: F.concat(x["l_linenumber"].cast("string"), x["t"])), "\n"), F.lit("\nAcknowledgements\n9. Nobody, N. Not a reference at all.")).alias("text"))
+    old = F.array(F.struct(F.lit("old").alias("title")))
+    rows = normalise_articles(star.articles(spark, sf_dir))
+    rows = rows.withColumn("references", F.from_json(F.to_json(old), rows.schema["references"].dataType))
+    out = refs_.with_extracted(rows.withColumn("id", F.col("_ord")), texts)
+    field = lambda r, n: F.coalesce(r[n], F.lit(""))
+    return out.select(F.col("_ord").alias("ord"), F.size("references").alias("found"), F.array_join(F.transform("references", lambda r: F.concat_ws("|", field(r, "title"), field(r, "doi"), field(r, "publish_date"), field(r, "journal"))), ";").alias("refs"))
+
+
+@query("SELECT l_orderkey AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_partkey) - 1 AS pos, p_name AS title, '10.1000/' || l_orderkey AS source_doi FROM lineitem JOIN part ON l_partkey = p_partkey")
+def nested_references(spark, sf_dir):
+    """Cited works nested in their articles, and taken out again."""
+    flat = star.references(spark, sf_dir)
+    nested = flat.groupBy("_ord", F.col("source_doi").alias("doi"), F.col("source_title").alias("t")).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("title", "journal").alias("r")))).alias("x"))
+    rows = nested.select("_ord", "doi", F.col("t").alias("title"), F.transform("x", lambda x: x["r"]).alias("references"))
+    return refs_.unnest(rows).select(F.col("_ord").alias("ord"), F.col("pos").cast("long").alias("pos"), "title", "source_doi")
+
+
+@query(f"""{ARTICLES}, s AS (SELECT *, CASE WHEN ord % 5 = 0 AND ord % 10 <> 0 THEN 'F' || ord % 3 WHEN ord % 5 = 1 THEN 'P' || ord % 3 WHEN ord % 5 = 2 THEN 'Q' END AS given, CASE journal WHEN 'AUTOMOBILE' THEN 'Cars' WHEN 'HOUSEHOLD' THEN 'Homes' WHEN 'FURNITURE' THEN 'Homes' END AS ruled FROM articles)
+SELECT ord, coalesce(given, ruled, '未分类') AS subdomain, CASE WHEN given IS NULL THEN CASE WHEN ruled IS NULL THEN 'none' ELSE 'local_rule' END WHEN ord % 5 = 1 THEN 'crossref' ELSE 'openalex' END AS source,
+ CASE WHEN given IS NULL THEN CASE WHEN ruled IS NULL THEN 0.0 ELSE 0.6 END WHEN ord % 5 = 0 THEN 0.9 WHEN ord % 5 = 1 THEN 0.72 ELSE 0.5 END::DOUBLE AS confidence FROM s""")
+def authoritative_classes(spark, sf_dir):
+    """Topics on the record, even ones that yield nothing, before the first service with an answer, before rules."""
+    k, text = F.col("_ord"), "array<struct<source:string,taxonomy:string,label:string,field:string,subfield:string,topic:string,level:int,score:double>>"
+    topic = lambda kind, name, score: F.struct(F.lit("openalex").alias("source"), F.lit(kind).alias("taxonomy"), F.lit("l").alias("label"), name.alias("field"), F.lit("").alias("subfield"), F.lit("").alias("topic"), F.lit(None).cast("int").alias("level"), F.lit(score).alias("score"))
+    field = F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("F"), (k % 3).cast("string")))
+    rows = star.articles(spark, sf_dir).withColumn("authoritative_topics", F.when(k % 5 == 0, F.array(topic("concept", F.when(k % 10 == 0, "").otherwise("C"), 0.99), topic("topic", field, 0.9))).otherwise(F.array().cast(text)).cast(text)).withColumn("id", k)
+    told = lambda name, pos, source, kind, domain, sure: rows.where(k % 5 != 3).select("id", F.lit(name).alias("provider"), F.lit(pos).alias("pos"), F.lit(source).alias("source"), F.lit(kind).alias("taxonomy"), F.lit("l").alias("label"), domain.alias("domain"), F.lit(sure).alias("confidence"))
+    first = told("a", 0, "openalex", "concept", F.when(k % 5 == 2, "Q").otherwise(""), 0.5)
+    second = told("b", 0, "crossref", "subject", F.when(k % 5 < 3, F.concat(F.lit("P"), (k % 3).cast("string"))).otherwise(""), 0.72)
+    out = classify.authoritative(rows, first.unionByName(second), [("Cars", ["automobile"]), ("Homes", ["household", "furniture"])])
+    return out.select(F.col("id").alias("ord"), F.col("subdomain"), F.col("classification_source").alias("source"), F.col("classification_confidence").alias("confidence"))
+
+
+@query("""WITH q AS (SELECT vec_id AS place, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 4), s AS (SELECT vec_id, place, list_dot_product(embedding::DOUBLE[], q) AS s FROM embeddings, q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, place) = 1)
+SELECT vec_id AS id, 'purpose ' || place AS purpose, round(vec_id % 7 / 7.0::DOUBLE + 4 * s + vec_id % 3 / 10.0::DOUBLE, 4) AS score, CASE WHEN place = 2 THEN 1 ELSE 2 END AS reasons FROM b""")
+def semantic_chunks(spark, sf_dir):
+    """Vectors as scored chunks against four purposes' vectors, with the score of a reranker."""
+    e, k = star.table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), F.col("vec_id")
+    queries = e.where("vec_id < 4").select(k.alias("place"), F.concat(F.lit("purpose "), k.cast("string")).alias("purpose"), F.col("v").alias("q"))
+    chunks = e.select(k.alias("id"), (k % 7 / 7).alias("lexical_score"), F.array(F.lit("purpose 2")).alias("reasons"), "v", (k % 3 / 10).alias("rerank_score"))
+    return evidence.semantic_scores(chunks, queries).select("id", F.col("semantic_purpose").alias("purpose"), F.round("score", 4).alias("score"), F.size("reasons").alias("reasons"))
+
+
+@query(f"{ARTICLES} SELECT ord, CASE WHEN ord % 3 = 0 THEN 'http://own/' || ord || '.pdf' WHEN ord % 3 = 1 THEN 'https://journals.plos.org/plosone/article/file?id=10.1371/journal.pone.' || ord || '&type=printable' ELSE '' END AS url FROM articles")
+def open_access_urls(spark, sf_dir):
+    k = F.col("_ord")
+    rows = star.articles(spark, sf_dir).withColumns({"pdf_url": F.when(k % 3 == 0, F.concat(F.lit("http://own/"), k.cast("string"), F.lit(".pdf"))).otherwise(""), "doi": F.when(k % 3 == 1, F.concat(F.lit("10.1371/JOURNAL.pone."), k.cast("string"))).otherwise("doi")})
+    return records.open_access_url(rows).select(k.alias("ord"), F.col("resolved_pdf_url").alias("url"))
