@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,11 +38,24 @@ def rule_classify(articles: DataFrame, rules: Sequence[tuple[str, Sequence[str]]
     title; the best rule wins, ties by name. The rules are few, so all are scored in one projection, without a join."""
     title = F.lower(F.col("title"))
     text = F.lower(F.concat_ws(" ", "title", "abstract", "article_type", "journal"))
-    rows = articles.withColumns({"_title": title, "_text": text})
+    terms = sorted({t for _, ts in rules for t in ts})
+    # plain words are found by one pattern, as each word of a text can be one of them only; then they are counted
+    plain = sorted({t.lower() for t in terms if re.fullmatch("[a-z0-9]+", t.lower())})
+    words = F.lit(f"(?<![a-z0-9])(?:{'|'.join(plain)})(?![a-z0-9])")
+    found = lambda x: F.regexp_extract_all(x, words, F.lit(0)) if plain else F.array().cast("array<string>")
+    rows = articles.withColumns({"_title": title, "_text": text}).withColumns({"_in_title": found(F.col("_title")), "_in_text": found(F.col("_text"))})
+
+    def counts(part: str) -> Column:
+        one = lambda t: F.size(F.filter(f"_in_{part}", lambda x: x == t.lower())) if t.lower() in plain else count_term(F.col(f"_{part}"), t)
+        return F.array(*[one(t) for t in terms])
+
+    rows = rows.withColumns({"_n": counts("text"), "_m": counts("title")})
+    at = {t: i for i, t in enumerate(terms)}
     scores = []
-    for domain, terms in sorted(rules):
-        score = sum((4 * count_term(F.col("_title"), t) + count_term(F.col("_text"), t) for t in terms), F.lit(0))
-        scores.append(F.struct((-score).alias("less"), F.lit(domain).alias("domain"), F.slice(F.filter(F.array(*[F.when(count_term(F.col("_text"), t) > 0, t) for t in terms]), lambda x: x.isNotNull()), 1, 5).alias("terms")))
+    for domain, of in sorted(rules):
+        score = sum((4 * F.get("_m", F.lit(at[t])) + F.get("_n", F.lit(at[t])) for t in of), F.lit(0))
+        matched = F.slice(F.filter(F.array(*[F.when(F.get("_n", F.lit(at[t])) > 0, t) for t in of]), lambda x: x.isNotNull()), 1, 5)
+        scores.append(F.struct((-score).alias("less"), F.lit(domain).alias("domain"), matched.alias("terms")))
     best = rows.withColumn("_best", F.array_min(F.array(*scores)))
     hit = F.col("_best.less") < 0
     return best.withColumns(
@@ -50,7 +64,7 @@ def rule_classify(articles: DataFrame, rules: Sequence[tuple[str, Sequence[str]]
             "matched_terms": F.when(hit, F.array_join("_best.terms", ", ")).otherwise(""),
             "confidence": F.when(hit, rule_confidence(-F.col("_best.less"))).otherwise(F.lit(0.0)),
         }
-    ).drop("_title", "_text", "_best")
+    ).drop("_title", "_text", "_in_title", "_in_text", "_n", "_m", "_best")
 
 
 def article_keywords(rows: DataFrame, most: int = 5) -> DataFrame:

@@ -56,3 +56,14 @@ def to_save(rows: DataFrame) -> DataFrame:
     kept = rows.where("download_status IN ('downloaded', 'skipped_existing', 'skipped_existing_renamed')")
     content = F.when(F.col("download_status") == "downloaded", F.col("content"))
     return kept.select("folder", "name", content.alias("content"), F.filter(F.array(F.col("found"), doi_name(F.col("doi"))), lambda n: n.isNotNull()).alias("other_names"))
+
+
+def to_classified(articles: DataFrame, stored: DataFrame, root: str = "classified") -> DataFrame:
+    """Complete papers (local_path, subdomain) with their stored files (path, content, as the binaryFile source reads them below
+    the folder that local paths are relative to) as rows for ``sources.files``: copied into a folder of their subdomain."""
+    parts = F.split("local_path", "/")
+    wanted = articles.where("pdf_status = 'complete' AND local_path <> ''").select("local_path", F.concat_ws("/", F.lit(root), pdf.safe_name(F.col("subdomain"), 160)).alias("folder"), F.element_at(parts, -1).alias("name"))
+    steps = F.split("path", "/")
+    # a path's end is what a local path says
+    ends = stored.select("content", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, -i, i), "/"))).alias("local_path"))
+    return wanted.join(ends, "local_path").select("folder", "name", "content")

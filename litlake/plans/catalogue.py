@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scoring, text as tx
 from ..operators import classify, enrich, evidence, filters, linkage, monitor, ranking, references as refs_, stats
 from ..sources import pages as pages_, sinks, star
+from ..tables import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,7 +418,8 @@ def chunk_scores(spark, sf_dir):
 
 
 def _selection(spark, sf_dir):
-    scored = evidence.score_chunks(_chunks(spark, sf_dir)).withColumn("score", F.col("lexical_score"))
+    scored = evidence.score_chunks(_chunks(spark, sf_dir)).withColumn("score", F.col("lexical_score")).drop("text")
+    scored = cut(scored, "chunks")  # read by several windows and sums
     return scored, evidence.select_evidence(scored, 4)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..operators import classify, crawl, download, evidence, pdf, references as refs_, similar
 from ..schema import normalise_articles
-from ..sources import pages, records, star
+from ..sources import lookups, pages, records, star
 from ..streaming import runs
 from .catalogue import ARTICLES, query
 
@@ -176,3 +176,22 @@ def open_access_urls(spark, sf_dir):
     k = F.col("_ord")
     rows = star.articles(spark, sf_dir).withColumns({"pdf_url": F.when(k % 3 == 0, F.concat(F.lit("http://own/"), k.cast("string"), F.lit(".pdf"))).otherwise(""), "doi": F.when(k % 3 == 1, F.concat(F.lit("10.1371/JOURNAL.pone."), k.cast("string"))).otherwise("doi")})
     return records.open_access_url(rows).select(k.alias("ord"), F.col("resolved_pdf_url").alias("url"))
+
+
+@query(f"{ARTICLES} SELECT ord, 'E ' || ord AS title, '2005' AS publish_date, 'Lee A|Kim B' AS authors, 3 AS citation_count FROM articles WHERE journal = 'HOUSEHOLD'")
+def biomedical_lookups(spark, sf_dir):
+    """Only papers of a medical journal are asked for at Europe PMC; all have an answer there."""
+    rows = star.articles(spark, sf_dir).withColumn("journal", F.when(F.col("journal") == "HOUSEHOLD", "Household Medicine").otherwise(F.col("journal")))
+    k = F.col("_ord").cast("string")
+    body = F.concat(F.lit('{"title": "E '), k, F.lit('", "doi": "10.9/'), k, F.lit('", "pubYear": "2005", "authorString": "Lee A; Kim B", "citedByCount": 3}'))
+    found = lookups.resolve(rows, rows.select(lookups.lookup_key(F.col("doi"), F.col("title")).alias("key"), body.alias("body")), "europe-pmc")
+    return found.select(F.col("_ord").alias("ord"), "title", "publish_date", F.array_join("authors", "|").alias("authors"), "citation_count")
+
+
+@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS u, unnest(range(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))) AS p FROM pages),
+d AS (SELECT page_id, u, min(p) AS p FROM h GROUP BY ALL), g AS (SELECT page_id, count(*)::INT AS n, string_agg(u, ' ' ORDER BY p) AS hrefs FROM d GROUP BY page_id)
+SELECT page_id, coalesce(n, 0) AS n, coalesce(hrefs, '') AS hrefs FROM pages LEFT JOIN g USING (page_id)""")
+def page_hrefs(spark, sf_dir):
+    """The targets of every page's anchors, first occurrences in order."""
+    rows = star.table(spark, sf_dir, "pages").withColumn("u", pages.links(F.col("html")))
+    return rows.select("page_id", F.size("u").alias("n"), F.array_join("u", " ").alias("hrefs"))

@@ -61,6 +61,17 @@ def write_bundle(frames: dict[str, DataFrame], path: str) -> None:
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_statistics(bundle: dict[str, DataFrame], path: str) -> None:
+    """``summaries.statistics_bundle``: the summary as a JSON object, profile parts as JSON lines, the others as CSV."""
+    for name, frame in bundle.items():
+        if name == "summary":
+            write_json_row(frame, f"{path}/{name}")
+        elif name.startswith("profile/"):
+            frame.write.mode("overwrite").json(f"{path}/{name}")
+        else:
+            write_report(frame, f"{path}/{name}", frame.columns)
+
+
 def _clean(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
 

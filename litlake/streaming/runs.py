@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from ..tables import written
+from ..tables import put_text, written
 
 #: Events of a run that are kept, and shown newest first.
 KEPT, SHOWN = 100, 20
@@ -145,3 +148,35 @@ def upserted(spark: SparkSession, path: str) -> DataFrame | None:
     """The table after the last batch that counts."""
     entries = ledger(spark, path)
     return spark.read.parquet(f"{path}/versions/{entries[-1][1]}") if entries else None
+
+
+class Progress(StreamingQueryListener):
+    """Other streams as runs: their beginning, each micro-batch and their end become updates (EVENT), a JSON file each in a
+    folder that ``watched`` reads as a stream. A query is a run by its name, else its id; seq orders its updates."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _tell(self, run: str, seq: int, status: str, message: str, processed: int | None = None, event: str | None = None, metric: str | None = None, value: str | None = None) -> None:
+        row = {"run": run, "seq": seq, "ts": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "status": status, "stage": "stream", "message": message, "processed": processed, "metric": metric, "value": value, "event": event}
+        put_text(self.spark, f"{self.path}/{uuid.uuid4().hex}.json", json.dumps({k: v for k, v in row.items() if v is not None}))
+
+    def onQueryStarted(self, event) -> None:
+        self.names = getattr(self, "names", {}) | {str(event.id): event.name or str(event.id)}
+        self._tell(self.names[str(event.id)], -1, "running", "started", event="started")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._tell(p.name or str(p.id), p.batchId, "running", f"batch {p.batchId}", p.numInputRows, metric="rows", value=str(p.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        name, failed = getattr(self, "names", {}).get(str(event.id), str(event.id)), event.exception is not None
+        self._tell(name, 1 << 62, "failed" if failed else "completed", (event.exception or "ended").split("\n")[0], event="failed" if failed else "completed")
+
+
+def write_status(states: DataFrame, path: str) -> None:
+    """The states as JSON, a folder for each run; runs that aren't among them keep theirs."""
+    states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)

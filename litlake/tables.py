@@ -66,3 +66,14 @@ def written(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written under another name, then renamed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    to, hidden = hadoop.Path(path), hadoop.Path(f"{path.rpartition('/')[0]}/_{path.rpartition('/')[2]}")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(hidden, to)

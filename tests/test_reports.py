@@ -1,6 +1,8 @@
 """Answers, files, labels and lookups: what the tables don't hold."""
 
 import pytest
+import random
+from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from litlake import flow
@@ -118,3 +120,24 @@ def test_calls_are_paced_and_tried_again():
     with pytest.raises(OSError):
         calls.clear()
         runs.paced(fetch, 0.0, 1, 0.01)("x")
+
+
+def test_snippets_near_the_limit(spark):
+    """Sentences of a text with up to a fifth of their characters changed, against the ratio of every window."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("cell", "age", "mouse", "gene", "node") for b in ("s", "ing", "ed", "ly", "ic")]
+    rows = []
+    for i in range(60):
+        text = ". ".join(" ".join(rng.choices(words, k=rng.randint(5, 12))) for _ in range(8))
+        snippet = list(rng.choice(text.split(". ")))
+        for _ in range(int(len(snippet) * rng.choice([0, 0.02, 0.05, 0.08, 0.12, 0.2]))):
+            snippet[rng.randrange(len(snippet))] = rng.choice("abcdefgh xyz")
+        rows.append((i, "".join(snippet), text))
+    got = {r["i"] for r in evidence.ungrounded(spark.createDataFrame(rows, "i int, snippet string, text string")).select("i").collect()}
+
+    def best(s, t):
+        return max(SequenceMatcher(None, s, t[a : a + len(s)]).ratio() for a in range(0, max(1, len(t) - len(s) + 1), max(1, len(s) // 4)))
+
+    plain = lambda s: " ".join(s.casefold().split())
+    want = {i for i, s, t in rows if plain(s) and plain(s) not in plain(t) and best(plain(s), plain(t)) < 0.92}
+    assert got == want and 5 < len(want) < 55

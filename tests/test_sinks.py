@@ -5,7 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from litlake.sources import records, sinks
+from litlake.operators import summaries
+from litlake.sources import records, sinks, star
 
 
 def lines(path):
@@ -71,3 +72,15 @@ def test_cache_keys_providers_and_journals(spark):
         assert "none" in str(e)
     rows = records.journals_frame(spark, [records.Journal("k", "N", issn="1")])
     assert rows.first().asDict() == {"key": "k", "name": "N", "provider": "layered", "issn": "1", "slug": "", "group": ""}
+
+
+def test_statistics_bundle(spark, tmp_path):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    articles, references = star.articles(spark, "/root/testdata/sf0.001"), star.references(spark, "/root/testdata/sf0.001")
+    sinks.write_statistics(summaries.statistics_bundle(articles, references, 2026, 5), str(tmp_path))
+    names = {d for d in os.listdir(tmp_path)}
+    assert len(names) == 17 and {"summary", "profile", "reference_insights", "year_trend", "topic_profiles"} <= names
+    assert json.loads(lines(tmp_path / "summary")[0])["total_papers"] == articles.count()
+    assert len(lines(tmp_path / "author_stats")) == 6 and lines(tmp_path / "top_papers")[0].endswith("title,doi,journal,year,subdomain,article_type,citation_count")
+    assert lines(tmp_path / "reference_insights")[0].endswith("relevance_score,value_score,cited_by_source_papers")

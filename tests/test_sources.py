@@ -231,3 +231,16 @@ def test_download_steps_end_as_files(spark, tmp_path):
 @pytest.mark.parametrize("name", ["（2026，NA）Paper（Smith，Institute）.pdf", "（2026，NA）" + "A long title " * 9 + "（x.pdf", "10.1_a.pdf", "（2026，NA）.pdf", "（2026，NA）a\nb.pdf", "", "x（y）.pdf"])
 def test_variants_are_the_same_in_both_forms(spark, name):
     assert spark.range(1).select(download.variant_key(F.lit(name))).first()[0] == files.variant_key(name)
+
+
+def test_saved_papers_are_filed_by_subdomain(spark, tmp_path):
+    spark.dataSource.register(files.FilesSource)
+    out = tmp_path / "out"
+    (out / "x").mkdir(parents=True)
+    for n in ("a.pdf", "b.pdf"):
+        (out / "x" / n).write_bytes(PDF + n.encode())
+    rows = spark.createDataFrame([("x/a.pdf", "A > B: c", "complete"), ("x/b.pdf", None, "complete"), ("x/c.pdf", "A", "complete"), ("", "A", "complete")], "local_path string, subdomain string, pdf_status string")
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(out))
+    download.to_classified(rows, stored).write.format("paper_files").mode("append").options(path=str(out), least=100).save()
+    found = {os.path.relpath(f"{d}/{f}", out): open(f"{d}/{f}", "rb").read() for d, _, fs in os.walk(out) for f in fs}
+    assert found == {"x/a.pdf": PDF + b"a.pdf", "x/b.pdf": PDF + b"b.pdf", "classified/A _ B_ c/a.pdf": PDF + b"a.pdf", "classified/paper/b.pdf": PDF + b"b.pdf"}

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -122,3 +123,29 @@ def test_breaker_stays_open(spark, tmp_path):
     events.append_to(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("source", "ts").collect()
     assert [r["disabled"] for r in rows] == [False] * 5 + [True] * 3 + [False]
+
+
+def test_a_stream_is_a_run_of_its_own(spark, tmp_path):
+    """The listener's updates of a query that ends and of one that fails; their status files."""
+    log, source = str(tmp_path / "log"), str(tmp_path / "in")
+    spark.range(5).coalesce(1).write.parquet(source)
+    listener = runs.Progress(spark, log)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("id long").parquet(source)
+        stream.writeStream.format("noop").queryName("good").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(90)
+        with pytest.raises(Exception, match="stop"):
+            bad = stream.select(F.raise_error(F.lit("stop")).alias("x"))
+            bad.writeStream.format("noop").queryName("bad").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(90)
+        end = time.time() + 30
+        while time.time() < end and len([f for f in os.listdir(log) if f.endswith(".json")]) < 5:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    states = runs.run_states(spark.read.schema(runs.EVENT).json(log))
+    got = {r["run"]: r for r in states.collect()}
+    assert (got["good"]["status"], got["good"]["processed"], got["bad"]["status"]) == ("completed", 5, "failed")
+    assert [e["type"] for e in got["good"]["events"]] == ["started", "completed"] and got["good"]["metrics"] == {"rows": "5"}
+    for part in (states, states.where("run = 'bad'")):
+        runs.write_status(part, str(tmp_path / "status"))
+    assert {r["run"] for r in spark.read.json(str(tmp_path / "status")).select("run").collect()} == {"good", "bad"}
