@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..operators import classify, crawl, download, evidence, pdf, references as refs_, similar
 from ..schema import normalise_articles
-from ..sources import lookups, pages, records, star
+from ..sources import lookups, open_access, pages, star
 from ..streaming import runs
 from .catalogue import ARTICLES, query
 
@@ -171,11 +171,21 @@ def semantic_chunks(spark, sf_dir):
     return evidence.semantic_scores(chunks, queries).select("id", F.col("semantic_purpose").alias("purpose"), F.round("score", 4).alias("score"), F.size("reasons").alias("reasons"))
 
 
-@query(f"{ARTICLES} SELECT ord, CASE WHEN ord % 3 = 0 THEN 'http://own/' || ord || '.pdf' WHEN ord % 3 = 1 THEN 'https://journals.plos.org/plosone/article/file?id=10.1371/journal.pone.' || ord || '&type=printable' ELSE '' END AS url FROM articles")
+@query(f"""{ARTICLES} SELECT ord, CASE ord % 9 WHEN 0 THEN 'http://own/' || ord || '.pdf' WHEN 1 THEN 'https://journals.plos.org/plosone/article/file?id=10.1371/journal.pone.' || ord || '&type=printable' WHEN 2 THEN 'https://www.mdpi.com/10.3390/a' || ord || '/pdf'
+ WHEN 3 THEN 'http://e/' || ord || '/pdf/x' WHEN 4 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || ord || '/pdf/' WHEN 5 THEN 'http://u/' || ord || '.pdf' WHEN 6 THEN 'http://c/' || ord || '.pdf' ELSE '' END AS url,
+ CASE ord % 9 WHEN 0 THEN 'provider' WHEN 1 THEN 'plos' WHEN 2 THEN 'mdpi' WHEN 3 THEN 'europe-pmc' WHEN 4 THEN 'europe-pmc' WHEN 5 THEN 'unpaywall' WHEN 6 THEN 'core' ELSE '' END AS resolver FROM articles""")
 def open_access_urls(spark, sf_dir):
+    """Every service answers for every paper; what differs is the DOI and what the answers hold."""
     k = F.col("_ord")
-    rows = star.articles(spark, sf_dir).withColumns({"pdf_url": F.when(k % 3 == 0, F.concat(F.lit("http://own/"), k.cast("string"), F.lit(".pdf"))).otherwise(""), "doi": F.when(k % 3 == 1, F.concat(F.lit("10.1371/JOURNAL.pone."), k.cast("string"))).otherwise("doi")})
-    return records.open_access_url(rows).select(k.alias("ord"), F.col("resolved_pdf_url").alias("url"))
+    s, kind = k.cast("string"), k % 9
+    doi = F.when(kind == 1, F.concat(F.lit("https://doi.org/10.1371/JOURNAL.pone."), s)).when(kind == 2, F.concat(F.lit("10.3390/A"), s)).when(kind == 8, "").otherwise(F.concat(F.lit("10.5/"), s))
+    rows = star.articles(spark, sf_dir).withColumns({"id": k, "pdf_url": F.when(kind == 0, F.concat(F.lit("http://own/"), s, F.lit(".pdf"))).otherwise(""), "doi": doi})
+    told = lambda service, *body: rows.select("id", F.lit(service).alias("service"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in body]).alias("body"))
+    epmc = F.when(kind == 3, F.concat(F.lit('"fullTextUrlList": {"fullTextUrl": [{"url": "http://closed.pdf", "documentStyle": "pdf", "availabilityCode": "S"}, {"url": "http://e/'), s, F.lit('/pdf/x", "documentStyle": "html", "availabilityCode": "OA"}]}'))).when(kind.isin(4, 8), F.concat(F.lit('"pmcid": "PMC'), s, F.lit('"'))).otherwise('"pmcid": ""')
+    pay = F.when(kind == 5, F.concat(F.lit('{"best_oa_location": {"url_for_pdf": "http://u/page"}, "oa_locations": [{"url_for_pdf": null}, {"url_for_pdf": "http://u/'), s, F.lit('.pdf"}]}'))).otherwise("{}")
+    core = F.when(kind == 6, F.concat(F.lit('{"results": [{"downloadUrl": "", "fullTextIdentifier": "http://c/'), s, F.lit('.pdf"}]}'))).otherwise("no json")
+    answers = told("europe-pmc", '{"resultList": {"result": [{', epmc, "}]}}").unionByName(told("unpaywall", pay)).unionByName(told("core", core))
+    return open_access.resolved(rows, answers).select(k.alias("ord"), F.col("resolved_pdf_url").alias("url"), "resolver")
 
 
 @query(f"{ARTICLES} SELECT ord, 'E ' || ord AS title, '2005' AS publish_date, 'Lee A|Kim B' AS authors, 3 AS citation_count FROM articles WHERE journal = 'HOUSEHOLD'")

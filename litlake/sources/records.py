@@ -112,10 +112,3 @@ def provider(name: str) -> Callable[..., DataFrame]:
     if name.lower() not in PROVIDERS:
         raise KeyError(f"no such provider: {name}")
     return PROVIDERS[name.lower()]
-
-
-def open_access_url(article: DataFrame) -> DataFrame:
-    """Adds ``resolved_pdf_url``: what is there, else what the DOI's publisher is known to use."""
-    doi = F.lower("doi")
-    plos = F.when(doi.startswith("10.1371/journal."), F.concat(F.lit("https://journals.plos.org/plosone/article/file?id="), doi, F.lit("&type=printable")))
-    return article.withColumn("resolved_pdf_url", F.coalesce(F.nullif("pdf_url", F.lit("")), plos, F.lit("")))
