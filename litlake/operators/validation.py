@@ -154,7 +154,7 @@ def unsupported(snippets: Column, basis: Column, least: float = 0.92) -> Column:
     plain = normalize(basis)
     rows = F.transform(F.filter(F.transform(F.coalesce(snippets, _none()), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.struct(s.alias("shown"), normalize(s).alias("plain")))
     left = F.filter(rows, lambda s: ~F.contains(plain, s["plain"]))
-    return F.when(plain == "", F.transform(left, lambda s: s["shown"])).when(F.size(left) == 0, _none()).otherwise(far(left, plain))
+    return F.when(plain == "", F.transform(left, lambda s: s["shown"])).when(F.size(left) == 0, _none()).otherwise(far(left, F.when(F.size(left) > 0, plain)))  # a function is called for all rows: others send no text
 
 
 def checked_analyses(rows: DataFrame) -> DataFrame:
