@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import TIERS, reference_value
-from ..functions.text import dedupe, reference_key, token_set
+from ..functions.text import cosine, dedupe, reference_key, token_set
 from ..schema import REFERENCE
 
 #: Words that don't count in relevance, against a profile and against the citing paper.
@@ -75,6 +75,40 @@ def profile_relevance(profile: Column, reference: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.round(F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))), 3)).otherwise(F.lit(0.0))
 
 
+#: What reasons say.
+NO_TEXT, NO_TERMS, TERMS_SHARED, BY_VECTOR = "missing profile/reference text", "no shared terms", "shared terms: ", "embedding cosine similarity"
+
+
+def profile_of(articles: DataFrame, most: int = 20_000) -> DataFrame:
+    """One row (profile): the first ``most`` characters of titles, abstracts, subdomains, problems and solutions, papers in the
+    order of ``_ord``. Papers are looked at from the first on, four times as many each time, until their texts are enough."""
+    parts = F.filter(F.array("title", "abstract", "subdomain", "problem_statement", F.coalesce("solution_summary", F.lit(""))), lambda x: x != "")
+    texts = articles.select("_ord", F.substring(F.array_join(parts, " "), 1, most).alias("t")).where("t <> ''")
+    n, whole = 64, texts.count()
+    while True:
+        first = texts.orderBy("_ord").limit(n)
+        one = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "t"))), lambda x: x["t"]), " ").alias("profile"))
+        if n >= whole or first.agg(F.sum(F.length("t") + 1)).first()[0] > most:
+            return one.select(F.substring("profile", 1, most).alias("profile"))
+        n *= 4
+
+
+def against_profile(refs: DataFrame, profile: DataFrame, vectors: bool = False) -> DataFrame:
+    """References (title, abstract, journal, authors; with ``vectors`` also v) against the one row of ``profile`` (profile;
+    profile_v): relevance_score and relevance_reason. By the cosine of the vectors where both sides have one and a text, else by
+    shared words over the smaller set of words, of which the reason names ten."""
+    text = F.concat_ws(" ", "title", "abstract", "journal", F.array_join("authors", " "))
+    one = profile.select(token_set(F.col("profile"), PROFILE_STOPWORDS).alias("_p"), (F.trim("profile") != "").alias("_any"), *([F.col("profile_v").alias("_pv")] if vectors else []))
+    rows = refs.withColumns({"_text": text, "_r": token_set(text, PROFILE_STOPWORDS)}).crossJoin(F.broadcast(one))  # one row
+    rows = rows.withColumn("_o", overlap(F.col("_p"), F.col("_r")))
+    score = F.when((F.size("_p") > 0) & (F.size("_r") > 0), F.round(F.least(F.lit(1.0), F.size("_o") / F.least(F.size("_p"), F.size("_r"))), 3)).otherwise(F.lit(0.0))
+    reason = F.when((F.size("_p") == 0) | (F.size("_r") == 0), NO_TEXT).when(F.size("_o") == 0, NO_TERMS).otherwise(F.concat(F.lit(TERMS_SHARED), F.array_join(F.slice("_o", 1, 10), ", ")))
+    if vectors:
+        near = F.col("v").isNotNull() & F.col("_pv").isNotNull() & F.col("_any") & (F.trim("_text") != "")
+        score, reason = F.when(near, F.round(cosine(F.col("v"), F.col("_pv")), 3)).otherwise(score), F.when(near, BY_VECTOR).otherwise(reason)
+    return rows.withColumns({"relevance_score": score, "relevance_reason": reason}).drop("_text", "_r", "_p", "_any", "_pv", "_o")
+
+
 def source_relevance(source: Column, reference: Column) -> Column:
     """As ``profile_relevance`` with other stop words, and up to 0.08 more for shared words."""
     a, b = token_set(source, SOURCE_STOPWORDS), token_set(reference, SOURCE_STOPWORDS)

@@ -9,7 +9,7 @@ from ..operators import classify, crawl, download, evidence, pdf, references as
 from ..schema import normalise_articles
 from ..sources import lookups, open_access, pages, star
 from ..streaming import runs
-from .catalogue import ARTICLES, query
+from .catalogue import ARTICLES, DOCS, TOKENS, query, quoted
 
 # --- a crawl over the order tables as a web: a page of each region lists its nations, theirs their customers, then orders, then parts ------
 
@@ -205,3 +205,21 @@ def page_hrefs(spark, sf_dir):
     """The targets of every page's anchors, first occurrences in order."""
     rows = star.table(spark, sf_dir, "pages").withColumn("u", pages.links(F.col("html")))
     return rows.select("page_id", F.size("u").alias("n"), F.array_join("u", " ").alias("hrefs"))
+
+
+_PROFILE = f"""WITH {DOCS}, p AS (SELECT left(string_agg(concat_ws(' ', nullif(title, ''), nullif(abstract, ''), nullif(subdomain, '')), ' ' ORDER BY ord) FILTER (concat(title, abstract, subdomain) <> ''), 20000) AS text FROM docs),
+pw AS (SELECT list_distinct({TOKENS.format('text', 2, quoted(refs_.PROFILE_STOPWORDS))}) AS pw FROM p), r AS (SELECT item_id, list_distinct({TOKENS.format('text', 2, quoted(refs_.PROFILE_STOPWORDS))}) AS w FROM benchmark),
+o AS (SELECT item_id, pw, w, list_sort(list_intersect(pw, w)) AS o FROM r, pw), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+SELECT item_id, CASE WHEN item_id % 2 = 0 AND embedding IS NOT NULL THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(embedding::DOUBLE[], q))), 3) WHEN len(pw) = 0 OR len(w) = 0 THEN 0.0 ELSE round(least(1.0::DOUBLE, len(o) / least(len(pw), len(w))::DOUBLE), 3) END AS relevance,
+ CASE WHEN item_id % 2 = 0 AND embedding IS NOT NULL THEN 'embedding cosine similarity' WHEN len(pw) = 0 OR len(w) = 0 THEN 'missing profile/reference text' WHEN len(o) = 0 THEN 'no shared terms' ELSE 'shared terms: ' || array_to_string(o[1:10], ', ') END AS reason FROM o LEFT JOIN embeddings ON vec_id = item_id, q"""
+
+
+@query(_PROFILE)
+def profile_relevance(spark, sf_dir):
+    """Benchmark texts as references against the profile of all documents; every other one has a vector, as has the profile."""
+    e = star.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    papers = star.texts(spark, sf_dir).withColumns({"problem_statement": F.lit(""), "solution_summary": F.lit(None).cast("string")})
+    profile = refs_.profile_of(papers).crossJoin(F.broadcast(e.where("vec_id = 0").select(F.col("v").alias("profile_v"))))  # one row each
+    refs = star.table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id"), "left")
+    refs = refs.select("item_id", F.col("text").alias("title"), F.lit("").alias("abstract"), F.lit("").alias("journal"), F.array().cast("array<string>").alias("authors"), F.when(F.col("item_id") % 2 == 0, F.col("v")).alias("v"))
+    return refs_.against_profile(refs, profile, True).select("item_id", F.col("relevance_score").alias("relevance"), F.col("relevance_reason").alias("reason"))
