@@ -19,6 +19,8 @@ from ._shared import text_chunks
 PATHS = 32
 #: Parts that a host's few winners are repeated for, so that a host's many pages are joined in as many.
 SALTS = 16
+#: Open elements that are looked through for one that a tag ends.
+NEAR = 12
 
 # The elements of HTML by what they do here.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -51,6 +53,8 @@ FURNITURE = frozenset(
 )
 OWN = frozenset("article content post entry story main body text page".split())
 TITLED = OWN - frozenset("main body text page".split())
+#: Furniture that is none if the name says what of an article it is.
+MILD = frozenset("header notice alert widget".split())
 WITHOUT = frozenset("no with has without hide show not".split())
 
 _TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>?|/(?![a-zA-Z])[^>]*+>?|(/?)([a-zA-Z][^\s/><"']*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|(?=<)|\Z))""", re.S)
@@ -119,16 +123,16 @@ def furniture(tag: str, attributes: dict[str, str]) -> int:
         if READERS.intersection(words):
             return 2
         hit = FURNITURE.intersection(words)
-        if hit and not (hit <= {"header", "page", "notice", "alert"} and OWN.intersection(words) - {"page", "body", "main"}):
+        if hit and not (hit <= MILD and OWN.intersection(words) - {"page", "body", "main"}):
             found = 1
     return 0 if found and tag in ("article", "main") else found
 
 
 class Page:
-    """A page's containers and blocks of text in its order, read in one pass; ``containers[0]`` is the document."""
+    """A page's containers and blocks of text in its order, read in one pass; ``containers[0]`` is the document (path ``#``)."""
 
     def __init__(self, html: str):
-        self.containers = [Container("", -1, False)]
+        self.containers = [Container("#", -1, False)]
         self.blocks: list[Block] = []
         self._stack = [Element("", "", 0, 0, 0, False)]
         self._open: Counter = Counter()
@@ -178,17 +182,17 @@ class Page:
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
         if tag not in BLOCKS:
             top = self._stack[-1]
-            top.inline[tag] += 1
-            if tag == "a":
-                self._anchor += 1
-            if (junk := furniture(tag, attributes)) and top.junk == 0:
+            if top.junk == 0 and (junk := furniture(tag, attributes)):
                 self._stack.append(Element(tag, top.path, top.parent, top.container, junk, top.article))
                 self._open[tag] += 1
+            else:
+                top.inline[tag] += 1
+                self._anchor += tag == "a"
             return
         self._end_block()
         if rule := IMPLIED.get(tag):
             ended, until = rule
-            for n in range(len(self._stack) - 1, max(0, len(self._stack) - 12), -1):
+            for n in range(len(self._stack) - 1, max(0, len(self._stack) - NEAR), -1):
                 e = self._stack[n].tag
                 if e in until or (e in CONTAINERS and tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "body")):
                     break
@@ -200,7 +204,7 @@ class Page:
             return
         top = self._stack[-1]
         junk, article = max(top.junk, furniture(tag, attributes)), top.article or tag in ("article", "main")
-        if tag in ("article", "main") and junk == 1:
+        if junk == 1 and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")):
             junk = 0
         if tag == "header":
             junk = max(junk, 0 if top.article else 2)
@@ -225,13 +229,16 @@ class Page:
     def _end(self, tag: str) -> None:
         top = self._stack[-1]
         if tag not in BLOCKS:
-            if self._open[tag] and top.tag == tag:  # an inline element that was kept, as its class hides it
-                self._pop(len(self._stack) - 1)
-                top = self._stack[-1]
             if top.inline[tag]:
                 top.inline[tag] -= 1
-                if tag == "a":
-                    self._anchor -= 1
+                self._anchor -= tag == "a"
+            elif self._open[tag]:  # an inline element that is kept, as it hides what is inside, and what was left open in it
+                for n in range(len(self._stack) - 1, max(0, len(self._stack) - NEAR), -1):
+                    if self._stack[n].tag == tag:
+                        self._pop(n)
+                        break
+                    if self._stack[n].tag in CONTAINERS:
+                        break
             return
         self._end_block()
         if self._open[tag]:
@@ -276,7 +283,7 @@ class Page:
         """The path that the page votes for and its score: the best container, or one around it that is an article by its
         name or adds nothing but running text of its own."""
         by = self.scored()
-        good = [c for c in by.values() if c.chars and c.path]
+        good = [c for c in by.values() if c.chars]
         if not good:
             return None
         now = max(good, key=lambda c: (c.score * (1.5 if c.own else 1.0), c.own, -len(c.path)))
@@ -286,7 +293,7 @@ class Page:
             around = by[self.containers[now.parent].path]
             more, links = around.chars - first.chars, around.links - first.links
             quiet = more > 0 and links * 3 < more
-            if around.path in ("", "/html"):
+            if around.path == "/html":
                 break
             if quiet and (around.own or (chain and around.bare == first.bare and around.chars - now.chars == around.direct)):
                 top = around

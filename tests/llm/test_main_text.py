@@ -47,7 +47,13 @@ def test_blocks_and_references():
     assert read(body("<article><h1>A</h1><p><b>B<br>b<p>C\n \t c&nbsp;d</b> &lt;e&gt;<!-- x -->f<i>g</i><ul><li>one<li>two</ul><div>bare</div>&#65;&eacute;&am</article>")) == "A\n\nB b\n\nC c d <e>fg\n\none\n\ntwo\n\nbare\n\nAé&am"
     assert read(body("<article><table><tr><td>a<td>b<tr><td>c</table><blockquote><p>q</p></blockquote><pre>x\n  y</pre><dl><dt>t<dd>d</dl></article>")) == "a\n\nb\n\nc\n\nq\n\nx y\n\nt\n\nd"
     assert read(body('<article><header><h1>Title</h1><p class="by">by me</p></header><p>Some text that is the article.</p><footer>tags</footer></article>')) == "Title\n\nSome text that is the article."
-    assert read("plain text <b>only</b>") == "" or read("plain text <b>only</b>") == "plain text only"
+    assert read("plain text <b>only</b>") == "plain text only" and read("<p>a fragment<p>of two") == "a fragment\n\nof two"
+
+
+def test_hidden_inline_elements_end_where_they_should():
+    assert read(body("<article><p>one <span class=ad>buy <span>now</span> here</span> two <button>go</button>three</p><noscript><p>turn on</noscript><p>four <a class=share href=x>share</a> five</p></article>")) == "one two three\n\nfour five"
+    assert read(body('<div class="elementor-widget-text"><p>The text of a page that was put together from boxes.</p></div>')) == "The text of a page that was put together from boxes."
+    assert read(body(f'<div class="nav-wrapper"><div role="main"><p>{P[0]}</p></div><p>not this</p></div>')) == P[0]
 
 
 def test_labels_are_general():
