@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import text_chunks
+from ._shared import CHUNK_CHARS, text_chunks
 from ._words import words
 
 #: Labelled documents to learn from, and the length beyond which a document isn't drawn for learning; all are scored.
@@ -79,6 +79,19 @@ def line_rates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return rates, signs, size, first
 
 
+def lines_of(texts: list[str | None], most: int = CHUNK_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``line_rates`` of many texts, of about ``most`` characters at once."""
+    parts, begin, n = [], 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "") + 1
+        if n > most or i == len(texts) - 1:
+            parts.append(line_rates(texts[begin : i + 1]))
+            begin, n = i + 1, 0
+    rates, signs, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    before = np.cumsum([0, *(p[3][-1] for p in parts)])
+    return rates, signs, size, np.concatenate([*(p[3][:-1] + b for p, b in zip(parts, before, strict=False)), before[-1:]])
+
+
 def features(rates: np.ndarray, signs: np.ndarray, begins: np.ndarray, a: int, b: int) -> np.ndarray:
     """Features of the lines from a to b: their own rates, roots and signs, and the rates of their neighbours in the text."""
     own = rates[a:b].astype(float)
@@ -177,12 +190,13 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     flat = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, 0.0)
     if not len(texts):
         return flat
-    rates, signs, size, first = line_rates(texts)
+    rates, signs, size, first = lines_of(texts)
     begins = _begins(first)
-    x = features(rates, signs, begins, 0, len(rates))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = features(rates, signs, begins, 0, len(rates))
+    mean, scale = z.mean(axis=0), z.std(axis=0)
     mean[3 * _RATES + 2 * _RATES], scale[scale < 1e-9] = 0, 1
-    z = (x - mean) / scale
+    z -= mean
+    z /= scale
     y = np.repeat(labels.astype(int), np.diff(first))
     # A document counts as one, however many lines it has; both classes count alike.
     share = np.repeat(1 / np.diff(first), np.diff(first))
@@ -190,7 +204,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> Model:
     c = share * balance / len(texts)
     theta = np.zeros(N_FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    seen = np.zeros((len(x), 2, 2))
+    seen = np.zeros((len(z), 2, 2))
     rows = np.flatnonzero(~begins)
     seen[rows, y[rows - 1], y[rows]] = 1
     for i in range(1, ITERATIONS + 1):

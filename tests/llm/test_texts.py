@@ -82,6 +82,13 @@ def test_masking():
     assert pii.masked("abcdef", [(0, 0, 4), (1, 2, 6)]) == "<EMAIL>"
 
 
+def test_lines_in_parts_are_the_same():
+    texts = [None, "", "A line!\nand | another one\n\nTHE END", "x" * 50, "\n", "one two one two"] * 3
+    for most in (1, 20, 10**6):
+        for a, b in zip(quality.lines_of(texts, most), quality.line_rates(texts), strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_decoding_is_the_best_segmentation():
     rng = np.random.default_rng(2)
     for _ in range(30):
