@@ -62,6 +62,11 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
+def _written(articles: DataFrame) -> DataFrame:
+    """The view of several joins as a table, for queries that read it more than once."""
+    return cut(articles, "articles")
+
+
 def counts_query(name: str, key: str, sql_key: str, many: bool = False, most: int | None = None) -> None:
     """AGG-01 by one key: as a DataFrame and as SQL."""
     column = {"year": stats.year_or_unknown, "team": stats.team_label, "citation_bucket": stats.citation_bucket, "collaboration_type": stats.collaboration_type, "classification_source": stats.source_or_unknown}
@@ -112,7 +117,7 @@ profiles AS (SELECT a.subdomain, count(*) AS paper_count, CAST(sum(c) AS BIGINT)
 
 @query(f"{PROFILES} SELECT subdomain, paper_count, citation_count, average_citations, representative_keywords, representative_papers, top_cited_papers, year_span, trend FROM profiles")
 def topic_profiles(spark, sf_dir):
-    return stats.topic_profiles(star.articles(spark, sf_dir))
+    return stats.topic_profiles(_written(star.articles(spark, sf_dir)))
 
 
 #: Papers whose years lie the closer the later they are, so that topics grow.
@@ -122,14 +127,14 @@ GROWN = PROFILES.replace("FROM articles", "FROM grown").replace(ARTICLES, f"{ART
 @query(f"{GROWN} SELECT subdomain, paper_count, trend, year_span FROM profiles WHERE trend IN ('rising', 'new')")
 def growing_topics(spark, sf_dir):
     rows = star.articles(spark, sf_dir).withColumn("publish_date", (1990 + F.floor(F.sqrt(F.col("_ord") % 100))).cast("string"))
-    return stats.growing(stats.topic_profiles(rows)).select("subdomain", "paper_count", "trend", "year_span")
+    return stats.growing(stats.topic_profiles(_written(rows))).select("subdomain", "paper_count", "trend", "year_span")
 
 
 @query(f"""{ARTICLES} SELECT count(*) AS total_papers, coalesce(min(nullif(year, '')), '') AS year_min, coalesce(max(nullif(year, '')), '') AS year_max, CAST(sum(c) AS BIGINT) AS total_citations, round(avg(c), 2) AS average_citations, round(median(c), 2) AS median_citations,
  round(avg((pdf_status = 'complete')::INT), 3) AS open_fulltext_coverage, count(*) FILTER (WHERE {REVIEW}) AS review_papers, count(*) FILTER (WHERE NOT regexp_matches(lower(article_type), 'review|editorial|comment|news|perspective')) AS research_papers,
  (SELECT count(DISTINCT u) FROM (SELECT unnest(authors) AS u FROM articles)) AS unique_authors, (SELECT count(DISTINCT u) FROM (SELECT unnest(institutions) AS u FROM articles)) AS unique_institutions FROM articles""")
 def corpus_summary(spark, sf_dir):
-    return stats.corpus_summary(star.articles(spark, sf_dir))
+    return stats.corpus_summary(_written(star.articles(spark, sf_dir)))
 
 
 @query(f"{ARTICLES}, g AS (SELECT team AS team, {COUNTS}, row_number() OVER (ORDER BY sum(c) DESC, count(*) DESC, lower(team), team) AS r FROM (SELECT {TEAM} AS team, c FROM articles) GROUP BY 1), t AS (SELECT greatest(count(*) - 5, 0) AS n FROM g) SELECT CASE WHEN r > 5 THEN '其他领域 (' || n || ' 类)' ELSE team END AS team, CAST(sum(paper_count) AS BIGINT) AS paper_count, CAST(sum(citation_count) AS BIGINT) AS citation_count FROM g, t GROUP BY 1")
@@ -139,7 +144,7 @@ def fold_tail_other(spark, sf_dir):
 
 @query(f"{ARTICLES} SELECT kind, name, count(*) AS count FROM (SELECT 'author' AS kind, unnest(authors) AS name FROM articles UNION ALL SELECT 'institution', unnest(institutions) FROM articles UNION ALL SELECT 'journal', journal FROM articles UNION ALL SELECT 'subdomain', subdomain FROM articles) WHERE name <> '' GROUP BY 1, 2")
 def basic_stats_rankings(spark, sf_dir):
-    return stats.basic_rankings(star.articles(spark, sf_dir))
+    return stats.basic_rankings(_written(star.articles(spark, sf_dir)))
 
 
 @query(f"{ARTICLES} SELECT title, doi, journal, year, subdomain, article_type, c AS citation_count FROM articles ORDER BY c DESC, lower(title), ord LIMIT 20")

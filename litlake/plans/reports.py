@@ -8,6 +8,7 @@ from ..functions import scoring, text as tx
 from ..operators import classify, enrich, evidence, filters, monitor, pdf, ranking, references as refs_, reports, stats, summaries, validation
 from ..schema import ARTICLE, normalise_articles
 from ..sources import lookups, runs, star
+from ..tables import cut
 from .catalogue import ARTICLES, AS_OF, COUNTS, POOL, REF_VALUE, REFS, REVIEW, TIERS, VALUED, query
 
 # --- answers of models -------------------------------------------------------------------------------------------------------
@@ -327,7 +328,7 @@ def cross_domain_tokens(spark, sf_dir):
 
 @query(f"{_REC} SELECT 'review_entry_points' AS part, title FROM rec WHERE rank <= 20 AND kind = 'review_entry' UNION ALL SELECT 'classic_papers', title FROM rec WHERE rank <= 20 AND kind = 'classic' UNION ALL SELECT 'recent_high_potential_papers', title FROM rec WHERE rank <= 20 AND kind = 'recent_high_potential' UNION ALL SELECT 'topic_profiles', subdomain FROM (SELECT subdomain, count(*) AS n, sum(c) AS t FROM articles GROUP BY 1 ORDER BY 2 DESC, 3 DESC, lower(subdomain), subdomain LIMIT 20) UNION ALL SELECT 'year_trend', CASE WHEN year = '' THEN 'Unknown' ELSE year END FROM articles GROUP BY ALL")
 def research_profile(spark, sf_dir):
-    parts = summaries.research_profile(star.articles(spark, sf_dir), refs_.insights(star.references(spark, sf_dir)), AS_OF, 20, TIERS)
+    parts = summaries.research_profile(cut(star.articles(spark, sf_dir), "articles"), refs_.insights(star.references(spark, sf_dir)), AS_OF, 20, TIERS)
     names = {"review_entry_points": "title", "classic_papers": "title", "recent_high_potential_papers": "title", "topic_profiles": "subdomain", "year_trend": "year"}
     out = None
     for name, c in names.items():
