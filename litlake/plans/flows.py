@@ -64,13 +64,14 @@ def _updates(spark, sf_dir) -> DataFrame:
  CASE WHEN event_type <> 'click' THEN props END AS message, CASE WHEN event_type = 'click' THEN floor(value)::BIGINT END AS processed, event_type AS event, floor(value)::BIGINT::VARCHAR AS value FROM events),
 m AS (SELECT run, event, arg_max(value, (ts, seq)) AS value FROM u WHERE event <> 'signup' GROUP BY ALL), n AS (SELECT run, string_agg(event || '=' || value, ',' ORDER BY event) AS metrics FROM m GROUP BY run),
 e AS (SELECT run, string_agg(seq::VARCHAR || ':' || event, ',' ORDER BY ts, seq) AS events FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts DESC, seq DESC) <= 100) GROUP BY run)
-SELECT run, max((ts, seq))[2] AS seq, max(ts) AS ts, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) FILTER (stage IS NOT NULL) AS stage, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, arg_max(processed, (ts, seq)) FILTER (processed IS NOT NULL) AS processed,
- min(ts) AS started_at, max(ts) FILTER (status <> 'running') AS finished_at, any_value(metrics) AS metrics, any_value(events) AS events FROM u LEFT JOIN n USING (run) LEFT JOIN e USING (run) GROUP BY run""")
+SELECT run, max((ts, seq))[2] AS seq, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts, arg_max(status, (ts, seq)) AS status, arg_max(stage, (ts, seq)) FILTER (stage IS NOT NULL) AS stage, arg_max(message, (ts, seq)) FILTER (message IS NOT NULL) AS message, arg_max(processed, (ts, seq)) FILTER (processed IS NOT NULL) AS processed,
+ strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started_at, strftime(max(ts) FILTER (status <> 'running'), '%Y-%m-%d %H:%M:%S.%f') AS finished_at, any_value(metrics) AS metrics, any_value(events) AS events FROM u LEFT JOIN n USING (run) LEFT JOIN e USING (run) GROUP BY run""")
 def run_states(spark, sf_dir):
     rows = runs.run_states(_updates(spark, sf_dir))
     metrics = F.array_join(F.transform(F.sort_array(F.map_entries("metrics")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     told = F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["seq"].cast("string"), e["type"])), ",")
-    return rows.select("run", "seq", "ts", "status", "stage", "message", "processed", "started_at", "finished_at", F.nullif(metrics, F.lit("")).alias("metrics"), F.nullif(told, F.lit("")).alias("events"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return rows.select("run", "seq", at("ts"), "status", "stage", "message", "processed", at("started_at"), at("finished_at"), F.nullif(metrics, F.lit("")).alias("metrics"), F.nullif(told, F.lit("")).alias("events"))
 
 
 # --- titles and clusters --------------------------------------------------------------------------------------------------------
