@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ARTICLE
+from ..tables import put_text
 
 
 def write_manifest(articles: DataFrame, path: str) -> None:
@@ -93,5 +94,34 @@ def markdown_table(rows: DataFrame, columns: Sequence[str], most: int = 20) -> s
     """The first rows of a small, ordered frame as Markdown."""
     from ..functions.text import cut_cell
 
-    found = rows.select(*[cut_cell(F.col(c).cast("string")).alias(c) for c in columns]).limit(most).collect()
+    found = rows.select(*[F.coalesce(cut_cell(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns]).limit(most).collect()
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(r) + " |" for r in found)])
+
+
+#: Tables of a survey's report: heading, name in the statistics bundle, columns.
+REPORT_TABLES = (
+    ("Papers by Year", "year_trend", ("year", "paper_count", "citation_count")), ("Topics", "topic_profiles", ("subdomain", "paper_count", "citation_count", "representative_keywords", "trend")), ("Journals", "journal_stats", ("journal", "paper_count", "citation_count")),
+    ("Authors", "author_stats", ("author", "paper_count", "citation_count")), ("Institutions", "institution_stats", ("institution", "paper_count", "citation_count")), ("Most Cited Papers", "top_papers", ("title", "journal", "year", "citation_count")),
+    ("Core References", "reference_insights", ("title", "journal", "year", "value_score", "cited_by_source_papers")),
+)
+
+
+def survey_report(bundle: dict[str, DataFrame], domains: DataFrame, title: str, most: int = 10) -> str:
+    """A collection's report as Markdown: the numbers of ``summaries.statistics_bundle``, its first ``most`` rows of each table,
+    what to read first, and the reports (domain, report) of the first ``most`` domains by name, a level deeper. All of it is
+    made of rows that are few by their ``limit``."""
+    from ..operators.reports import NOTHING, recommended_reading
+
+    row = bundle["summary"].first().asDict()
+    parts = [f"# {title}", "", "## Overview", "", *(f"- {k.replace('_', ' ').capitalize()}: {v}" for k, v in row.items()), ""]
+    for heading, name, columns in REPORT_TABLES:
+        parts += [f"## {heading}", "", markdown_table(bundle[name], columns, most), ""]
+    reading = [r["title"] for r in recommended_reading(bundle["paper_recommendations"], most).orderBy("place").collect()]
+    parts += ["## Read First", "", *([f"- {t}" for t in reading] or [NOTHING]), ""]
+    for r in domains.orderBy("domain").limit(most).collect():
+        parts += ["\n".join(f"#{line}" if line.startswith("#") else line for line in r["report"].split("\n")), ""]
+    return "\n".join(parts)
+
+
+def write_survey(bundle: dict[str, DataFrame], domains: DataFrame, title: str, path: str, most: int = 10) -> None:
+    put_text(domains.sparkSession, f"{path}/report.md", survey_report(bundle, domains, title, most))

@@ -84,3 +84,17 @@ def test_statistics_bundle(spark, tmp_path):
     assert json.loads(lines(tmp_path / "summary")[0])["total_papers"] == articles.count()
     assert len(lines(tmp_path / "author_stats")) == 6 and lines(tmp_path / "top_papers")[0].endswith("title,doi,journal,year,subdomain,article_type,citation_count")
     assert lines(tmp_path / "reference_insights")[0].endswith("relevance_score,value_score,cited_by_source_papers")
+
+
+def test_survey_report(spark, tmp_path):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    bundle = summaries.statistics_bundle(star.articles(spark, "/root/testdata/sf0.001"), star.references(spark, "/root/testdata/sf0.001"), 2026, 5)
+    domains = spark.createDataFrame([("b", "# b\n\n## Gaps\n- one"), ("a", "# a\n")], "domain string, report string")
+    sinks.write_survey(bundle, domains, "Orders", str(tmp_path), 3)
+    got = (tmp_path / "report.md").read_text().split("\n")
+    heads = [x for x in got if x.startswith("#")]
+    assert heads[:3] == ["# Orders", "## Overview", "## Papers by Year"] and heads[-4:] == ["## Read First", "## a", "## b", "### Gaps"]
+    assert f"- Total papers: {bundle['summary'].first()['total_papers']}" in got
+    at = got.index("## Authors")
+    assert got[at + 2 : at + 4] == ["| author | paper_count | citation_count |", "| --- | --- | --- |"] and all(x.startswith("| ") for x in got[at + 4 : at + 7]) and got[at + 7] == ""
