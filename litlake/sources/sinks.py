@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ARTICLE
-from ..tables import put_text
+from ..tables import cut, put_text
 
 
 def write_manifest(articles: DataFrame, path: str) -> None:
@@ -37,11 +37,13 @@ def write_ranking(ranked: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def write_references(pool: DataFrame, summary: DataFrame, path: str, most: int = 50) -> None:
-    """A scored pool, ordered, as JSON lines and CSV; its first ``most``; and its summary."""
+    """A scored pool, ordered, as JSON lines and CSV; its first ``most``; and its summary. The pool is made once; its order is kept
+    as a number, as a table that is read again has none."""
     texts = [c for c, kind in pool.dtypes if not kind.startswith(("map", "struct", "array<struct"))]
-    pool.write.mode("overwrite").json(f"{path}/manifest")
-    write_report(pool, f"{path}/candidates", texts)
-    write_report(pool.limit(most), f"{path}/top", texts)
+    kept = cut(pool.withColumn("_place", F.monotonically_increasing_id()), "pool").orderBy("_place")
+    kept.drop("_place").write.mode("overwrite").json(f"{path}/manifest")
+    write_report(kept, f"{path}/candidates", texts)
+    write_report(kept.limit(most), f"{path}/top", texts)
     write_json_row(summary, f"{path}/summary")
 
 
