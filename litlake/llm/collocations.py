@@ -1,12 +1,11 @@
-"""Phrase collocations: candidates whose sketched counts reach the limit, counted by automata over shards of the texts."""
+"""Phrase collocations: stretches of texts whose sketched counts reach the limit, counted by automata over shards of them."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from operator import itemgetter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,10 @@ LONGEST, SPACES, BREAKS = 5, b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bits of a block of counters; occurrences for each counter of the sketch (as a power of two), and counters at most: the
 #: sketch grows with the corpus up to 256 MB of bits, beyond which it lets more candidates through, but loses none.
 BLOCK, LOAD, MOST_BITS = 19, 3, 31
-#: Words whose phrases are sorted at once, and phrases of one automaton: they bound a worker's memory, not what is processed.
-FLUSH, SHARD = 2_000_000, 60_000
-#: Words of a scan's task at least: each task tells every candidate that it holds, so many small ones would tell them often.
+#: Words whose phrases are sorted at once, stretches held at once, and phrases of one automaton: they bound a worker's memory,
+#: not what is processed.
+FLUSH, HELD, SHARD = 2_000_000, 500_000, 60_000
+#: Words of a scan's task at least: each task tells every stretch that it holds, so many small ones would tell them often.
 TASK_WORDS = 24_000_000
 
 _CLASS = np.zeros(256, np.int8)
@@ -163,9 +163,12 @@ def _usual_words(words: DataFrame, least: int) -> Bits:
     return _heavy(usual.mapInArrow(run, "block int, cells binary"), bits, 1)
 
 
-def candidates(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase): all phrases of 2 to 5 words that occur ``least`` times, and few others: those whose counter in the sketch
-    is as large, as are their parts', and that hold no rarer word."""
+def stretches(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, n): at every word the longest phrase that may occur ``least`` times, and how often it is the longest there.
+
+    A phrase of 2 to 5 words may if its counter in the sketch is as large, as are its parts', and it holds no rarer word. So a
+    phrase that does occur ``least`` times begins a stretch wherever it stands, and there are no more stretches than such
+    phrases, however long the texts are."""
     spark = docs.sparkSession
     usual = spark.sparkContext.broadcast(_usual_words(words, least))
     bits = _bits_for((LONGEST - 1) * (words.agg(F.sum("f")).first()[0] or 0), LOAD)
@@ -188,42 +191,81 @@ def candidates(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     heavy = spark.sparkContext.broadcast(_heavy(docs.mapInArrow(counted, "block int, cells binary"), bits, least))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        held: dict[int, list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "n"])
+
         for texts, langs in _chunks(batches):
             t = Tokens(texts, langs)
-            ok, rows = np.ones(len(t.keys) + 1, bool), []
+            ok, size, whole = np.ones(len(t.keys) + 1, bool), np.zeros(len(t.keys), np.int8), np.zeros(len(t.keys), np.uint64)
             for n, keys, at in t.phrases(usual.value):
                 good = heavy.value.has(keys) & ok[at] & ok[at + 1]
                 ok = np.zeros(len(ok), bool)
                 ok[at[good]] = True
-                new, first = np.unique(keys[good], return_index=True)
-                for key, i in zip(new.tolist(), at[good][first].tolist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append((langs[t.text[i]], t.phrase(i, n)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "phrase"])
-            if len(seen) > 1_000_000:
-                seen.clear()  # the others are told again
+                size[at[good]], whole[at[good]] = n, keys[good]
+            at = np.flatnonzero(size)
+            new, first, times = np.unique(whole[at], return_index=True, return_counts=True)
+            for key, i, k in zip(new.tolist(), at[first].tolist(), times.tolist(), strict=True):
+                if key in held:
+                    held[key][2] += k
+                else:
+                    held[key] = [langs[t.text[i]], t.phrase(i, int(size[i])), k]
+            if len(held) > HELD:
+                yield out()
+        if held:
+            yield out()
+
+    return docs.mapInArrow(found, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-    return docs.mapInArrow(found, "lang string, phrase string").distinct()
+
+def _automaton(phrases: Iterable[str]) -> object:
+    """Every phrase between two spaces, which neighbours share, with its number and its length."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for i, text in enumerate(phrases):
+        a.add_word(f" {text} ", (i, len(text) + 2))
+    a.make_automaton()
+    return a
+
+
+def begun(found: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``stretches`` -> (lang, phrase, f): the occurrences of all phrases of two words or more that begin a stretch. Stretches are
+    dealt by their first two words, so that an automaton of about ``shard`` of them meets each of its phrases' stretches and no
+    stretch is read twice: neither automata nor scans grow with the corpus."""
+    found = cut(found, "stretches")
+    shards = max(1, -(-found.count() // shard))
+
+    def scan(table: pa.Table) -> pa.Table:
+        by: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for lang, text, n in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n")), strict=True):
+            by[lang].append((text, n))
+        rows = []
+        for lang, group in by.items():
+            phrases = sorted({text[:end] for text, _ in group for end in [*[m.start() for m in re.finditer(" ", text)][1:], len(text)]})
+            a, total = _automaton(phrases), [0] * len(phrases)
+            for text, n in group:
+                for end, (i, size) in a.iter(f" {text} "):
+                    if end + 1 == size:  # others begin stretches of their own
+                        total[i] += n
+            rows += [(lang, p, f) for p, f in zip(phrases, total, strict=True)]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "f"])
+
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(scan, "lang string, phrase string, f long")
 
 
 _BUILT: dict[str, object] = {}
 
 
 def _automata(name: str, phrases: dict[str, tuple[list[str], list[int]]]) -> dict[str, object]:
-    """An automaton for each language, built once a worker: every phrase between two spaces, which neighbours share."""
-    import ahocorasick
-
+    """An automaton for each language, built once a worker."""
     if name not in _BUILT:
         _BUILT.clear()
-        made = _BUILT[name] = {}
-        for lang, (texts, ids) in phrases.items():
-            a = made[lang] = ahocorasick.Automaton()
-            for text, i in zip(texts, ids, strict=True):
-                a.add_word(f" {text} ", i)
-            a.make_automaton()
+        _BUILT[name] = {lang: (_automaton(texts), np.array(ids)) for lang, (texts, ids) in phrases.items()}
     return _BUILT[name]
 
 
@@ -234,8 +276,9 @@ def guarded(text: str) -> str:
 
 
 def exact_counts(docs: DataFrame, phrases: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, f): the phrases' occurrences in their language, overlapping ones included. Each shard of the phrases is
-    one scan of the texts, so that no automaton grows with the corpus; those of a shard are all that the driver ever holds."""
+    """(lang, phrase, f): any given phrases' occurrences in their language, overlapping ones included. Each shard of the phrases
+    is one scan of the texts, so this is for phrases that don't grow with these; those of a shard are all that the driver ever
+    holds."""
     spark = docs.sparkSession
     phrases = cut(phrases, "phrases")
     shards = max(1, -(-phrases.count() // shard))
@@ -258,8 +301,9 @@ def exact_counts(docs: DataFrame, phrases: DataFrame, shard: int = SHARD) -> Dat
                     if text and lang in sent.value:
                         joined[lang].append(text)
                 for lang, group in joined.items():
-                    hits = map(itemgetter(1), _automata(name, sent.value)[lang].iter(guarded("\n".join(group))))
-                    total += np.bincount(np.fromiter(hits, np.int64), minlength=size)
+                    a, ids = _automata(name, sent.value)[lang]
+                    hits = (i for _, (i, _) in a.iter(guarded("\n".join(group))))
+                    total += np.bincount(ids[np.fromiter(hits, np.int64)], minlength=size)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "f"])
 
@@ -296,15 +340,16 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, share: int
     ``share`` times its own at least.
 
     Words are counted first, then a sketch of hashed phrases bounds all counts from above (its counters are summed by Spark
-    in blocks and come to the driver as one bit each); phrases that may reach ``least`` are searched for by automata. The
-    sketch, the candidates and so the scans grow with the corpus where ``least`` doesn't: at a thousand times the texts raise it.
+    in blocks and come to the driver as one bit each). The texts are then cut into the longest phrases that may reach ``least``,
+    and automata count all phrases in these. The texts are read three times, however many phrases there are; the sketch and the
+    phrases grow with the corpus where ``least`` doesn't.
 
     A null lang is ``und``, null texts have no word. Repeated rows count each; other columns are ignored; no word: no row.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     words = cut(word_counts(docs), "words")
     docs = docs.coalesce(max(1, -(-(words.agg(F.sum("f")).first()[0] or 0) // TASK_WORDS)))
-    counts = exact_counts(docs, candidates(docs, words, least), shard)
+    counts = begun(stretches(docs, words, least), shard)
     counts = cut(counts.where(F.col("f") >= least).withColumn("w", F.split("phrase", " ")), "counts")
     n = F.size("w")
 

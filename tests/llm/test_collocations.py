@@ -84,3 +84,16 @@ def test_phrases_overlap_and_never_cross_pieces(spark):
     docs = spark.createDataFrame([(1, "a b a b a. b a\tb", "en", "", 0)], SCHEMA)
     phrases = spark.createDataFrame([("en", "a b"), ("en", "b a"), ("en", "a b a"), ("en", "a b a b a"), ("de", "a b")], "lang string, phrase string")
     assert {tuple(r) for r in co.exact_counts(docs.select("lang", "text"), phrases).collect()} == {("en", "a b", 3), ("en", "b a", 3), ("en", "a b a", 2), ("en", "a b a b a", 1)}
+
+
+def test_texts_are_read_as_often_however_many_phrases_there_are(spark):
+    rows, read = made(6), spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, SCHEMA).mapInArrow(counting, SCHEMA)
+    assert sorted(map(tuple, co.collocations(docs, 12, 2000, shard=5).collect())) == plain(rows, 12, 2000)
+    assert read.value == 3 * len(rows)
