@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize, normalize_title
-from .evidence import window_ratio
+from .evidence import near
 
 #: The fields of an analysis of a paper and of a synthesis of a domain, and what some of them may be.
 PAPER_TEXTS = ("research_problem", "background_gap", "study_object", "method_pipeline", "evidence_type", "source_basis", "confidence")
@@ -149,7 +149,7 @@ def unsupported(snippets: Column, basis: Column, least: float = 0.92) -> Column:
 
     @F.pandas_udf("array<string>")
     def far(left: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([[s["shown"] for s in some if window_ratio(s["plain"], t) < least] if some is not None and len(some) else [] for some, t in zip(left, text)])
+        return pd.Series([[s["shown"] for s in some if not near(s["plain"], t, least)] if some is not None and len(some) else [] for some, t in zip(left, text)])
 
     plain = normalize(basis)
     rows = F.transform(F.filter(F.transform(F.coalesce(snippets, _none()), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.struct(s.alias("shown"), normalize(s).alias("plain")))
