@@ -70,6 +70,7 @@ def rule_classify(articles: DataFrame, rules: Sequence[tuple[str, Sequence[str]]
 def article_keywords(rows: DataFrame, most: int = 5) -> DataFrame:
     """(id, text) -> id, rank, token, count: the tokens of four characters or more that each text has most, ties by first
     appearance."""
+    rows = rows.select("id", "text").repartition("id")  # texts move once, tokens never
     t = rows.select("id", F.posexplode(tokens(F.col("text"), PAPER_STOPWORDS, 4)).alias("pos", "token"))
     counts = t.groupBy("id", "token").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
     w = Window.partitionBy("id").orderBy(F.desc("count"), "first")
