@@ -126,7 +126,7 @@ def _bodies(rows: DataFrame, name: str) -> DataFrame:
 
 @query(f"{ARTICLES} {_LOOKUPS}")
 def metadata_lookups(spark, sf_dir):
-    rows, out = star.articles(spark, sf_dir), None
+    rows, out = cut(star.articles(spark, sf_dir), "articles"), None
     for name in lookups.RESOLVERS:
         found = lookups.resolve(rows, _bodies(rows, name), name)
         part = found.select(F.col("_ord").alias("ord"), F.lit(name).alias("source"), "title", "doi", "publish_date", F.array_join("authors", "|").alias("authors"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("citation_count", F.lit(-1)).alias("citation_count"))
@@ -170,7 +170,7 @@ def search_hits(spark, sf_dir):
 @query()
 def title_search(spark, sf_dir):
     """The papers of most like titles: both catalogues' hits, repeats by DOI or title dropped, the twenty nearest."""
-    rows = star.articles(spark, sf_dir)
+    rows = cut(star.articles(spark, sf_dir), "articles")
     again = rows.where("_ord % 3 = 0").withColumns({"_ord": F.col("_ord") + 100_000_000, "title": F.upper("title"), "doi": F.lit("")})
     hits = refs_.title_search(rows.unionByName(again), "Paper 77 a review", 20)
     return hits.select("title", "doi", F.round("similarity", 6).alias("similarity"))
@@ -281,9 +281,9 @@ def domain_packages(spark, sf_dir):
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    rows = star.articles(spark, sf_dir)
     empty = {c: F.lit("") for c in ("classification_taxonomy", "classification_source_label", "citation_source")} | {"authoritative_topics": F.array().cast("array<string>")}
-    return summaries.paper_entries(ranking.domain_papers(rows.withColumns(empty), ranking.select_domains(rows, 3), AS_OF, 5, TIERS))
+    rows = cut(star.articles(spark, sf_dir).withColumns(empty), "articles")
+    return summaries.paper_entries(ranking.domain_papers(rows, ranking.select_domains(rows, 3), AS_OF, 5, TIERS))
 
 
 _PICKED = f"{ARTICLES}, d AS (SELECT subdomain FROM articles GROUP BY 1 ORDER BY count(*) DESC, sum(c) DESC, 1 LIMIT 3), m AS (SELECT *, max(c) OVER (PARTITION BY subdomain) AS most FROM articles WHERE subdomain IN (SELECT subdomain FROM d)), "
