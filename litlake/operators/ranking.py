@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import TIERS, paper_value, recommendation_type
-from ..tables import cut
+from ..tables import cut, once
 from .filters import download_eligibility
 from .stats import cited
 
 
 def with_most_cited(articles: DataFrame, by: str | None = None) -> DataFrame:
-    """The largest citation count, overall (a single row, broadcast) or of each ``by`` (a window), as ``_most``."""
+    """The largest citation count, overall (a single row, broadcast) or of each ``by``, as ``_most``. The articles are written
+    once, and a ``by`` of very many is summed up before it is joined, so that no task holds it."""
+    articles = once(articles, "articles")
     if by:
-        return articles.withColumn("_most", F.max(cited()).over(Window.partitionBy(by)))
+        most = articles.groupBy(F.col(by).alias("_by")).agg(F.max(cited()).alias("_most"))
+        return articles.join(most, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     return articles.crossJoin(F.broadcast(articles.agg(F.coalesce(F.max(cited()), F.lit(0)).alias("_most"))))
 
 
@@ -77,6 +80,6 @@ def select_domains(articles: DataFrame, most: int) -> DataFrame:
 
 def domain_papers(articles: DataFrame, domains: DataFrame, as_of_year: int, most: int, tiers: Sequence[tuple[str, str, float]] = TIERS) -> DataFrame:
     """The best papers of the given domains, valued against their own domain's most cited, with ids paper_001, ..."""
-    rows = valued(articles.join(F.broadcast(domains.select("subdomain")), "subdomain", "left_semi"), as_of_year, tiers, by="subdomain")
+    rows = valued(articles, as_of_year, tiers, by="subdomain").join(F.broadcast(domains.select("subdomain")), "subdomain", "left_semi")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("subdomain").orderBy(*best_first()))).where(F.col("place") <= most)
     return rows.withColumn("paper_id", F.format_string("paper_%03d", "place"))

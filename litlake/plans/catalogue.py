@@ -182,7 +182,7 @@ def select_domains(spark, sf_dir):
 
 @query(f"{ARTICLES}, d AS (SELECT subdomain FROM articles GROUP BY 1 ORDER BY count(*) DESC, sum(c) DESC, 1 LIMIT 3), m AS (SELECT *, max(c) OVER (PARTITION BY subdomain) AS most FROM articles WHERE subdomain IN (SELECT subdomain FROM d)), v AS (SELECT *, {value_sql('most')} AS value FROM m), p AS (SELECT *, row_number() OVER (PARTITION BY subdomain ORDER BY value DESC, c DESC, lower(title), ord) AS place FROM v) SELECT subdomain, printf('paper_%03d', place) AS paper_id, title, value AS research_value_score FROM p WHERE place <= 5")
 def domain_papers_local_norm(spark, sf_dir):
-    rows = star.articles(spark, sf_dir)
+    rows = _written(star.articles(spark, sf_dir))
     return ranking.domain_papers(rows, ranking.select_domains(rows, 3), AS_OF, 5, TIERS).select("subdomain", "paper_id", "title", "research_value_score")
 
 
@@ -478,7 +478,8 @@ def recent_events(spark, sf_dir):
 @query("SELECT doc_id, array_to_string(list(w ORDER BY p, w), ' ') AS abstract FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def inverted_abstract(spark, sf_dir):
     """Every document's words with their places, and the text made from these again."""
-    words = star.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
+    rows = star.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id")  # texts move once, words never
+    words = rows.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", tx.inverted_abstract(F.col("index")).alias("abstract"))
 

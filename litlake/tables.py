@@ -44,6 +44,11 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table, for what reads it more than once; itself if it is one already."""
+    return df if hasattr(df, "cut_path") else cut(df, name)
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``df`` written once in the shared folder, dealt by ``key`` into as many buckets as shuffles have partitions: joins by ``key``
     then move only their other side."""
