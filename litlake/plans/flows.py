@@ -9,6 +9,7 @@ from ..operators import classify, crawl, download, evidence, pdf, references as
 from ..schema import normalise_articles
 from ..sources import lookups, open_access, pages, star
 from ..streaming import runs
+from ..tables import cut
 from .catalogue import ARTICLES, DOCS, TOKENS, query, quoted
 
 # --- a crawl over the order tables as a web: a page of each region lists its nations, theirs their customers, then orders, then parts ------
@@ -44,7 +45,7 @@ l{n} AS (SELECT url, {n} AS depth, (SELECT count(*) FROM a{n - 1}) + row_number(
 SELECT url, depth, place, parent FROM a4""")
 def crawl_order(spark, sf_dir):
     """A breadth-first crawl from all regions: a part is met where its first order lists it."""
-    web = _web(spark, sf_dir)
+    web = cut(_web(spark, sf_dir), "web")  # each round reads it
     seeds = star.table(spark, sf_dir, "region").select(F.concat(F.lit("http://tables.example/region/"), F.col("r_regionkey").cast("string")).alias("url"), F.col("r_regionkey").cast("long").alias("place"))
     return crawl.crawl(seeds, lambda front: web.join(front, "url"))
 
@@ -105,7 +106,8 @@ SELECT ord, CASE WHEN step <> 'fetch' THEN step WHEN body IS NULL THEN 'pending'
  CASE WHEN step LIKE 'skipped_existing%' THEN 'complete' WHEN step = 'skipped' THEN 'missing_pdf_url' WHEN body IS NULL THEN 'unchecked' ELSE state END AS pdf_status, coalesce(found, '') AS found FROM j""")
 def download_states(spark, sf_dir):
     """Every paper's file: some are there under their name, their DOI's or a name cut off elsewhere; documents are the answers."""
-    rows = star.articles(spark, sf_dir).withColumns({"id": F.col("_ord"), "folder": F.col("subdomain"), "name": pdf.file_name(), "pdf_url": F.col("doi")})
+    rows = star.articles(spark, sf_dir).select(F.col("_ord").alias("id"), F.col("subdomain").alias("folder"), pdf.file_name().alias("name"), "doi", F.col("doi").alias("pdf_url"))
+    rows = cut(rows, "papers")  # the files are made from them, and joined in three ways
     kind = F.col("id") % 10
     cut_off = F.concat(F.regexp_extract("name", "^(（[^）]*）[^（]*)", 1), F.lit("（old.pdf"))
     files = rows.select("folder", F.when(kind == 0, F.col("name")).when(kind == 1, download.doi_name(F.col("doi"))).when(kind == 2, cut_off).alias("name")).where("name IS NOT NULL")
