@@ -92,3 +92,28 @@ def test_linkage_of_any_size_is_the_same(spark, alone, block):
     out = linkage.clusters(df, "g", alone, block).collect()
     assert {r["id"]: r["cluster"] for r in out} == want and len(out) == len(want)
     assert linkage.clusters(df.limit(0), "g", alone).count() == 0
+
+
+def test_few_rounds_of_linkage(spark, monkeypatch):
+    """A cluster that takes in one after the other, and one vector many times over, are no round for each."""
+    rng, rounds, nearest = np.random.default_rng(5), [], linkage._nearest
+    monkeypatch.setattr(linkage, "_nearest", lambda *a: rounds.append(1) or nearest(*a))
+    # ever farther from the first
+    angles = np.cumsum(np.linspace(0.001, 0.02, 90))
+    chain = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    x = {0: chain, 1: np.concatenate([np.repeat(rng.normal(size=(1, 2)), 60, axis=0), rng.normal(size=(30, 2))])}
+    rows = [(g, 1000 * g + i, v.tolist()) for g, of in x.items() for i, v in enumerate(of)]
+    df = spark.createDataFrame(rows, "g int, id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in linkage.clusters(df, "g", 30, 40).collect()}
+    assert got == {1000 * g + i: c for g, of in x.items() for i, c in enumerate(one_by_one(of, 8))}
+    assert len(rounds) <= 20
+
+
+@pytest.mark.parametrize("most", [1, 2, 7])
+def test_linkage_from_short_lists(spark, most):
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for g, x in enumerate([*groups(rng), rng.normal(size=(150, 3)), np.concatenate([rng.normal(size=(40, 8)), np.zeros((6, 8))])]):
+        rows += [(g, 1000 * g + i, v.tolist()) for i, v in enumerate(x)]
+        want |= {1000 * g + i: c for i, c in enumerate(one_by_one(x, linkage.cluster_count(len(x))))}
+    df = spark.createDataFrame(rows, "g int, id long, v array<double>").repartition(3)
+    assert {r["id"]: r["cluster"] for r in linkage.clusters(df, "g", 9, 16, most).collect()} == want
