@@ -52,8 +52,13 @@ def sentences(x: Column, cjk: bool = False) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), pattern, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
+def first_sentence(x: Column) -> Column:
+    """The first of ``sentences``, null without any. What comes before the first cut is never blank, so the rest isn't read."""
+    return blank_to_null(F.regexp_replace(F.get(F.split(F.coalesce(x, F.lit("")), r"(?<=[.!?])\s+", 2), F.lit(0)), r"^\s+|\s+$", ""))
+
+
 def problem_statement(abstract: Column, title: Column) -> Column:
-    return F.coalesce(F.get(sentences(abstract), F.lit(0)), title)
+    return F.coalesce(first_sentence(abstract), title)
 
 
 def solution_summary(abstract: Column) -> Column:

@@ -81,7 +81,7 @@ def run_states(spark, sf_dir):
 @query()
 def title_matches(spark, sf_dir):
     """The titles of pages among the first sentences of all documents."""
-    heads = star.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(tx.sentences(F.coalesce("text", F.lit(""))), F.lit(0)).alias("title"))
+    heads = star.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.first_sentence(F.col("text")).alias("title"))
     titles = star.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), pages.title(F.col("html")).alias("title"))
     return similar.best_matches(titles, heads)
 

@@ -5,7 +5,9 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from litlake.functions import text
 from litlake.operators import linkage, similar
 
 
@@ -45,6 +47,49 @@ def test_best_matches(spark):
         similar.similar(a, b, 0.69)
 
 
+def joined(df):
+    """Rows that the joins of an executed query let through."""
+
+    def below(p):
+        if "AdaptiveSparkPlan" in p.nodeName():
+            p = p.executedPlan()
+        while "QueryStage" in p.getClass().getSimpleName():
+            p = p.plan()
+        mine = p.metrics().apply("numOutputRows").value() if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else 0
+        return mine + sum(below(p.children().apply(i)) for i in range(p.children().size()))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_unlike_titles_of_the_same_words_do_not_meet(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("the", "and", "ere", "ion", "of") for b in ("", "re", "in", "tion", "sh", "ly")]
+    a, b = ([" ".join(rng.choices(words, k=20))[: rng.randint(54, 60)] for _ in range(300)] for _ in "ab")
+    b += [x[:20] + "q" + x[22:] for x in a[:40]]
+    df = similar.similar(*(spark.createDataFrame([(x,) for x in xs], "text string") for xs in (a, b)))
+    got = {(r["left"], r["right"]) for r in df.collect()}
+    assert got == {(x, y) for x in set(a) for y in set(b) if SequenceMatcher(None, x, y).ratio() >= 0.92} and len(got) >= 40
+    assert 0 < joined(df) <= len(a) * len(b) // 20
+
+
+def test_titles_are_made_once(spark, tmp_path):
+    def made(x):
+        with open(tmp_path / "made", "a") as f:
+            f.write(f"{x}\n")
+        return x
+
+    a, b = ([f"{w} cell cycle of yeast number {i}" for i in range(n)] for w, n in (("The", 20), ("the", 30)))
+    frame = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id long, title string").select("id", F.udf(made)("title").alias("title"))
+    assert similar.best_matches(frame(a), frame(b)).count() == 20
+    assert (tmp_path / "made").read_text().count("\n") == 50
+
+
+def test_first_sentence(spark):
+    rows = ["One. Two.", " \n One?!\tTwo", ". Two", " . ", "", " \t\n", None, "No end", "a.b. \x0b c", "x \u2028", "!\u00a0y. z", "e.g.\r\nnext", "1. \n\n 2. 3"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string").select(F.get(text.sentences(F.col("x")), F.lit(0)).alias("want"), text.first_sentence(F.col("x")).alias("got"))
+    assert all(r["want"] == r["got"] for r in df.collect())
+
+
 def one_by_one(x, k):
     """Average linkage with all distances written out: the closest pair first, ties by first members."""
     u = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
