@@ -452,8 +452,8 @@ def domain_reliability(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id % 5 = 0")
 def ungrounded_snippets(spark, sf_dir):
     """The last sentence of every document against its whole text; every fifth has a snippet that no text holds."""
-    last = F.coalesce(F.element_at(tx.sentences(F.col("text")), -1), F.lit(""))
-    rows = star.table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''")
+    last = F.coalesce(F.try_element_at(tx.sentences(F.col("text")), F.lit(-1)), F.lit(""))  # a blank text has none, and may come here before it is left out
+    rows = star.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\p{Zs}]"))  # as SQL's trim sees it: a space of any kind, no tab or line end
     snippet = F.when(F.col("doc_id") % 5 == 0, F.format_string("q%d 0zxq 9vkj", "doc_id")).otherwise(last)
     return evidence.ungrounded(rows.select("doc_id", snippet.alias("snippet"), "text")).select("doc_id")
 

@@ -41,3 +41,15 @@ def test_chunks_are_told_as_they_come(spark, monkeypatch):
 def test_words_stay_where_their_text_is(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
+
+
+def test_blank_texts_have_no_last_sentence(spark, tmp_path):
+    import duckdb
+
+    texts = ["", "   ", "\t\n", "\xa0\N{IDEOGRAPHIC SPACE}", None, "...", "One. Two", " a. "]
+    rows = [(5 * n + k, t) for n, t in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.ORACLES["ungrounded_snippets"]).fetchall())
+    assert sorted(tuple(r) for r in catalogue.QUERIES["ungrounded_snippets"](spark, str(tmp_path)).collect()) == want == [(10,), (25,), (30,), (35,)]
